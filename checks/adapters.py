@@ -91,11 +91,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, tables = VIEWS[name]
-    frames = {t: table(spark, sf_dir, t) for t in tables}
-    if name == "code_docs":
-        frames["documents"] = spread(frames["documents"], "doc_id")
+    frames = {t: documents(spark, sf_dir) if t == "documents" else table(spark, sf_dir, t) for t in tables}
     return spark.sql(text, **frames)
 
 

@@ -100,8 +100,7 @@ DOC_KEY = "sha256(concat_ws(':', '42', doc_id, rel_path))"
 SAMPLE_KEY = "sha256(concat_ws(':', '42', id, text))"
 ID_SPLIT = f"{CHUNKS}, {split_of('samples', chr(39).join(['sha256(concat_ws(', ':', ', ', '42', ', id))']))}"
 TEXT_SPLIT = f"{CHUNKS}, {split_of('samples', SAMPLE_KEY)}"
-OLD = "doc_id % 2 = 0"
-NEW = "(doc_id % 2 = 1 OR doc_id % 10 = 0)"
+OLD = "doc_id IN (SELECT doc_id FROM labels)"
 
 PIECES = f"regexp_extract_all(text, '[{WORD}]+|[^{WORD}{WS}]')"
 VOCAB = f"""tokens AS (SELECT doc_id, unnest({PIECES}) AS token, unnest(range(1, len({PIECES}) + 1)) AS pos FROM documents),
@@ -202,12 +201,9 @@ SELECT conv_id, turn, CASE WHEN do_sample THEN temperature ELSE 1 END AS tempera
 
 sql("new_catalog_rows", f"""WITH {FILES}
 SELECT repo AS repository_id, rel_path AS file_path, language, sha256(content) AS content_hash, false AS is_processed
-FROM known WHERE {OLD}
-UNION ALL
-SELECT repo, rel_path, language, sha256(content), false FROM known n WHERE {NEW}
-  AND NOT EXISTS (SELECT 1 FROM known o WHERE o.{OLD} AND o.repo = n.repo AND o.rel_path = n.rel_path)""")
+FROM known""")
 FRESH = f"""SELECT doc_id, rel_path, chunk_idx::INTEGER AS chunk_idx, sha256(text) AS digest FROM samples
-WHERE {NEW} AND substring(text, 1, 100) NOT IN (SELECT substring(text, 1, 100) FROM samples WHERE {OLD})"""
+WHERE substring(text, 1, 100) NOT IN (SELECT substring(text, 1, 100) FROM samples WHERE {OLD})"""
 sql("incremental_anti_join", f"WITH {CHUNKS} {FRESH}")
 sql("upsert_repositories", f"""WITH {cte('repos_in')}, {SCANNED},
 counts AS (SELECT repo, count(*) AS files, sum(line_count) AS lines, round(sum(size_kb::DECIMAL(18,3))::DOUBLE, 3) AS size_kb FROM scanned GROUP BY repo),
@@ -394,7 +390,7 @@ sql("build_dataset", f"""WITH {TEXT_SPLIT}
 SELECT id, language, chunk_idx, chunk_size, source_file, split, sha256(text) AS digest FROM split""")
 sql("incremental_build", f"""WITH {CHUNKS},
 merged AS (SELECT * FROM samples WHERE {OLD} UNION ALL
-           SELECT * FROM samples WHERE {NEW} AND substring(text, 1, 100) NOT IN (SELECT substring(text, 1, 100) FROM samples WHERE {OLD})),
+           SELECT * FROM samples WHERE substring(text, 1, 100) NOT IN (SELECT substring(text, 1, 100) FROM samples WHERE {OLD})),
 {split_of('merged', SAMPLE_KEY)}
 SELECT id, language, chunk_idx, chunk_size, source_file, split, sha256(text) AS digest FROM split""")
 sql("training_input", f"""WITH {VOCAB}, {ID_SPLIT}, {ids_of('split', 'id', 'text', 2048)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.adapters import CODE_DOCS, table, view
+from checks.adapters import CODE_DOCS, documents, table, view
 from millrace.constants import COMPLETE_LIMITS
 from millrace.functions import chunks as C
 from millrace.functions import prompts as P
@@ -56,22 +56,17 @@ def with_language(df):
 
 def code_files(spark, sf):
     """Decoded files of known language."""
-    return with_language(docs(spark, sf)).withColumn("content", X.decode_text(F.col("content"))).filter(
-        "language IS NOT NULL"
-    )
+    known = with_language(docs(spark, sf)).filter("language IS NOT NULL")
+    return X.compute_once(known, content=X.decode_text(F.col("content")))
 
 
 def digest(column="content"):
     return F.sha2(column, 256).alias("digest")
 
 
-def existing_side(df):
-    return df.filter("doc_id % 2 = 0")
-
-
-def new_side(df):
-    """Everything else, and a tenth of all documents a second time."""
-    return df.filter("doc_id % 2 = 1 OR doc_id % 10 = 0")
+def earlier(spark, sf, df):
+    """What an earlier run saw: the labelled documents. The new run sees all of them again."""
+    return df.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
 def joined(column):
@@ -95,7 +90,7 @@ def scan_code_tree(spark, sf):
 
 @query
 def decode_text(spark, sf):
-    raw = table(spark, sf, "documents").select(
+    raw = documents(spark, sf).select(
         "doc_id",
         F.concat(F.unhex(F.lit("61FF62E28263")), F.encode("text", "UTF-8"), F.unhex(F.lit("0D0A0D7A"))).alias("raw"),
     )
@@ -129,8 +124,8 @@ def built(spark, sf, existing=None, files=None):
 
 def version_folder(spark, sf):
     path = work_path(spark, "version")
-    ST.write_split_jsonl(S.build_samples(code_files(spark, sf)).transform(
-        lambda d: O.exact_split(d, "id")), path)
+    samples = stage(S.build_samples(code_files(spark, sf)), "samples")
+    ST.write_split_jsonl(O.exact_split(samples, "id"), path)
     return path
 
 
@@ -250,7 +245,7 @@ def filter_size(spark, sf):
 
 @query
 def filter_min_lines(spark, sf):
-    counted = docs(spark, sf).withColumn("line_count", X.line_count(X.decode_text(F.col("content"))))
+    counted = X.compute_once(docs(spark, sf), line_count=X.line_count(X.decode_text(F.col("content"))))
     return FI.filter_min_lines(counted).select("doc_id", "rel_path", F.col("line_count").cast("bigint").alias("line_count"))
 
 
@@ -315,15 +310,15 @@ def as_catalog(df):
 @query
 def new_catalog_rows(spark, sf):
     files = code_files(spark, sf)
-    catalog = K.conform(as_catalog(existing_side(files)), "code_file_catalog")
-    added = K.new_catalog_rows(as_catalog(new_side(files)), catalog)
+    catalog = K.conform(as_catalog(earlier(spark, sf, files)), "code_file_catalog")
+    added = K.new_catalog_rows(as_catalog(files), catalog)
     return catalog.unionByName(added).select("repository_id", "file_path", "language", "content_hash", "is_processed")
 
 
 def sides(spark, sf):
-    """Formatted samples of the existing and the new documents, with their document."""
-    made = S.preprocess(code_files(spark, sf))
-    return existing_side(made), new_side(made)
+    """Formatted samples of the earlier and of all documents, with their document."""
+    files = code_files(spark, sf)
+    return S.preprocess(earlier(spark, sf, files)), S.preprocess(files)
 
 
 @query
@@ -382,13 +377,13 @@ def split_counts(spark, sf):
 
 @query
 def token_stats(spark, sf):
-    stats = T.token_stats(table(spark, sf, "documents"), "doc_id")
+    stats = T.token_stats(documents(spark, sf), "doc_id")
     return stats.withColumn("mean", F.round("mean", 6))
 
 
 @query
 def generation_throughput(spark, sf):
-    rows = docs(spark, sf, "generations_in").join(table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), "lang"), "conv_id")
+    rows = docs(spark, sf, "generations_in").join(documents(spark, sf).select(F.col("doc_id").alias("conv_id"), "lang"), "conv_id")
     total = G.throughput_summary(rows, "lang")
     return total.select("lang", "requests", "tokens", F.round("seconds", 3).alias("seconds"), "tokens_per_second")
 
@@ -626,17 +621,17 @@ def sample_ids(spark, sf):
 # ---- tokens ----------------------------------------------------------------------------------
 
 def vocabulary(spark, sf):
-    return stage(T.build_vocabulary(table(spark, sf, "documents"), size=VOCABULARY), "vocabulary")
+    return stage(T.build_vocabulary(documents(spark, sf), size=VOCABULARY), "vocabulary")
 
 
 @query
 def build_vocabulary(spark, sf):
-    return T.build_vocabulary(table(spark, sf, "documents"), size=VOCABULARY).withColumn("token_id", F.col("token_id").cast("bigint"))
+    return T.build_vocabulary(documents(spark, sf), size=VOCABULARY).withColumn("token_id", F.col("token_id").cast("bigint"))
 
 
 @query
 def tokenize(spark, sf):
-    made = T.tokenize(table(spark, sf, "documents"), vocabulary(spark, sf), ["doc_id"])
+    made = T.tokenize(documents(spark, sf), vocabulary(spark, sf), ["doc_id"])
     return made.select(
         "doc_id", joined("input_ids").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, v: a + v).cast("bigint").alias("mask_sum"),
         (F.col("labels") == F.col("input_ids")).alias("labels_copy"))
@@ -651,7 +646,7 @@ def truncate_prompt(spark, sf):
 
 @query
 def pad_batches(spark, sf):
-    made = T.tokenize(table(spark, sf, "documents"), vocabulary(spark, sf), ["doc_id"], max_length=64)
+    made = T.tokenize(documents(spark, sf), vocabulary(spark, sf), ["doc_id"], max_length=64)
     return T.pad_batches(made, "doc_id").select(
         "doc_id", "batch_id", F.col("slot").cast("bigint").alias("slot"), joined("input_ids").alias("input_ids"),
         joined("attention_mask").alias("attention_mask"), joined("labels").alias("labels"))
@@ -665,7 +660,7 @@ def map_batches(spark, sf):
         frame["chars"] = frame["text"].str.len().astype("int64")
         return frame[["doc_id", "chars"]]
 
-    return T.map_batches(table(spark, sf, "documents"), measure, "doc_id long, chars long", ["doc_id", "text"])
+    return T.map_batches(documents(spark, sf), measure, "doc_id long, chars long", ["doc_id", "text"])
 
 
 @query
@@ -716,10 +711,10 @@ def build_dataset(spark, sf):
 @query
 def incremental_build(spark, sf):
     files = code_files(spark, sf)
-    first = built(spark, sf, files=existing_side(files)).version.select("path", "id", "created_at").withColumn("path_exists", F.lit(True))
+    first = built(spark, sf, files=earlier(spark, sf, files)).version.select("path", "id", "created_at").withColumn("path_exists", F.lit(True))
     latest = K.latest_dataset(first).first().path
     existing = ST.read_samples_jsonl(spark, B.dataset_path(latest))
-    return dataset_rows(built(spark, sf, existing=existing, files=new_side(files)))
+    return dataset_rows(built(spark, sf, existing=existing, files=files))
 
 
 @query
@@ -786,7 +781,7 @@ def stream_dedupe_state(spark, sf):
 @query
 def stream_dataset_build(spark, sf):
     output = work_path(spark, "grow")
-    files = with_language(file_stream(spark, sf)).withColumn("content", X.decode_text(F.col("content"))).filter(
-        "language IS NOT NULL").select("repo", "rel_path", "language", "content")
+    known = with_language(file_stream(spark, sf)).filter("language IS NOT NULL")
+    files = X.compute_once(known, content=X.decode_text(F.col("content"))).select("repo", "rel_path", "language", "content")
     L.stream_dataset_build(files, output, work_path(spark, "grow-log")).start().awaitTermination()
     return L.read_version(spark, output).select("id", "language", "split", digest("text"))

@@ -2,14 +2,16 @@ r"""Column expressions for file text and paths.
 
 Java and Python disagree on ``\s``, ``\w``, ``.`` and ``$``, so the classes are spelled out:
 WS is Python's whitespace set, WORD its ``\w``; ``(?d)`` lets only ``\n`` end a line.
-Every pattern is linear: runs are possessive and may start only where a run starts.
+Every pattern is linear: runs are possessive, and trimming is left to the string functions,
+which look at the ends only.
 """
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.constants import (
@@ -20,18 +22,29 @@ from millrace.constants import (
 
 WS = r"\p{IsWhite_Space}\x1c-\x1f"
 WORD = r"\p{L}\p{N}_"
-INLINE_WS = rf"[{WS}]&&[^\n]"
+WS_CHARACTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 LINE_BREAKS = r"\n\x0b\f\r\x1c-\x1e\x85\x{2028}\x{2029}"
 
-TRAILING_BLANKS = rf"(?<![{INLINE_WS}])[{INLINE_WS}]++(?=\n|\z)"
-OUTER_BLANKS = rf"\A[{WS}]++|[{WS}](?<![{WS}][{WS}])[{WS}]*+\z"
 USE_STRICT = ('"use strict";?\\n?', "'use strict';?\\n?")
 MAIN_BLOCK = rf"(?d)if __name__ == ['\"]__main__['\"]:?\n(?:[{WS}]++.*+\n?+)*+"
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add or replace costly columns so that each is evaluated exactly once per row.
+
+    A filter on a projected column is pushed below the projection and repeats the expression
+    there, below a repartition even in the few tasks of the scan. Filters on generated columns
+    stay above their generator, so the columns pass through a one-row ``inline``.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def decode_text(raw: Column) -> Column:
     """Bytes to valid UTF-8 text, every line break written as a single line feed."""
-    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"\r\n?", "\n")
+    valid = F.make_valid_utf8(raw.cast("string"))
+    return F.replace(F.replace(valid, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def file_extension(path: Column) -> Column:
@@ -72,13 +85,13 @@ def safe_name(path: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, OUTER_BLANKS, "")
+    return F.btrim(text, F.lit(WS_CHARACTERS))
 
 
 def normalize_whitespace(text: Column) -> Column:
     """Right-strip each line, keep at most two blank lines in a row, strip both ends."""
-    lines = F.regexp_replace(text, TRAILING_BLANKS, "")
-    return strip(F.regexp_replace(lines, r"\n{4,}", "\n\n\n"))
+    lines = F.transform(F.split(text, "\n"), lambda line: F.rtrim(line, F.lit(WS_CHARACTERS)))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{4,}", "\n\n\n"))
 
 
 def remove_boilerplate(text: Column, language: Column) -> Column:

@@ -57,17 +57,15 @@ def describe(files: DataFrame, options: ScanOptions = ScanOptions(), carry: tupl
     Input: repo, rel_path, bytes, content (binary or text). Output: schemas.CODE_FILES
     and the ``carry`` columns.
     """
-    path = F.col("rel_path")
-    described = files.withColumns({
-        "extension": X.file_extension(path),
-        "content": X.decode_text(F.col("content")),
+    extension = X.file_extension(F.col("rel_path"))
+    known = files.withColumns({
+        "extension": extension,
+        "language": X.detect_language(extension),
         "size_kb": F.bround(X.size_kb(F.col("bytes")), 3),
-    })
-    described = described.withColumns({
-        "language": X.detect_language(F.col("extension")),
-        "line_count": X.line_count(F.col("content")),
-    })
-    described = filter_min_lines(described, options.min_lines).filter(F.col("language").isNotNull())
+    }).filter(F.col("language").isNotNull())
+    decoded = X.compute_once(known, content=X.decode_text(F.col("content")))
+    counted = X.compute_once(decoded, line_count=X.line_count(F.col("content")))
+    described = filter_min_lines(counted, options.min_lines)
     return described.select(
         "repo", "rel_path", "extension", "language", "content", "size_kb", "line_count",
         X.content_hash(F.col("content")).alias("content_hash"), *carry,

@@ -15,7 +15,7 @@ from millrace.options import BuildOptions, ChunkOptions
 def clean_text(files: DataFrame, min_words: int = FILE_MIN_WORDS) -> DataFrame:
     """Whitespace, then boilerplate, then the word test. Comments stay."""
     text = X.remove_boilerplate(X.normalize_whitespace(F.col("content")), F.col("language"))
-    return files.withColumn("content", text).filter(X.has_words(F.col("content"), min_words))
+    return X.compute_once(files, content=text).filter(X.has_words(F.col("content"), min_words))
 
 
 def explode_chunks(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,11 +74,16 @@ def _lookup(vocabulary) -> Callable:
     return run
 
 
-def token_ids(docs: DataFrame, vocabulary: DataFrame, keep: list[str], tokens: Column) -> DataFrame:
-    """Look pieces up in a vocabulary that every task holds (at most MAX_VOCABULARY words):
-    Spark cuts the text, Arrow's hash lookup maps whole batches, no row-wise Python."""
-    words = [row.token for row in vocabulary.orderBy("token_id").limit(MAX_VOCABULARY).select("token").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def share_vocabulary(vocabulary: DataFrame) -> Broadcast:
+    """Hand the words (at most MAX_VOCABULARY) to every executor, in id order."""
+    top = vocabulary.orderBy("token_id").limit(MAX_VOCABULARY).select("token")
+    return vocabulary.sparkSession.sparkContext.broadcast([row.token for row in top.collect()])
+
+
+def token_ids(docs: DataFrame, vocabulary: DataFrame | Broadcast, keep: list[str], tokens: Column) -> DataFrame:
+    """``keep`` columns and input_ids. Spark cuts the text, Arrow's hash lookup maps whole
+    batches: no row-wise Python."""
+    shared = share_vocabulary(vocabulary) if isinstance(vocabulary, DataFrame) else vocabulary
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
     return docs.select(*keep, tokens.alias("tokens")).mapInArrow(_lookup(shared), schema)
 
@@ -90,7 +96,7 @@ def _with_mask_and_labels(ids: DataFrame) -> DataFrame:
 
 
 def tokenize(
-    docs: DataFrame, vocabulary: DataFrame, keep: list[str], text: str = "text",
+    docs: DataFrame, vocabulary: DataFrame | Broadcast, keep: list[str], text: str = "text",
     max_length: int = TokenOptions.max_length,
 ) -> DataFrame:
     """``keep`` columns and input_ids (cut to max_length, not padded), attention_mask, labels."""

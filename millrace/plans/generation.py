@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def prepare_explain(requests: DataFrame, defaults: GenerationDefaults = DEFAULTS
     })
 
 
-def prompt_tokens(requests: DataFrame, vocabulary: DataFrame, keep: list[str],
+def prompt_tokens(requests: DataFrame, vocabulary: DataFrame | Broadcast, keep: list[str],
                   limit: int = PROMPT_MAX_TOKENS) -> DataFrame:
     """``keep`` columns and the prompt's first ids."""
     tokens = truncate_prompt(pieces(F.col("prompt")), limit)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.samples import instruction_rows
-from millrace.operators.tokens import tokenize
+from millrace.operators.tokens import share_vocabulary, tokenize
 from millrace.options import TokenOptions
 
 
@@ -16,8 +16,9 @@ def training_input(
     """Tokenized splits; ``eval`` is validation, or test where there is no validation."""
     if not splits:
         raise ValueError("no dataset found: build one first")
+    shared = share_vocabulary(vocabulary)
     tokenized = {
-        name: tokenize(rows, vocabulary, ["id", "text"], max_length=options.max_length)
+        name: tokenize(rows, shared, ["id", "text"], max_length=options.max_length)
         for name, rows in splits.items()
     }
     evaluation = tokenized.get("validation", tokenized.get("test"))

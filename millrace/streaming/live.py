@@ -19,7 +19,7 @@ from millrace.operators.ordering import order_key, split_bounds, split_label
 from millrace.operators.samples import build_samples, version_label
 from millrace.options import BuildOptions, ScanOptions
 from millrace.schemas import CODE_FILES, SAMPLES
-from millrace.session import path_exists
+from millrace.session import path_exists, spread
 
 BATCH = T.StructField("batch_id", T.LongType())
 STREAM_FILES = T.StructType([*CODE_FILES.fields, T.StructField("safe_name", T.StringType()), BATCH])
@@ -49,11 +49,6 @@ def _store(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def scan_stream(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """All file rules are stateless, so they run on a stream as they are."""
-    return scan_files(files, options)
-
-
 def stream_ingest(
     files: DataFrame, store: str, checkpoint: str, options: ScanOptions = ScanOptions()
 ) -> DataStreamWriter:
@@ -64,7 +59,7 @@ def stream_ingest(
     """
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived = dedupe_content(batch).withColumn("safe_name", safe_name(F.col("rel_path"))).persist()
+        arrived = dedupe_content(scan_files(spread(batch), options)).withColumn("safe_name", safe_name(F.col("rel_path"))).persist()
         try:
             keys = ["repo", "content_hash"]
             stored = _earlier(spark, store, STREAM_FILES, batch_id).select(*keys)
@@ -74,7 +69,7 @@ def stream_ingest(
             arrived.unpersist()
 
     return (
-        scan_stream(files, options).writeStream.foreachBatch(add)
+        files.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
 
@@ -86,7 +81,7 @@ def stream_dedupe_state(
     arrival time column to forget content after ``within``."""
     keys = ["repo", "content_hash"]
     if arrival is None:
-        return scan_stream(files, options).dropDuplicates(keys)
+        return scan_files(files, options).dropDuplicates(keys)
     timed = scan_files(files.withWatermark(arrival, within), options, carry=(arrival,))
     return timed.dropDuplicatesWithinWatermark(keys)
 
@@ -104,7 +99,7 @@ def stream_dataset_build(
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = build_samples(batch, options).withColumns({
+        fresh = build_samples(spread(batch), options).withColumns({
             "merge_key": merge_key("text"),
             "split_key": order_key(options.split.seed, "id", "text"),
         })

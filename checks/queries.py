@@ -621,7 +621,7 @@ def sample_ids(spark, sf):
 # ---- tokens ----------------------------------------------------------------------------------
 
 def vocabulary(spark, sf):
-    return stage(T.build_vocabulary(documents(spark, sf), size=VOCABULARY), "vocabulary")
+    return T.build_vocabulary(documents(spark, sf), size=VOCABULARY)
 
 
 @query
@@ -647,7 +647,7 @@ def truncate_prompt(spark, sf):
 @query
 def pad_batches(spark, sf):
     made = T.tokenize(documents(spark, sf), vocabulary(spark, sf), ["doc_id"], max_length=64)
-    return T.pad_batches(made, "doc_id").select(
+    return T.pad_batches(stage(made, "tokenized"), "doc_id").select(
         "doc_id", "batch_id", F.col("slot").cast("bigint").alias("slot"), joined("input_ids").alias("input_ids"),
         joined("attention_mask").alias("attention_mask"), joined("labels").alias("labels"))
 

@@ -43,9 +43,10 @@ def split_sizes(n: Column, options: SplitOptions = SplitOptions()) -> dict[str,
 
 
 def split_bounds(keyed: DataFrame, key: str, options: SplitOptions = SplitOptions()) -> DataFrame:
-    """One row: the key at which validation starts and the key at which test starts.
+    """One row: validation_from and test_from, the keys at which those splits start, and the
+    rows each split gets.
 
-    Buckets holding a bound are at most two. Inside them equal keys are counted together before
+    Buckets that matter are at most three. Inside them equal keys are counted together before
     the running sum, so copies of one id do not pile up in a task.
     """
     sizes = split_sizes(F.col("n"), options)
@@ -57,22 +58,38 @@ def split_bounds(keyed: DataFrame, key: str, options: SplitOptions = SplitOption
     def inside(at: str, first: str, size: str) -> Column:
         return (F.col(first) <= F.col(at)) & (F.col(at) < F.col(first) + F.col(size))
 
-    edges = offsets.filter(inside("validation_at", "first", "size") | inside("test_at", "first", "size"))
+    # an empty split has its bound behind the last row; the last bucket then stands in for it
+    last = F.col("first") + F.col("size") == F.col("n")
+    edges = offsets.filter(
+        inside("validation_at", "first", "size") | inside("test_at", "first", "size") | last
+    )
     near = keyed.select(F.col(key).alias("key"), _bucket(key).alias("bucket")).join(
-        F.broadcast(edges.select("bucket", "first", "validation_at", "test_at")), "bucket"
+        F.broadcast(edges.drop("size")), "bucket"
     )
-    counted = near.groupBy("bucket", "first", "validation_at", "test_at", "key").agg(F.count("*").alias("copies"))
+    counted = near.groupBy(*edges.drop("size").columns, "key").agg(F.count("*").alias("copies"))
     running = F.sum("copies").over(Window.partitionBy("bucket").orderBy("key"))
     placed = counted.withColumn("at", F.col("first") + running - F.col("copies"))
+
+    def start(at: str, value: str) -> Column:
+        return F.max(F.when(inside(at, "at", "copies"), F.col(value)))
+
+    total = F.coalesce(F.max("n"), F.lit(0))
     return placed.agg(
-        F.coalesce(F.max(F.when(inside("validation_at", "at", "copies"), F.col("key"))), F.lit(ABOVE_ALL_KEYS))
-        .alias("validation_from"),
-        F.coalesce(F.max(F.when(inside("test_at", "at", "copies"), F.col("key"))), F.lit(ABOVE_ALL_KEYS))
-        .alias("test_from"),
+        F.coalesce(start("validation_at", "key"), F.lit(ABOVE_ALL_KEYS)).alias("validation_from"),
+        F.coalesce(start("test_at", "key"), F.lit(ABOVE_ALL_KEYS)).alias("test_from"),
+        total.alias("total_samples"),
+        F.coalesce(start("validation_at", "at"), total).alias("before_validation"),
+        F.coalesce(start("test_at", "at"), total).alias("before_test"),
+    ).select(
+        "validation_from", "test_from", "total_samples",
+        F.col("before_validation").alias("train_samples"),
+        (F.col("before_test") - F.col("before_validation")).alias("validation_samples"),
+        (F.col("total_samples") - F.col("before_test")).alias("test_samples"),
     )
 
 
-def split_label(key: Column, bounds: Column) -> Column:
+def split_label(key: Column, bounds) -> Column:
+    """``bounds``: a struct column, or a collected row, with validation_from and test_from."""
     return (
         F.when(key < bounds["validation_from"], "train")
         .when(key < bounds["test_from"], "validation")

@@ -144,7 +144,10 @@ def pad_batches(
     tokenized: DataFrame, *id_columns: str, batch_size: int = TokenOptions.batch_size, seed: int = 42,
     pad_id: int = END_ID,
 ) -> DataFrame:
-    """Batches in the seeded order, padded to their longest row; padding is masked and ignored."""
+    """Batches in the seeded order, padded to their longest row; padding is masked and ignored.
+
+    ``tokenized`` is read twice (bucket counts, then rows): give a stored table.
+    """
     ranked = global_rank(tokenized, *id_columns, seed=seed)
     batched = ranked.withColumns({
         "batch_id": F.floor(F.col("rank") / batch_size),

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from millrace.operators.catalog import conform, row_id
 from millrace.operators.merge import union_incremental
-from millrace.operators.ordering import exact_split, order_key, shuffle, split_counts
+from millrace.operators.ordering import order_key, shuffle, split_bounds, split_label
 from millrace.operators.samples import build_samples, language_counts, languages_json
 from millrace.options import BuildOptions
 from millrace.session import drop_path, stage, work_path
 from millrace.sources.stores import write_metadata, write_split_jsonl
 
 KEY = "split_key"
+METADATA = ("version string, total_samples long, train_samples long, val_samples long, test_samples long, "
+            "languages string, output_path string")
 
 
 @dataclass
@@ -25,12 +27,6 @@ class BuildResult:
     version: DataFrame   # one dataset_versions row
 
 
-def split_dataset(samples: DataFrame, options: BuildOptions = BuildOptions()) -> DataFrame:
-    """Key on id and text: after an incremental build two rows may share an id, never both."""
-    keyed = samples.withColumn(KEY, order_key(options.split.seed, "id", "text"))
-    return exact_split(keyed, options=options.split, key=KEY)
-
-
 def build_dataset(
     files: DataFrame,
     output_dir: str,
@@ -46,6 +42,8 @@ def build_dataset(
 
     Samples are written to the shared folder once; the counts and the search for the two split
     bounds then read single columns of that table, and only the final write moves text again.
+    The driver sees one row of bounds and one count per language. Rows are keyed on id and text:
+    after an incremental build two of them may share an id, but never both.
     """
     spark = files.sparkSession
     path = f"{output_dir}/{version}"
@@ -61,28 +59,26 @@ def _build(files, path, version, options, existing, fresh_path, merged_path) ->
     spark = files.sparkSession
     keyed_by = order_key(options.split.seed, "id", "text")
     fresh = stage(build_samples(files, options).withColumn(KEY, keyed_by), "samples", fresh_path)
-    if fresh.isEmpty():
-        raise ValueError("the files give no samples")
-    counts = language_counts(fresh.select("language"), files.select("language"))
+    languages = languages_json(language_counts(fresh.select("language"), files.select("language"))).first()
     merged = fresh
     if existing is not None:
+        if fresh.isEmpty():
+            raise ValueError("the files give no samples")
         both = union_incremental(fresh, existing.withColumn(KEY, keyed_by))
         merged = stage(both, "merged", merged_path)
 
-    labelled = exact_split(merged, options=options.split, key=KEY)
+    bounds = split_bounds(merged.select(KEY), KEY, options.split).first()
+    if not bounds.total_samples:
+        raise ValueError("the files give no samples")
+    labelled = merged.withColumn("split", split_label(F.col(KEY), bounds))
     write_split_jsonl(shuffle(labelled, key=KEY).drop(KEY), dataset_path(path))
 
-    totals = split_counts(labelled.select("split"))
-    metadata = totals.withColumns({
-        "version": F.lit(version),
-        "languages": languages_json(counts).select("languages").scalar(),
-        "output_path": F.lit(path),
-    }).select(
-        "version", "total_samples", "train_samples", F.col("validation_samples").alias("val_samples"),
-        "test_samples", "languages", "output_path",
-    )
+    metadata = spark.createDataFrame([(
+        version, bounds.total_samples, bounds.train_samples, bounds.validation_samples, bounds.test_samples,
+        languages.languages, path,
+    )], METADATA)
     write_metadata(metadata, f"{path}/metadata")
-    written = spark.read.schema(metadata.schema).json(f"{path}/metadata")
+    written = spark.read.schema(METADATA).json(f"{path}/metadata")
     row = conform(
         written.withColumn("path", F.col("output_path")).withColumn("id", row_id("version", "path")),
         "dataset_versions",

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.constants import COMPLETE_LIMITS, COMPLETION_STOPS, GENERATE_LIMITS, PROMPT_MAX_TOKENS
 from millrace.functions import prompts as P
@@ -15,6 +16,11 @@ from millrace.operators.tokens import map_batches, pieces, token_ids, truncate_p
 from millrace.options import GenerationDefaults
 
 DEFAULTS = GenerationDefaults()
+MODEL_OUTPUT = (
+    T.StructField("raw_text", T.StringType()),
+    T.StructField("tokens_generated", T.IntegerType()),
+    T.StructField("elapsed", T.DoubleType()),
+)
 
 
 def validate_requests(requests: DataFrame, limits=GENERATE_LIMITS) -> DataFrame:
@@ -76,8 +82,7 @@ def prompt_tokens(requests: DataFrame, vocabulary: DataFrame | Broadcast, keep:
 
 def run_model(prepared: DataFrame, generate: Callable) -> DataFrame:
     """``generate(pandas frame)`` adds raw_text, tokens_generated and elapsed (seconds)."""
-    schema = prepared.schema.add("raw_text", "string").add("tokens_generated", "int").add("elapsed", "double")
-    return map_batches(prepared, generate, schema)
+    return map_batches(prepared, generate, T.StructType([*prepared.schema.fields, *MODEL_OUTPUT]))
 
 
 def finish(results: DataFrame, stops: Sequence[str] = ()) -> DataFrame:

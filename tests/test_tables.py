@@ -1,0 +1,149 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import catalog as K
+from millrace.operators import checkpoints as H
+from millrace.operators import tokens as T
+from millrace.schemas import CATALOG_TABLES, DEFAULTS
+from millrace.sources import trainer_state, tree
+
+
+def test_every_table_fills_its_defaults(spark):
+    for name, schema in CATALOG_TABLES.items():
+        row = K.conform(spark.createDataFrame([("x",)], "id string"), name)
+        assert row.schema.fieldNames() == schema.fieldNames()
+        values = row.first().asDict()
+        for column, default in DEFAULTS[name].items():
+            assert isinstance(values[column], dt.datetime) if default == "now" else values[column] == default
+        assert K.empty_table(spark, name).count() == 0
+
+
+def test_iso_timestamps(values):
+    rows = [(dt.datetime(2024, 1, 2, 3, 4, 5),), (dt.datetime(2024, 1, 2, 3, 4, 5, 60),)]
+    assert values(rows, "t timestamp", K.iso_timestamp(F.col("t"))) == [r[0].isoformat() for r in rows]
+
+
+def test_latest_dataset_tries_only_the_newest_version(spark):
+    schema = "id string, path string, created_at timestamp, path_exists boolean"
+    day = lambda d: dt.datetime(2024, 1, d)
+    versions = spark.createDataFrame([("1", "a", day(1), True), ("2", "b", day(2), False)], schema)
+    folders = spark.createDataFrame([("x", day(1)), ("y", day(3))], "path string, modified_at timestamp")
+    assert K.latest_dataset(versions, folders).first().path == "y"
+    assert K.latest_dataset(versions.filter("id = 1"), folders).first().path == "a"
+    assert K.latest_dataset(versions).isEmpty()
+    tied = spark.createDataFrame([("1", "a", day(1), True), ("2", "b", day(1), True)], schema)
+    assert K.latest_dataset(tied).first().path == "b"
+
+
+def test_json_columns(spark):
+    runs = spark.createDataFrame([("1", '{"eval_loss": 0.5}', '{"a": {"b": 3}}'), ("2", None, None)], "id string, metrics string, config string")
+    assert [r.eval_loss for r in K.metric_values(runs, "eval_loss").orderBy("id").collect()] == [0.5, None]
+    assert [r.b for r in K.config_values(runs, b="$.a.b").orderBy("id").collect()] == ["3", None]
+    versions = spark.createDataFrame([("1", '{"go": 2, "python": 5}')], "id string, languages string")
+    assert {r.language: r.samples for r in K.languages_map(versions).collect()} == {"go": 2, "python": 5}
+
+
+def checkpoints(spark, rows):
+    return spark.createDataFrame(rows, "run_id int, step long, loss double")
+
+
+def test_best_checkpoint(spark):
+    rows = checkpoints(spark, [
+        (1, 10, 0.5), (1, 30, 0.2), (1, 20, 0.2), (1, 40, None),  # a tie: the lower step
+        (2, 5, None), (2, 9, None),                              # no loss: the highest step
+        (3, 7, 0.1), (3, 8, 0.9),                                # a recorded best wins
+        (4, 1, 0.3), (4, 2, 0.4),                                # the recorded one is gone
+    ])
+    recorded = spark.createDataFrame([(3, 8), (4, 99)], "run_id int, step long")
+    assert {r.run_id: r.step for r in H.best_checkpoint(rows, recorded).collect()} == {1: 20, 2: 9, 3: 8, 4: 1}
+    assert {r.run_id: r.step for r in H.best_checkpoint(rows).collect()} == {1: 20, 2: 9, 3: 7, 4: 1}
+    plan = H.best_checkpoint(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 1, Partial" in plan
+
+
+def test_retention(spark):
+    rows = checkpoints(spark, [(1, s, None) for s in (10, 20, 30, 40, 100)] + [(2, 1, None)])
+    assert sorted(r.step for r in H.checkpoint_retention(rows).collect()) == [10, 20]
+    assert H.checkpoint_retention(rows, 0).isEmpty()
+    assert sorted(r.step for r in H.checkpoint_retention(rows, 1).collect()) == [10, 20, 30, 40]
+    with pytest.raises(ValueError):
+        H.checkpoint_retention(rows, -1)
+
+
+def test_trainer_state_files(spark, tmp_path):
+    run = tmp_path / "run"
+    states = {
+        "checkpoint-100": '{"log_history": [{"loss": 0.9}, {"loss": 0.4, "epoch": 1}, {"eval_loss": 0.1}]}',
+        "checkpoint-20": '{"log_history": [{"eval_loss": 0.3}]}',
+        "checkpoint-30": "{broken",
+        "checkpoint-40": '{"log_history": [{"loss": 0.7}, {"loss": null}]}',
+        "checkpoint-5": None,
+    }
+    for name, state in states.items():
+        (run / name).mkdir(parents=True)
+        if state is not None:
+            (run / name / "trainer_state.json").write_text(state)
+    (run / "checkpoint-file").write_text("not a folder")
+    (run / "trainer_state.json").write_text('{"best_model_checkpoint": "%s"}' % (run / "checkpoint-20"))
+    listing = tree.list_tree(spark.createDataFrame([("run", str(run))], "repo string, path string"))
+    found = trainer_state.read_trainer_state(listing)
+    assert {r.step: r.loss for r in found.collect()} == {100: 0.4, 20: None, 30: None, 40: None, 5: None}
+    assert [r.step for r in H.list_checkpoints(found).collect()] == [5, 20, 30, 40, 100]
+    best = trainer_state.recorded_best(listing)
+    assert H.best_checkpoint(found, best).first().step == 20
+
+
+DOCS = [(1, "a b b c."), (2, ""), (3, "b 日本_1 x²")]
+
+
+def docs(spark):
+    return spark.createDataFrame(DOCS, "id int, text string")
+
+
+def test_vocabulary_order(spark):
+    rows = T.build_vocabulary(docs(spark), size=3).orderBy("token_id").collect()
+    assert [(r.token, r.n, r.token_id) for r in rows] == [("b", 3, 2), (".", 1, 3), ("a", 1, 4)]
+    with pytest.raises(ValueError):
+        T.build_vocabulary(docs(spark), size=0)
+
+
+def test_tokenize(spark):
+    vocabulary = T.build_vocabulary(docs(spark), size=3)
+    done = {r.id: r for r in T.tokenize(docs(spark), vocabulary, ["id"], max_length=4).collect()}
+    assert [done[i].input_ids for i in (1, 2, 3)] == [[4, 2, 2, 0], [], [2, 0, 0]]
+    assert done[1].attention_mask == [1, 1, 1, 1] and done[3].labels == [2, 0, 0]
+    null = spark.createDataFrame([(9, None)], "id int, text string")
+    assert not T.tokenize(null, vocabulary, ["id"]).first().input_ids
+
+
+def test_tokenize_with_a_given_tokenizer(spark):
+    done = T.tokenize_with(docs(spark), lambda texts: [[ord(c) for c in t] for t in texts], ["id", "text"], max_length=2)
+    assert {r.id: r.input_ids for r in done.collect()} == {1: [97, 32], 2: [], 3: [98, 32]}
+
+
+def test_token_stats(spark):
+    row = T.token_stats(docs(spark), "id", sample=2).first()
+    assert (row["mean"], row["max"], row["min"], row.total_tokens, row.samples) == (2.5, 5, 0, 5, 2)
+    assert T.token_stats(docs(spark), "id", sample=None).first().samples == 3
+
+
+def test_padded_batches(spark):
+    rows = spark.range(10).select("id", F.expr("sequence(1, cast(id as int) + 1)").alias("input_ids"))
+    rows = rows.withColumns({"attention_mask": F.transform("input_ids", lambda _: F.lit(1)), "labels": F.col("input_ids")})
+    done = T.pad_batches(rows, "id", batch_size=4).collect()
+    batches = {}
+    for r in done:
+        batches.setdefault(r.batch_id, []).append(r)
+        assert r.input_ids == list(range(1, r.id + 2)) + [1] * (len(r.input_ids) - r.id - 1)
+        assert r.labels == list(range(1, r.id + 2)) + [-100] * (len(r.labels) - r.id - 1)
+        assert sum(r.attention_mask) == r.id + 1
+    assert sorted(len(b) for b in batches.values()) == [2, 4, 4]
+    for batch in batches.values():
+        assert {len(r.input_ids) for r in batch} == {max(r.id for r in batch) + 1}
+
+
+def test_map_batches_drops_columns(spark):
+    done = T.map_batches(docs(spark), lambda f: f.assign(n=f["id"] * 2), "id int, n long", ["id"])
+    assert {r.id: r.n for r in done.collect()} == {1: 2, 2: 4, 3: 6}

@@ -244,8 +244,7 @@ sql("latest_dataset", f"""WITH {cte('versions_in')},
 newest AS (SELECT * FROM versions_in ORDER BY created_at DESC, id DESC LIMIT 1),
 folder AS (SELECT 'folder/' || version AS path FROM versions_in ORDER BY created_at DESC, path LIMIT 1)
 SELECT CASE WHEN path_exists = 1 THEN 'dataset/' || version ELSE (SELECT path FROM folder) END AS path FROM newest""")
-sql("last_loss", """SELECT user_id AS run_id, arg_max(value, event_id) FILTER (event_type <> 'error') AS loss
-FROM events GROUP BY user_id""")
+sql("last_loss", "SELECT event_id, CASE WHEN event_type = 'error' THEN value ELSE value / 2 END AS loss FROM events")
 sql("best_checkpoint", f"""WITH {cte('checkpoints_in')},
 rec AS (SELECT user_id, min(event_id) AS step FROM events WHERE event_type = 'signup' GROUP BY user_id)
 SELECT run_id, c.step, loss FROM checkpoints_in c LEFT JOIN rec ON rec.user_id = run_id AND rec.step = c.step

@@ -412,11 +412,14 @@ def latest_dataset(spark, sf):
 
 @query
 def last_loss(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
-    history = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("h"))
-    log = F.transform("h", lambda e: F.create_map(
-        F.when(e["event_type"] == "error", "eval_loss").otherwise("loss"), e["value"].cast("string")))
-    return history.select(F.col("user_id").alias("run_id"), H.last_loss(log).alias("loss"))
+    """A log of three entries per event; the last one of an error event has no loss."""
+    def entry(name, value):
+        return F.create_map(name, value.cast("string"))
+
+    value = F.col("value")
+    last = F.when(F.col("event_type") == "error", F.lit("epoch")).otherwise(F.lit("loss"))
+    log = F.array(entry(F.lit("loss"), value), entry(F.lit("eval_loss"), value + 1), entry(last, value / 2))
+    return table(spark, sf, "events").select("event_id", H.last_loss(log).alias("loss"))
 
 
 @query

@@ -13,6 +13,7 @@ from millrace.constants import IGNORED_LABEL, PROMPT_MAX_TOKENS
 from millrace.functions.text import WORD, WS
 from millrace.operators.ordering import global_rank
 from millrace.options import TokenOptions
+from millrace.session import stage
 
 UNKNOWN_ID = 0
 END_ID = 1  # also pads
@@ -29,18 +30,33 @@ def pieces(text: Column) -> Column:
 def build_vocabulary(docs: DataFrame, text: str = "text", size: int = TokenOptions.vocabulary_size) -> DataFrame:
     """The ``size`` most frequent pieces (ties: smaller text first) as token, n, token_id.
 
-    Counting combines on the map side, so a piece making up much of the corpus is no hot spot;
-    the final ranking sees at most ``size`` rows.
+    Counting combines on the map side, so a piece making up much of the corpus is no hot spot.
+    The counts are stored once. A histogram over powers of two (at most 64 rows) then gives a
+    count that at least ``size`` pieces reach, and only pieces reaching it are ranked; otherwise
+    every partition would send its own ``size`` best rows to one task.
     """
     if not 0 < size <= MAX_VOCABULARY:
         raise ValueError(f"size must be between 1 and {MAX_VOCABULARY}")
-    counted = docs.select(F.explode(pieces(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    found = docs.select(F.explode(pieces(F.col(text))).alias("token"))
+    counted = stage(found.groupBy("token").agg(F.count("*").alias("n")), "token-counts")
     order = [F.desc("n"), F.asc("token")]
-    top = counted.orderBy(*order).limit(size)
+    top = counted.filter(F.col("n") >= _count_reached(counted, size)).orderBy(*order).limit(size)
     rank = F.row_number().over(Window.orderBy(*order))
     return top.withColumn("token_id", (rank + (FIRST_WORD_ID - 1)).cast("int"))
 
 
+def _count_reached(counted: DataFrame, size: int) -> int:
+    """The largest power of two that at least ``size`` pieces reach, or 1."""
+    digits = F.length(F.bin("n"))
+    bins = {row.digits: row["count"] for row in counted.groupBy(digits.alias("digits")).count().collect()}
+    seen = 0
+    for digits in sorted(bins, reverse=True):
+        seen += bins[digits]
+        if seen >= size:
+            return 2 ** (digits - 1)
+    return 1
+
+
 def map_batches(
     df: DataFrame, function: Callable, schema: T.StructType | str, columns: list[str] | None = None
 ) -> DataFrame:

@@ -22,7 +22,10 @@ from millrace.schemas import CODE_FILES, SAMPLES
 from millrace.session import path_exists, spread
 
 BATCH = T.StructField("batch_id", T.LongType())
-STREAM_FILES = T.StructType([*CODE_FILES.fields, T.StructField("safe_name", T.StringType()), BATCH])
+REPO_BUCKETS = 256
+STREAM_FILES = T.StructType([
+    *CODE_FILES.fields, T.StructField("safe_name", T.StringType()), BATCH, T.StructField("repo_bucket", T.IntegerType()),
+])
 STREAM_SAMPLES = T.StructType([
     *SAMPLES.fields, T.StructField("merge_key", T.StringType()), T.StructField("split_key", T.StringType()), BATCH,
 ])
@@ -45,8 +48,8 @@ def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int
     return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
 
 
-def _store(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _store(rows: DataFrame, path: str, batch_id: int, *folders: str) -> None:
+    rows.write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/batch_id={batch_id}")
 
 
 def stream_ingest(
@@ -54,17 +57,23 @@ def stream_ingest(
 ) -> DataStreamWriter:
     """Store arriving files; content already stored for the repo, or repeated in the batch, goes.
 
-    The stored hashes are first cut to those of this batch's keys: the join that meets the whole
-    store carries two columns and its other side is one micro-batch.
+    Repos are dealt into folders, and a batch looks only into those of its own repos. There the
+    stored keys are cut to the batch's keys first, so that the side joined against the store is
+    never larger than one micro-batch.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived = dedupe_content(scan_files(spread(batch), options)).withColumn("safe_name", safe_name(F.col("rel_path"))).persist()
+        arrived = dedupe_content(scan_files(spread(batch), options)).withColumns({
+            "safe_name": safe_name(F.col("rel_path")),
+            "repo_bucket": F.pmod(F.xxhash64("repo"), F.lit(REPO_BUCKETS)).cast("int"),
+        }).persist()
         try:
             keys = ["repo", "content_hash"]
-            stored = _earlier(spark, store, STREAM_FILES, batch_id).select(*keys)
-            repeated = stored.join(arrived.select(*keys), keys, "left_semi").distinct()
-            _store(arrived.join(repeated, keys, "left_anti"), store, batch_id)
+            touched = [row.repo_bucket for row in arrived.select("repo_bucket").distinct().collect()]
+            stored = _earlier(spark, store, STREAM_FILES, batch_id).filter(F.col("repo_bucket").isin(touched))
+            repeated = stored.join(arrived.select(*keys), keys, "left_semi").select(*keys).distinct()
+            fresh = arrived.join(repeated, keys, "left_anti")
+            _store(fresh.hint("rebalance", "repo_bucket"), store, batch_id, "repo_bucket")
         finally:
             arrived.unpersist()
 
@@ -92,8 +101,8 @@ def stream_dataset_build(
     """Each micro-batch adds its new samples and one version row.
 
     A version is "all batches up to here" plus the two keys where validation and test start, so
-    earlier text is never rewritten: the merge reads stored merge keys, the bounds stored split
-    keys. read_version puts the two together.
+    earlier text is never rewritten: the merge reads stored merge keys and cuts them to those of
+    the batch, the bounds read stored split keys. read_version puts the two together.
     """
     samples_path, versions_path = f"{output}/samples", f"{output}/versions"
 
@@ -102,10 +111,13 @@ def stream_dataset_build(
         fresh = build_samples(spread(batch), options).withColumns({
             "merge_key": merge_key("text"),
             "split_key": order_key(options.split.seed, "id", "text"),
-        })
-        earlier = _earlier(spark, samples_path, STREAM_SAMPLES, batch_id)
-        known = earlier.select("merge_key").distinct()
-        _store(fresh.join(known, "merge_key", "left_anti"), samples_path, batch_id)
+        }).persist()
+        try:
+            earlier = _earlier(spark, samples_path, STREAM_SAMPLES, batch_id).select("merge_key")
+            known = earlier.join(fresh.select("merge_key").distinct(), "merge_key", "left_semi").distinct()
+            _store(fresh.join(known, "merge_key", "left_anti"), samples_path, batch_id)
+        finally:
+            fresh.unpersist()
 
         stored = spark.read.schema(STREAM_SAMPLES).parquet(samples_path).filter(F.col("batch_id") <= batch_id)
         counts = stored.agg(

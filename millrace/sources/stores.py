@@ -18,19 +18,24 @@ RAW_STORE = T.StructType(
 )
 
 
-def write_raw_store(files: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by repo and language.
+def write_raw_store(
+    files: DataFrame, path: str, folders: tuple[str, ...] = ("repo", "language"), mode: str = "overwrite"
+) -> None:
+    """Parquet in folders by repo and language.
 
     The rebalance hint gathers a folder's rows so tasks do not each write a file to every
-    folder, and lets Spark divide the rows of an oversized repo and join small ones.
+    folder, and lets Spark divide the rows of an oversized repo and join small ones. With very
+    many repos give ``folders=("language",)``: repo is then a column, sorted so that row groups
+    of other repos are skipped.
     """
-    stored = files.withColumn("safe_name", safe_name(F.col("rel_path")))
-    stored.hint("rebalance", "repo", "language").write.mode(mode).partitionBy("repo", "language").parquet(path)
+    stored = files.withColumn("safe_name", safe_name(F.col("rel_path"))).hint("rebalance", *folders)
+    order = dict.fromkeys([*folders, "repo"])
+    stored.sortWithinPartitions(*order).write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def scan_raw_store(spark: SparkSession, path: str) -> DataFrame:
-    """The language is the folder's, never detected again; filters on either prune folders."""
-    return spark.read.schema(RAW_STORE).parquet(path)
+    """The language is the folder's, never detected again; filters on folders prune them."""
+    return spark.read.schema(RAW_STORE).parquet(path).select(*RAW_STORE.fieldNames())
 
 
 def write_split_jsonl(dataset: DataFrame, path: str) -> None:

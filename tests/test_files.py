@@ -86,3 +86,11 @@ def test_raw_store_round_trip(spark):
     pruned = stored.filter("repo = 's'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(repo" in pruned
     assert path.startswith(shared_dir(spark))
+
+
+def test_raw_store_with_repo_as_a_column(spark):
+    files = FI.scan_files(raw(spark, [("r", "a.py", BODY), ("s", "x.go", BODY)]))
+    path = work_path(spark, "raw")
+    stores.write_raw_store(files, path, folders=("language",))
+    stored = stores.scan_raw_store(spark, path)
+    assert sorted((r.repo, r.language, r.content) for r in stored.collect()) == [("r", "python", BODY), ("s", "go", BODY)]

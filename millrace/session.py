@@ -62,12 +62,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a plain scan only when it has fewer splits than the session has cores.
+    """Repartition a plain scan only when Spark had to shrink its splits to occupy the cores.
 
-    Meant for a few large row groups feeding expensive per-row work. A scan that already has
-    enough splits - any large table - comes back untouched, so no shuffle is added at scale.
+    Splits smaller than a row group stay empty, so a few large row groups would feed expensive
+    per-row work through as few tasks. A scan with more splits than cores - any large table -
+    comes back untouched, so no shuffle is added at scale.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    if scan.rdd.getNumPartitions() > cores:
         return scan
     return scan.repartition(cores, *keys)

@@ -101,16 +101,16 @@ def exact_split(
     df: DataFrame, *id_columns: str, options: SplitOptions = SplitOptions(), key: str | None = None
 ) -> DataFrame:
     """Add ``split``. Sizes are exact when the id columns identify a row; copies of one id are
-    never torn apart. Rows are not shuffled: two bounds are found, then every row is compared.
+    never torn apart. Rows are not shuffled: a first job finds two bounds (one row reaches the
+    driver), then every row is compared with two constants.
 
-    ``key`` names a column that already holds the order key. The input is read three times; give
-    a stored table (session.stage) when it is costly to compute.
+    ``key`` names a column that already holds the order key. The input is read twice for the
+    bounds and once for the rows; give a stored table (session.stage) when it is costly.
     """
     keyed = df if key else df.withColumn("_key", order_key(options.seed, *id_columns))
     name = key or "_key"
-    bounds = split_bounds(keyed.select(name), name, options)
-    cut = bounds.select(F.struct("validation_from", "test_from")).scalar()
-    labelled = keyed.withColumn("split", split_label(F.col(name), cut))
+    bounds = split_bounds(keyed.select(name), name, options).first()
+    labelled = keyed.withColumn("split", split_label(F.col(name), bounds))
     return labelled if key else labelled.drop("_key")
 
 

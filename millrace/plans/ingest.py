@@ -11,6 +11,7 @@ from millrace.functions.text import repo_name
 from millrace.operators.catalog import empty_table, new_catalog_rows, upsert_repositories
 from millrace.operators.files import dedupe_content, repo_summary, scan_files
 from millrace.options import ScanOptions
+from millrace.session import stage
 from millrace.sources.stores import scan_raw_store, write_raw_store
 
 
@@ -52,7 +53,7 @@ def ingest(
     stored = scan_raw_store(spark, raw_path)
 
     counts = repo_summary(stored)
-    summary = requests.join(counts, "repo", "left").select(
+    results = requests.join(counts, "repo", "left").select(
         "url",
         repo_name(F.col("url")).alias("name"),
         "branch",
@@ -63,6 +64,7 @@ def ingest(
         F.concat_ws("/", F.lit(raw_path), F.concat(F.lit("repo="), "repo")).alias("local_path"),
         "error",
     )
+    summary = stage(results, "ingest-summary")  # one row per repository, read several times below
     after = upsert_repositories(repositories, summary)
     owners = after.select(F.col("id").alias("repository_id"), "url").join(
         summary.select("url", "repo"), "url"

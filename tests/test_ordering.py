@@ -56,8 +56,10 @@ def test_rank_and_shuffle_agree(spark):
 
 
 def test_no_window_without_a_key_over_the_data(spark):
-    """Only bucket counts may meet in one partition."""
-    plan = O.exact_split(spark.range(1000), "id")._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if "Window [" in line and "[bucket" not in line:
-            assert "sum(size" in line
+    """Only bucket counts may meet in one partition, and labelling moves no row."""
+    keyed = spark.range(1000).select(O.order_key(42, "id").alias("k"))
+    plan = O.split_bounds(keyed, "k")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("size#" in line or "[bucket#" in line for line in windows)
+    labels = O.exact_split(spark.range(1000), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in labels and "Window" not in labels

@@ -116,10 +116,9 @@ def scan_raw_store(spark, sf):
     return stored.select("repo", "rel_path", "line_count", digest())
 
 
-def built(spark, sf, existing=None, files=None):
-    files = code_files(spark, sf) if files is None else files
-    output = work_path(spark, "dataset")
-    return B.build_dataset(files.select("repo", "rel_path", "language", "content"), output, "v1", existing=existing)
+def built(spark, sf):
+    files = code_files(spark, sf).select("repo", "rel_path", "language", "content")
+    return B.build_dataset(files, work_path(spark, "dataset"), "v1")
 
 
 def version_folder(spark, sf):
@@ -714,10 +713,10 @@ def build_dataset(spark, sf):
 @query
 def incremental_build(spark, sf):
     files = code_files(spark, sf)
-    first = built(spark, sf, files=earlier(spark, sf, files)).version.select("path", "id", "created_at").withColumn("path_exists", F.lit(True))
-    latest = K.latest_dataset(first).first().path
-    existing = ST.read_samples_jsonl(spark, B.dataset_path(latest))
-    return dataset_rows(built(spark, sf, existing=existing, files=files))
+    inputs = ["repo", "rel_path", "language", "content"]
+    output = work_path(spark, "dataset")
+    first = B.build_dataset(earlier(spark, sf, files).select(*inputs), output, "v1")
+    return dataset_rows(B.incremental_build(files.select(*inputs), output, "v2", first.version))
 
 
 @query

@@ -7,13 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.catalog import conform, row_id
+from millrace.operators.catalog import conform, latest_dataset, row_id
 from millrace.operators.merge import union_incremental
 from millrace.operators.ordering import order_key, shuffle, split_bounds, split_label
 from millrace.operators.samples import build_samples, language_counts, languages_json
 from millrace.options import BuildOptions
-from millrace.session import drop_path, stage, work_path
-from millrace.sources.stores import write_metadata, write_split_jsonl
+from millrace.session import drop_path, path_exists, stage, work_path
+from millrace.sources.stores import (
+    read_samples_jsonl,
+    version_directories,
+    write_metadata,
+    write_split_jsonl,
+)
 
 KEY = "split_key"
 METADATA = ("version string, total_samples long, train_samples long, val_samples long, test_samples long, "
@@ -87,6 +92,27 @@ def _build(files, path, version, options, existing, fresh_path, merged_path) ->
     return BuildResult(dataset, written, row)
 
 
+def newest_version(versions: DataFrame, output_dir: str) -> str | None:
+    """Path of the newest recorded version if it is there, else of the newest version folder."""
+    spark = versions.sparkSession
+    newest = versions.orderBy(F.desc("created_at"), F.desc("id")).limit(1).collect()
+    checked = spark.createDataFrame(
+        [(row.id, row.path, row.created_at, path_exists(spark, row.path)) for row in newest],
+        "id string, path string, created_at timestamp, path_exists boolean",
+    )
+    found = latest_dataset(checked, version_directories(spark, output_dir)).first()
+    return found.path if found else None
+
+
+def incremental_build(
+    files: DataFrame, output_dir: str, version: str, versions: DataFrame, options: BuildOptions = BuildOptions()
+) -> BuildResult:
+    """Build on top of the newest version, or from nothing when there is none."""
+    latest = newest_version(versions, output_dir)
+    existing = read_samples_jsonl(files.sparkSession, dataset_path(latest)) if latest else None
+    return build_dataset(files, output_dir, version, options, existing)
+
+
 def dataset_path(version_path: str) -> str:
     """Where a version keeps its splits."""
     return f"{version_path}/data"

@@ -61,6 +61,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def list_directories(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """(path, modification time in seconds) of the folders directly in ``path``."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(jvm_path):
+        return []
+    found = files.listStatus(jvm_path)
+    return [(s.getPath().toString(), s.getModificationTime() / 1000) for s in found if s.isDirectory()]
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Repartition a plain scan only when Spark had to shrink its splits to occupy the cores.
 

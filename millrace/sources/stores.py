@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import safe_name
-from millrace.schemas import CODE_FILES, SAMPLES
-from millrace.session import path_exists
+from millrace.operators.catalog import empty_table
+from millrace.schemas import CATALOG_TABLES, CODE_FILES, SAMPLES
+from millrace.session import list_directories, path_exists
 
 SPLITS = ("train", "validation", "test")
 RAW_STORE = T.StructType(
@@ -48,7 +49,8 @@ def read_samples_jsonl(spark: SparkSession, path: str, schema: T.StructType = SA
     error, raised where the text is read."""
     read = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     text = F.coalesce("text", F.raise_error(F.lit("sample without text")))
-    return read.withColumn("text", text).select(*schema.fieldNames())
+    # the filter makes every read look at the text, a bare count as well
+    return read.withColumn("text", text).filter(F.col("text").isNotNull()).select(*schema.fieldNames())
 
 
 def load_split_dataset(spark: SparkSession, path: str, schema: T.StructType = SAMPLES) -> dict[str, DataFrame]:
@@ -62,3 +64,35 @@ def load_split_dataset(spark: SparkSession, path: str, schema: T.StructType = SA
 def write_metadata(metadata: DataFrame, path: str) -> None:
     """One row of JSON beside the splits."""
     metadata.coalesce(1).write.mode("overwrite").json(path)
+
+
+def version_directories(spark: SparkSession, output_dir: str) -> DataFrame:
+    """(path, modified_at) of the version folders, one row per dataset version."""
+    rows = list_directories(spark, output_dir)
+    found = spark.createDataFrame(rows, "path string, seconds double")
+    return found.select("path", F.timestamp_millis((F.col("seconds") * 1000).cast("long")).alias("modified_at"))
+
+
+def _snapshots(spark: SparkSession, base: str, table: str) -> list[tuple[int, str]]:
+    """Complete snapshots of a catalogue table, oldest first."""
+    folders = [path for path, _ in list_directories(spark, f"{base}/{table}")]
+    done = [path for path in folders if path_exists(spark, f"{path}/_SUCCESS")]
+    return sorted((int(path.rsplit("-", 1)[-1]), path) for path in done)
+
+
+def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
+    """The newest snapshot of a catalogue table; empty before the first one."""
+    found = _snapshots(spark, base, table)
+    if not found:
+        return empty_table(spark, table)
+    return spark.read.schema(CATALOG_TABLES[table]).parquet(found[-1][1])
+
+
+def write_table(rows: DataFrame, base: str, table: str) -> str:
+    """Write a whole new snapshot beside the old ones, so that rows may be read while they are
+    replaced and a failed write changes nothing. One writer at a time."""
+    spark = rows.sparkSession
+    found = _snapshots(spark, base, table)
+    path = f"{base}/{table}/snapshot-{found[-1][0] + 1 if found else 0}"
+    rows.select(*CATALOG_TABLES[table].fieldNames()).write.mode("overwrite").parquet(path)
+    return path

@@ -123,6 +123,7 @@ def test_broken_lines_are_skipped_and_missing_text_is_an_error(spark):
     path = work_path(spark, "jsonl")
     spark.createDataFrame([('{"id": "1", "text": "a"}',), ("",), ("{broken",), ('{"id": "2", "text": "b"}',)], "value string").write.text(path)
     assert sorted(r.text for r in stores.read_samples_jsonl(spark, path).collect()) == ["a", "b"]
+    assert stores.read_samples_jsonl(spark, path).count() == 2
     bad = work_path(spark, "jsonl")
     spark.createDataFrame([('{"id": "1"}',)], "value string").write.text(bad)
     with pytest.raises(Exception, match="sample without text"):
@@ -183,3 +184,29 @@ def test_staged_tables_are_removed_after_a_build(spark, monkeypatch):
     monkeypatch.setattr(B, "work_path", lambda s, label: paths.append(original(s, label)) or paths[-1])
     build(spark, code(spark, [("r", "a.py", "python", text(1))]))
     assert len(paths) == 2 and not any(path_exists(spark, p) for p in paths)
+
+
+def test_incremental_build_finds_the_newest_version(spark):
+    output = work_path(spark, "dataset")
+    catalog = work_path(spark, "catalog")
+    assert B.newest_version(stores.read_table(spark, catalog, "dataset_versions"), output) is None
+    files = code(spark, [("r", f"{i}.py", "python", text(i)) for i in range(4)])
+    first = B.incremental_build(files, output, "v1", stores.read_table(spark, catalog, "dataset_versions"))
+    stores.write_table(first.version, catalog, "dataset_versions")
+    versions = stores.read_table(spark, catalog, "dataset_versions")
+    assert B.newest_version(versions, output).endswith("/v1")
+    more = code(spark, [("r", f"{i}.py", "python", text(i)) for i in range(2, 7)])
+    second = B.incremental_build(more, output, "v2", versions)
+    assert second.metadata.first().total_samples == 7
+    gone = versions.withColumn("path", F.lit(output + "/lost"))
+    assert B.newest_version(gone, output).endswith("/v2")
+
+
+def test_catalogue_snapshots(spark):
+    base = work_path(spark, "catalog")
+    assert stores.read_table(spark, base, "repositories").isEmpty()
+    rows = K.conform(spark.createDataFrame([("1", "u", "n")], "id string, url string, name string"), "repositories")
+    stores.write_table(rows, base, "repositories")
+    again = stores.read_table(spark, base, "repositories")
+    stores.write_table(again.unionByName(again.withColumn("id", F.lit("2"))), base, "repositories")
+    assert sorted(r.id for r in stores.read_table(spark, base, "repositories").collect()) == ["1", "2"]

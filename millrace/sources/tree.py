@@ -9,7 +9,7 @@ every executor; a table of (repo, rel_path, content) needs none of this.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,32 +24,36 @@ READ_BATCH_BYTES = 32 * 1024 * 1024
 PARTITION_BYTES = 128 * 1024 * 1024
 
 
-def _list_level(batches: Iterator):
-    import os
-
-    import pandas as pd
-
-    columns = ["repo", "rel_path", "path", "is_dir", "bytes"]
-    for batch in batches:
-        for repo, rel_path, path in zip(batch["repo"], batch["rel_path"], batch["path"]):
-            rows = []
-            try:
-                entries = os.scandir(path)
-            except OSError:
-                continue
-            with entries:
-                for entry in entries:
-                    folder = entry.is_dir(follow_symlinks=False)
-                    if not folder and not entry.is_file():
-                        continue
-                    below = f"{rel_path}/{entry.name}" if rel_path else entry.name
-                    size = 0 if folder else entry.stat().st_size
-                    rows.append((repo, below, entry.path, folder, size))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+def _lister() -> Callable:
+    """Made here so that tasks get it by value and need no copy of this package."""
+    def list_level(batches: Iterator):
+        import os
+
+        import pandas as pd
+
+        columns = ["repo", "rel_path", "path", "is_dir", "bytes"]
+        for batch in batches:
+            for repo, rel_path, path in zip(batch["repo"], batch["rel_path"], batch["path"]):
+                rows = []
+                try:
+                    entries = os.scandir(path)
+                except OSError:
+                    continue
+                with entries:
+                    for entry in entries:
+                        folder = entry.is_dir(follow_symlinks=False)
+                        if not folder and not entry.is_file():
+                            continue
+                        below = f"{rel_path}/{entry.name}" if rel_path else entry.name
+                        size = 0 if folder else entry.stat().st_size
+                        rows.append((repo, below, entry.path, folder, size))
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
+
+    return list_level
 
 
 def list_tree(roots: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def list_tree(roots: DataFrame) -> DataFrame:
     level = 0
     frontier = roots.select("repo", F.lit("").alias("rel_path"), "path")
     while True:
-        found = frontier.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_list_level, LISTING)
+        found = frontier.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_lister(), LISTING)
         listed = stage(found, "level", f"{base}/level={level}")
         frontier = listed.filter("is_dir").select("repo", "rel_path", "path")
         level += 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, simhash
 
 Q = {}
 
@@ -27,3 +27,9 @@ def op1_decontaminate(spark, sf):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op2_simhash(spark, sf):
+    made = simhash.near_duplicates(table(spark, sf, "documents"))
+    return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

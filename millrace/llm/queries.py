@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, simhash
+from millrace.llm import decontaminate, pieces, simhash
 
 Q = {}
 
@@ -33,3 +33,17 @@ def op1_decontaminate(spark, sf):
 def op2_simhash(spark, sf):
     made = simhash.near_duplicates(table(spark, sf, "documents"))
     return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op3_sentencepiece(spark, sf):
+    docs, model = table(spark, sf, "documents").select("doc_id", "text"), pieces.compile_model(MODEL)
+    made = pieces.decode(pieces.encode(docs, model), model)
+    return made.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )

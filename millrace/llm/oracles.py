@@ -22,3 +22,22 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+SQL["op5_substrings"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+first AS (SELECT x, min(doc_id) AS least FROM win GROUP BY x HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, p FROM win JOIN first USING (x) WHERE least < doc_id),
+words AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM gone),
+lists AS (SELECT doc_id, list(q) AS qs FROM words GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(qs), 0) AS m, w, qs FROM d LEFT JOIN lists USING (doc_id)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+left_over AS (
+  SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.q) AS text
+  FROM each LEFT JOIN words ON words.doc_id = each.doc_id AND words.q = each.q WHERE words.q IS NULL GROUP BY each.doc_id)
+SELECT kept.doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM kept LEFT JOIN left_over USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, pieces, simhash
+from millrace.llm import decontaminate, pieces, simhash, substrings
 
 Q = {}
 
@@ -47,3 +47,9 @@ def op3_sentencepiece(spark, sf):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
+
+
+@query
+def op5_substrings(spark, sf):
+    made = substrings.remove_repeats(table(spark, sf, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

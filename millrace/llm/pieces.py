@@ -34,6 +34,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -48,7 +49,6 @@ KEPT_SEGMENTS = 1 << 18
 KEPT_LENGTH = 48
 KEPT_PAIRS = 1 << 20
 UNKNOWN_PENALTY = 10.0
-END = 0  # no character, so it cannot clash with one
 
 
 def _fields(data: bytes):
@@ -75,16 +75,16 @@ def _fields(data: bytes):
 
 
 class Paths(dict):
-    """Codes of segments. Short ones are kept in two generations: one in use moves on when the
+    """Codes of segments, all with the same lead. Short ones are kept in two generations: one in use moves on when the
     other is full."""
 
-    def __init__(self, model=None):
-        self.model, self.older = model, {}
+    def __init__(self, model=None, lead=""):
+        self.model, self.lead, self.older = model, lead, {}
 
     def __missing__(self, segment: str) -> bytes:
         out = self.older.get(segment)
         if out is None:
-            out = self.model.codes(segment)
+            out = self.model.codes(self.lead + segment)
         if len(segment) <= KEPT_LENGTH:
             if len(self) >= KEPT_SEGMENTS:
                 self.older = dict(self)
@@ -127,24 +127,30 @@ class Transducer:
         if self.kind == BPE:
             self.merges = {i: m for p, i in self.ids.items() if (m := self._merges(p)) is not None}
             arcs = {self.pieces[i] for i in self.merges}
-        self.root: dict = {}  # characters lead to nodes, END to the number of the piece that ends there
+        tree: dict = {}
         for p in arcs:
-            node = self.root
+            node = tree
             for c in p:
-                node = node.setdefault(c, {})
-            node[END] = self.ids[p]
+                node = node.setdefault(c, [None, {}])[1]
+        for p in arcs:
+            node, entry = tree, None
+            for c in p:
+                entry = node[c]
+                node = entry[1]
+            entry[0] = self.ids[p]
+        self.root = tree  # a character leads to [the piece that ends there, further characters]
         self.surface = [bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(SPACE_MARK, " ").encode() if k == NORMAL
                         else b" \xe2\x81\x87 " if k == UNKNOWN else b"" for p, k in zip(self.pieces, kinds)]
         longer = [p for p in self.ids if len(p) > 1]
         self.inside = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
-        inner = re.escape("".join(sorted({c for p in longer for c in p} - {SPACE_MARK})))
-        if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in longer) or not inner:
-            self.segment = re.compile(".+", re.S)
-        else:
-            self.segment = re.compile(f"{SPACE_MARK}*[{inner}]+|{SPACE_MARK}+|[^{inner}{SPACE_MARK}]", re.S)
+        chars = {c for p in longer for c in p} - {SPACE_MARK}
+        inner = re.escape("".join(sorted(chars)))
+        # whole words and lines can be looked up when nothing crosses into a space or over a line's end
+        self.by_word = bool(chars) and "\n" not in chars and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in longer)
+        self.segment = re.compile(f"{SPACE_MARK}*[{inner}]+|{SPACE_MARK}+|[^{inner}{SPACE_MARK}]" if self.by_word else ".+", re.S)
         self.length = [len(p) for p in self.pieces]
         self.meet: dict[int, bool] = {}
-        self.paths = Paths(self)
+        self.paths, self.words = Paths(self), Paths(self, SPACE_MARK)
 
     # ---- compiling -------------------------------------------------------------------------
 
@@ -189,17 +195,18 @@ class Transducer:
         text = text.replace(" ", SPACE_MARK)
         return SPACE_MARK + text if self.prefix and text else text
 
-    def arcs(self, segment: str, i: int) -> list[tuple[int, int]]:
-        """(piece or lone character, where it ends) of the arcs from position i, shortest first."""
-        node, j, out = self.root.get(segment[i]), i + 1, []
-        if node is None or END not in node:
-            out.append((len(self.pieces) + ord(segment[i]), j))
-        while node is not None:
-            if END in node:
-                out.append((node[END], j))
-            if j == len(segment):
+    def arcs(self, segment: str, i: int) -> list[int]:
+        """Pieces from position i on, shortest first; a character that is none counts as one."""
+        node, out = self.root, []
+        for c in segment[i:]:
+            entry = node.get(c)
+            if entry is None:
                 break
-            node, j = node.get(segment[j]), j + 1
+            t, node = entry
+            if t is not None:
+                out.append(t)
+        if not out or self.length[out[0]] > 1:
+            out.insert(0, len(self.pieces) + ord(segment[i]))
         return out
 
     def least_cost(self, segment: str) -> list[int]:
@@ -207,7 +214,8 @@ class Transducer:
         n = len(segment)
         cost, last = [0.0] + [float("inf")] * n, [(0, 0)] * (n + 1)
         for i in range(n):
-            for t, j in self.arcs(segment, i):
+            for t in self.arcs(segment, i):
+                j = i + (self.length[t] if t < len(self.pieces) else 1)
                 total = cost[i] - self.score.get(self._text(t), self.least)
                 if total < cost[j]:
                     cost[j], last[j] = total, (t, i)
@@ -220,19 +228,10 @@ class Transducer:
     def finite(self, segment: str) -> list[int]:
         """The one path of finite weight, for a byte-pair model: longest arcs first. A position has
         but one finite state, so one that led nowhere is not entered again."""
-        n, meet, root, length, lone = len(segment), self.meet, self.root, self.length, len(self.pieces)
+        n, meet, length, lone = len(segment), self.meet, self.length, len(self.pieces)
         path, choices, dead, i = [], [], set(), 0
         while True:
-            node, j, left = root.get(segment[i]), i + 1, []
-            if node is None or END not in node:
-                left.append(lone + ord(segment[i]))
-            while node is not None:
-                t = node.get(END)
-                if t is not None:
-                    left.append(t)
-                if j == n:
-                    break
-                node, j = node.get(segment[j]), j + 1
+            left = self.arcs(segment, i)
             while True:
                 if left:
                     t = left.pop()
@@ -263,7 +262,8 @@ class Transducer:
         """The piece numbers of a segment, four bytes each. No piece holds two neighbours that are
         not neighbours in some piece, so the segment is cut between such."""
         inside, paths = self.inside, self.paths
-        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in inside]
+        cuts = [] if segment[1:].isalpha() and len(segment) <= KEPT_LENGTH else [
+            i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in inside]
         if cuts:
             parts = [segment[i:j] for i, j in zip([0, *cuts], [*cuts, len(segment)])]
             return b"".join([paths[p] for p in parts])
@@ -283,11 +283,34 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """The piece numbers, four bytes each."""
-        return b"".join(map(self.paths.__getitem__, self.segment.findall(self.normalise(text))))
+        if not self.by_word or SPACE_MARK in text:
+            return self._segments(self.normalise(text))
+        if self.squeeze:
+            text = " ".join(x for x in text.split(" ") if x)
+        out = []
+        for i, line in enumerate(text.split("\n") if text else ()):
+            words = line.split(" ")
+            if i:
+                out.append(self.paths["\n"])
+            if i or not self.prefix:
+                if words[0]:
+                    out.append(self.paths[words[0]])
+                words = words[1:]
+            if "" in words:
+                out.append(self._segments(SPACE_MARK + SPACE_MARK.join(words)))
+            else:
+                out.extend(map(self.words.__getitem__, words))
+        return b"".join(out)
+
+    def _segments(self, text: str) -> bytes:
+        return b"".join(map(self.paths.__getitem__, self.segment.findall(text)))
 
     def decode(self, ids) -> str:
-        surface = self.surface
-        text = b"".join([surface[i] for i in ids]).decode("utf-8", "replace")
+        return self.shown(b"".join([self.surface[i] for i in ids]))
+
+    def shown(self, data: bytes) -> str:
+        """The text of joined surfaces: bytes that are no text are replaced, the first space goes."""
+        text = data.decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -338,11 +361,16 @@ def decode(coded: DataFrame, model: Transducer, ids: str = "ids", keep: list[str
 
     def run(batches):
         model = get()
+        surface = pa.array(model.surface, pa.binary())
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [None if v is None else model.decode(v) for v in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=names)
+                codes = part.column(ids)
+                texts = pc.list_flatten(codes).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(codes).fill_null(0).to_numpy(zero_copy_only=False))])
+                runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), surface.take(pa.array(texts)), mask=codes.is_null())
+                rows = [None if t is None else model.shown(t) for t in pc.binary_join(runs, b"").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(rows, pa.string())], names=names)
 
     schema = T.StructType([*(fields[c] for c in keep), T.StructField("decoded", T.StringType())])
     return coded.mapInArrow(run, schema)

@@ -44,7 +44,7 @@ def op3_sentencepiece(spark, sf):
     made = pieces.decode(pieces.encode(docs, model), model)
     return made.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("ids").cast("string"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
 

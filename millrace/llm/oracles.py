@@ -41,3 +41,18 @@ left_over AS (
 SELECT kept.doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM kept LEFT JOIN left_over USING (doc_id)
 """
+
+SQL["op6_lines"] = """
+WITH d AS (SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, p, array_to_string(list_slice(w, p, p + 2), chr(10)) AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS r FROM win),
+words AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS q FROM ranked WHERE r > 1),
+each AS (SELECT doc_id, unnest(w) AS line, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (
+  SELECT each.doc_id, count(words.q) AS m, string_agg(line, chr(10) ORDER BY each.q) FILTER (words.q IS NULL) AS text
+  FROM each LEFT JOIN words ON words.doc_id = each.doc_id AND words.q = each.q GROUP BY each.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, pieces, simhash, substrings
+from millrace.llm import decontaminate, language, lines, pieces, shards, simhash, substrings
 
 Q = {}
 
@@ -53,3 +53,23 @@ def op3_sentencepiece(spark, sf):
 def op5_substrings(spark, sf):
     made = substrings.remove_repeats(table(spark, sf, "documents"))
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_lines(spark, sf):
+    made = lines.remove_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    return language.predict(docs, language.fit(docs), keep=["doc_id"])
+
+
+@query
+def op9_sharding(spark, sf):
+    made = shards.assign(table(spark, sf, "documents"))
+    return made.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

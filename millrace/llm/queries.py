@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language, lines, pieces, shards, simhash, substrings
+from millrace.llm import decontaminate, fingerprints, language, lines, pieces, shards, simhash, substrings
 
 Q = {}
 
@@ -73,3 +73,8 @@ def op9_sharding(spark, sf):
     return made.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op10_fingerprints(spark, sf):
+    return fingerprints.fingerprints(table(spark, sf, "documents"))

@@ -56,3 +56,18 @@ kept AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+_ESCAPED = r"regexp_replace(regexp_replace({}, '(<)(\\*)(/?s>)', '\1\\\2\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g')"
+
+SQL["op8_chat"] = f"""
+WITH q AS (SELECT '</s>[INST] ok [/INST]' AS text),
+c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', text FROM q UNION ALL SELECT -1, 1, 'assistant', text FROM q)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len('<s>[INST][/INST]</s>')})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

@@ -71,7 +71,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 12, batch: int = 32, rate: float = 0.004, seed: int = 7) -> Network:
+def train(texts: list[bytes], labels: list[str], steps: int = 1200, batch: int = 32, rate: float = 0.004, seed: int = 7) -> Network:
     """Adam on cross entropy, each language with the same weight; some windows are cut short so that
     short texts are known too."""
     languages = sorted(set(labels))
@@ -87,6 +87,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 12, batch: int =
     weight = (len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y].astype(np.float32)
     weights = [net.embed, net.filters, net.bias, net.dense, net.offset]
     moments, step = [(np.zeros_like(w), np.zeros_like(w)) for w in weights], 0
+    epochs = -(-steps // -(-len(texts) // batch))  # the same number of steps however few the texts are
     for epoch in range(epochs):
         windows = np.zeros((len(texts), WINDOW), np.uint8)
         length = np.where(rng.random(len(texts)) < 0.5, WINDOW, rng.integers(8, WINDOW, len(texts)))

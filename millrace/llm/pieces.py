@@ -45,9 +45,9 @@ SPACE_MARK = "▁"
 # --- fixed values: piece types and model types of the model file ----------------------------
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
-KEPT_SEGMENTS = 1 << 18
+KEPT_SEGMENTS = 1 << 17
 KEPT_LENGTH = 48
-KEPT_PAIRS = 1 << 20
+KEPT_PAIRS = 1 << 19
 UNKNOWN_PENALTY = 10.0
 
 
@@ -336,8 +336,9 @@ def share(docs: DataFrame, model: Transducer):
     return get
 
 
-def encode(docs: DataFrame, model: Transducer, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Documents with ``ids``, the numbers of their pieces."""
+def encode(docs: DataFrame, model: Transducer, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """Documents with ``ids``, the numbers of their pieces, and on request ``decoded``, the text of
+    these ids: in the same task, which holds the transducer once for both ways."""
     get = share(docs, model)
 
     def work(batch):
@@ -347,10 +348,21 @@ def encode(docs: DataFrame, model: Transducer, text: str = "text", keep: list[st
             out.append(model.encode(value) if value else b"")
             ends.append(ends[-1] + len(out[-1]) // 4)
         values = pa.array(np.frombuffer(b"".join(out), np.int32))
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(missing))]
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(missing))
+        return [ids, texts_of(ids, model)] if decoded else [ids]
 
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
-    return map_slices(docs, text, work, keep, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])]
+    names = {f.name for f in added}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+    return map_slices(docs, text, work, keep, added)
+
+
+def texts_of(ids: pa.ListArray, model: Transducer) -> pa.Array:
+    """The texts of lists of pieces; null for null."""
+    surface = pa.array(model.surface, pa.binary())
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))])
+    runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), surface.take(pc.list_flatten(ids)), mask=ids.is_null())
+    return pa.array([None if t is None else model.shown(t) for t in pc.binary_join(runs, b"").to_pylist()], pa.string())
 
 
 def decode(coded: DataFrame, model: Transducer, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -360,17 +372,10 @@ def decode(coded: DataFrame, model: Transducer, ids: str = "ids", keep: list[str
     names, get = [*keep, "decoded"], share(coded, model)
 
     def run(batches):
-        model = get()
-        surface = pa.array(model.surface, pa.binary())
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                codes = part.column(ids)
-                texts = pc.list_flatten(codes).to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(codes).fill_null(0).to_numpy(zero_copy_only=False))])
-                runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), surface.take(pa.array(texts)), mask=codes.is_null())
-                rows = [None if t is None else model.shown(t) for t in pc.binary_join(runs, b"").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(rows, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), texts_of(part.column(ids), get())], names=names)
 
     schema = T.StructType([*(fields[c] for c in keep), T.StructField("decoded", T.StringType())])
     return coded.mapInArrow(run, schema)

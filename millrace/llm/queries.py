@@ -41,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 @query
 def op3_sentencepiece(spark, sf):
     docs, model = table(spark, sf, "documents").select("doc_id", "text"), pieces.compile_model(MODEL)
-    made = pieces.decode(pieces.encode(docs, model), model)
+    made = pieces.encode(docs, model, decoded=True)
     return made.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"),
         F.sha2(F.col("ids").cast("string"), 256).alias("ids_sha256"),

@@ -76,7 +76,9 @@ def test_frames(spark):
     rows = [(1, "One two\n", "k"), (1, "One two\n", "k"), (None, None, None), (3, "", None), (4, "a " * 30_000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
     made = pieces.decode(pieces.encode(docs, MODEL), MODEL)
-    assert made.columns == ["doc_id", "text", "ids", "decoded"]
+    at_once = pieces.encode(docs, MODEL, decoded=True)
+    assert made.columns == at_once.columns == ["doc_id", "text", "ids", "decoded"]
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, at_once.collect()))
     got = {(r.doc_id, r.text): r for r in made.collect()}
     assert all(r.ids == (None if t is None else LIBRARY.encode(t)) and r.decoded == t for (_, t), r in got.items())
     assert made.count() == 5

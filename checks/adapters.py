@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import spread
-
 CODE_DOCS = """
 WITH b AS (
   SELECT doc_id, source AS repo, text,
@@ -92,7 +90,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

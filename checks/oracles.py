@@ -13,7 +13,6 @@ WS = r"\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}
 INLINE = r"\t\x0b-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
 BREAKS = r"\n\x0b\f\r\x1c-\x1e\x85\x{2028}\x{2029}"
-VOCABULARY = 2000
 
 SQL: dict[str, str] = {}
 
@@ -68,7 +67,7 @@ scanned AS (SELECT doc_id, repo, rel_path, {EXTENSION} AS extension, language, c
               round_even(octet_length(encode(raw)) / 1024.0::DOUBLE, 3) AS size_kb, {lines('content')} AS line_count,
               sha256(content) AS content_hash
             FROM known
-            WHERE NOT ({EXCLUDED}) AND octet_length(encode(raw)) / 1024.0::DOUBLE <= 8 AND {lines('content')} >= 5),
+            WHERE NOT ({EXCLUDED}) AND octet_length(encode(raw)) / 1024.0::DOUBLE <= 500 AND {lines('content')} >= 5),
 kept AS (SELECT * FROM scanned QUALIFY row_number() OVER (PARTITION BY repo, content_hash ORDER BY rel_path) = 1)"""
 
 HEADER = "'### Language: ' || language || chr(10) || '### Task: Complete the following code' || chr(10) || '### Code:' || chr(10)"
@@ -104,8 +103,8 @@ OLD = "doc_id IN (SELECT doc_id FROM labels)"
 
 PIECES = f"regexp_extract_all(text, '[{WORD}]+|[^{WORD}{WS}]')"
 VOCAB = f"""tokens AS (SELECT doc_id, unnest({PIECES}) AS token, unnest(range(1, len({PIECES}) + 1)) AS pos FROM documents),
-vocab AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS token_id FROM tokens
-          GROUP BY token ORDER BY n DESC, token LIMIT {VOCABULARY})"""
+vocab AS (SELECT token, count(*) AS n, 3 * (row_number() OVER (ORDER BY count(*) DESC, token) + 1) AS token_id FROM tokens
+          GROUP BY token ORDER BY n DESC, token LIMIT 32768)"""
 
 
 def ids_of(source: str, keys: str, column: str, limit: int) -> str:
@@ -133,7 +132,7 @@ SAFE = "replace(replace(rel_path, '/', '_'), chr(92), '_')"
 sql("write_raw_store", f"""WITH {SCANNED}
 SELECT repo, language, {SAFE} AS safe_name, rel_path, content_hash AS digest FROM kept""")
 sql("scan_raw_store", f"""WITH {SCANNED}
-SELECT repo, rel_path, line_count::INTEGER AS line_count, content_hash AS digest FROM kept WHERE language = 'python'""")
+SELECT repo, rel_path, line_count::INTEGER AS line_count, content_hash AS digest FROM kept""")
 sql("write_split_jsonl", f"""WITH {ID_SPLIT}
 SELECT split, count(*) AS samples, sum(length(text))::BIGINT AS chars FROM split GROUP BY split""")
 sql("read_samples_jsonl", f"""WITH {CHUNKS}
@@ -190,12 +189,16 @@ FULL = broken([("max_new_tokens", 1, 4096), ("temperature", 0, 2), ("top_p", 0,
 SHORT = broken([("max_new_tokens", 1, 2048), ("temperature", 0, 2)])
 sql("validate_requests", f"""WITH {cte('requests_in')}
 SELECT conv_id, turn, {FULL} = '' AS valid, {FULL} AS violations, {SHORT} AS complete_violations FROM requests_in""")
-sql("request_defaults", f"""WITH {cte('requests_in')}
-SELECT conv_id, turn, CASE WHEN max_new_tokens = 0 THEN 512 ELSE max_new_tokens END AS max_new_tokens,
-  CASE WHEN temperature = 0 THEN 0.7::DOUBLE ELSE temperature END AS temperature FROM requests_in""")
-sql("sampling_params", f"""WITH {cte('requests_in')}
+ODDS = {"max_new_tokens": 5, "temperature": 7, "top_p": 4, "top_k": 3, "repetition_penalty": 6, "do_sample": 8}
+SPARSE = f"""{cte('requests_in')},
+sparse AS (SELECT conv_id, turn, prompt, {', '.join(f'CASE WHEN (conv_id + turn) % {n} <> 0 THEN {c} END AS {c}' for c, n in ODDS.items())} FROM requests_in),
+filled AS (SELECT conv_id, turn, coalesce(nullif(max_new_tokens, 0), 512) AS max_new_tokens, coalesce(nullif(temperature, 0), 0.7::DOUBLE) AS temperature,
+  coalesce(top_p, 0.95::DOUBLE) AS top_p, coalesce(top_k, 50) AS top_k, coalesce(repetition_penalty, 1.1::DOUBLE) AS repetition_penalty,
+  coalesce(do_sample, true) AS do_sample FROM sparse)"""
+sql("request_defaults", f"WITH {SPARSE} SELECT * FROM filled")
+sql("sampling_params", f"""WITH {SPARSE}
 SELECT conv_id, turn, CASE WHEN do_sample THEN temperature ELSE 1 END AS temperature, CASE WHEN do_sample THEN top_p ELSE 1 END AS top_p,
-  CASE WHEN do_sample THEN top_k ELSE 50 END AS top_k, do_sample FROM requests_in""")
+  CASE WHEN do_sample THEN top_k ELSE 50 END AS top_k, do_sample FROM filled""")
 
 # ---- joins -----------------------------------------------------------------------------------
 
@@ -203,7 +206,7 @@ sql("new_catalog_rows", f"""WITH {FILES}
 SELECT repo AS repository_id, rel_path AS file_path, language, sha256(content) AS content_hash, false AS is_processed
 FROM known""")
 FRESH = f"""SELECT doc_id, rel_path, chunk_idx::INTEGER AS chunk_idx, sha256(text) AS digest FROM samples
-WHERE substring(text, 1, 100) NOT IN (SELECT substring(text, 1, 100) FROM samples WHERE {OLD})"""
+WHERE text NOT IN (SELECT text FROM samples WHERE {OLD})"""
 sql("incremental_anti_join", f"WITH {CHUNKS} {FRESH}")
 sql("upsert_repositories", f"""WITH {cte('repos_in')}, {SCANNED},
 counts AS (SELECT repo, count(*) AS files, sum(line_count) AS lines, round(sum(size_kb::DECIMAL(18,3))::DOUBLE, 3) AS size_kb FROM scanned GROUP BY repo),
@@ -228,7 +231,7 @@ sql("language_counts", f"WITH {CHUNKS} {COUNTS}")
 sql("split_counts", f"""WITH {DOCS}, {split_of('code_docs', DOC_KEY)}
 SELECT count(*) AS total_samples, count(*) FILTER (split = 'train') AS train_samples,
   count(*) FILTER (split = 'validation') AS validation_samples, count(*) FILTER (split = 'test') AS test_samples FROM split""")
-sql("token_stats", f"""WITH head AS (SELECT len({PIECES}) AS t FROM documents ORDER BY doc_id LIMIT 1000)
+sql("token_stats", f"""WITH head AS (SELECT len({PIECES}) AS t FROM documents)
 SELECT round(avg(t), 6) AS mean, max(t)::BIGINT AS max, min(t)::BIGINT AS min, sum(t)::BIGINT AS total_tokens, count(*) AS samples FROM head""")
 sql("generation_throughput", f"""WITH {cte('generations_in')},
 t AS (SELECT lang, count(*) AS requests, sum(tokens_generated)::BIGINT AS tokens, sum(elapsed) AS seconds
@@ -261,7 +264,7 @@ def iso(ts: str) -> str:
 
 
 sql("list_repositories", f"""WITH {cte('repos_in')}
-SELECT id::VARCHAR AS id, url, left(url || repeat('/x', 20), 60) AS short_url, {REPO_NAME} AS name, 'main' AS branch, status,
+SELECT id::VARCHAR AS id, url || repeat('/x', 20) AS url, left(url || repeat('/x', 20), 60) AS short_url, {REPO_NAME} AS name, 'main' AS branch, status,
   0::BIGINT AS files_count, {iso('created_at')} AS created_at FROM repos_in""")
 sql("list_datasets", f"""WITH {cte('versions_in')}
 SELECT id::VARCHAR AS id, version, 'dataset/' || version AS path, total_samples, NULL::VARCHAR AS languages, {iso('created_at')} AS created_at
@@ -327,7 +330,7 @@ SELECT doc_id, rel_path, fn_idx, 'anonymous' AS name, sha256({TRIM}) AS digest F
 INSTRUCTION = f"{HEADER} || content || {FOOTER}"
 sql("format_sample", f"""WITH {FILES}
 SELECT doc_id, rel_path, sha256(content) AS completion, sha256({INSTRUCTION}) AS instruction,
-  sha256('<fim_prefix>' || left(content, 20) || '<fim_suffix>' || right(content, 20) || '<fim_middle>') AS fim,
+  sha256('<fim_prefix>' || left(content, length(content) // 2) || '<fim_suffix>' || substring(content, length(content) // 2 + 1) || '<fim_middle>') AS fim,
   sha256(content) AS fim_bare,
   sha256({nl('### Code:' + chr(10))} || content || {nl(chr(10) + '### Docstring:' + chr(10))} || rel_path) AS docstring,
   sha256({nl('### Code:' + chr(10))} || content || {nl(chr(10) + '### Explanation:' + chr(10) + 'This code')}) AS explain,
@@ -336,8 +339,9 @@ sql("token_estimate", f"""WITH {DOCS}
 SELECT doc_id, rel_path, round(len(regexp_extract_all(content, '[^{WS}]+')) * 1.3::DOUBLE, 6) AS token_estimate,
   length(content)::BIGINT AS chunk_size FROM code_docs""")
 sql("instruction_wrap", f"""WITH {FILES}
-SELECT doc_id, rel_path, language, sha256({INSTRUCTION}) AS digest,
-  sha256({INSTRUCTION.replace('|| language ||', "|| 'code' ||")}) AS no_language FROM known""")
+SELECT doc_id, rel_path, language, sha256({INSTRUCTION}) AS digest
+FROM (SELECT doc_id, rel_path, CASE WHEN doc_id % 5 <> 0 THEN language ELSE 'code' END AS language,
+        CASE WHEN doc_id % 3 <> 0 THEN reverse(content) ELSE content END AS content FROM known)""")
 sql("completion_prompt", f"""WITH {cte('requests_in')}
 SELECT conv_id, turn, {HEADER.replace('|| language ||', "|| 'python' ||")} || prompt AS prompt FROM requests_in""")
 sql("explain_prompt", f"""WITH {cte('requests_in')}
@@ -363,12 +367,12 @@ SELECT id, source_file, chunk_idx, left(sha256(concat_ws(':', id, source_file)),
 
 # ---- tokens ----------------------------------------------------------------------------------
 
-sql("build_vocabulary", f"WITH {VOCAB} SELECT token, n, token_id FROM vocab")
+sql("build_vocabulary", f"WITH {VOCAB} SELECT token, n, token_id // 3 AS token_id FROM vocab ORDER BY token_id LIMIT 2000")
 sql("tokenize", f"""WITH {VOCAB}, {ids_of('documents', 'doc_id', 'text', 2048)}
 SELECT doc_id, ids AS input_ids, CASE WHEN tokens = 0 THEN 0 ELSE tokens END AS mask_sum, true AS labels_copy FROM encoded""")
 sql("truncate_prompt", f"""WITH {VOCAB}, {DOCS}, {ids_of('code_docs', 'doc_id, rel_path', 'content', 1800)}
 SELECT doc_id, rel_path, tokens, sha256(ids) AS digest FROM encoded""")
-sql("pad_batches", f"""WITH {VOCAB}, {ids_of('documents', 'doc_id', 'text', 64)},
+sql("pad_batches", f"""WITH {VOCAB}, {ids_of('documents', 'doc_id', 'text', 2048)},
 ranked AS (SELECT *, row_number() OVER (ORDER BY sha256(concat_ws(':', '42', doc_id))) - 1 AS r FROM encoded),
 b AS (SELECT *, r // 4 AS batch_id, r % 4 AS slot, max(tokens) OVER (PARTITION BY r // 4) - tokens AS gap FROM ranked)
 SELECT doc_id, batch_id, slot, trim(ids || repeat(',1', gap), ',') AS input_ids,
@@ -376,39 +380,47 @@ SELECT doc_id, batch_id, slot, trim(ids || repeat(',1', gap), ',') AS input_ids,
 
 # ---- user functions, whole plans --------------------------------------------------------------
 
-sql("map_batches", "SELECT doc_id, length(text)::BIGINT AS chars FROM documents")
+sql("map_batches", """WITH b AS (SELECT doc_id, unnest(range(0, least(octet_length(encode(text)), 2048))) AS i, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, count(*) AS tokens, sha256(string_agg(('0x' || substring(h, 2 * i + 1, 2))::INTEGER::VARCHAR, ',' ORDER BY i)) AS digest FROM b GROUP BY doc_id""")
 sql("custom_template", f"WITH {DOCS} SELECT doc_id, rel_path, sha256('<' || repo || '>' || rel_path || chr(10) || content) AS digest FROM code_docs")
-sql("ingest_repositories", f"""WITH {SCANNED}
+sql("ingest_repositories", f"""WITH {SCANNED},
+seen AS (SELECT repo, rel_path FROM kept UNION
+         SELECT repo, rel_path FROM (SELECT * FROM scanned WHERE {OLD} QUALIFY row_number() OVER (PARTITION BY repo, content_hash ORDER BY rel_path) = 1)),
+entries AS (SELECT repo, count(*) AS n FROM seen GROUP BY repo)
 SELECT 'https://example.com/org/' || repo AS url, repo AS name, 'completed' AS status, count(*) FILTER (content IS NOT NULL) AS files,
   coalesce(sum(line_count), 0)::BIGINT AS lines, coalesce(round(sum(size_kb::DECIMAL(18,3))::DOUBLE, 3), 0) AS size_kb,
-  count(*) FILTER (content IS NOT NULL) AS catalogued
-FROM (SELECT DISTINCT repo FROM code_docs) LEFT JOIN kept USING (repo) GROUP BY repo""")
+  coalesce(max(n), 0) AS catalogued
+FROM (SELECT DISTINCT repo FROM code_docs) LEFT JOIN kept USING (repo) LEFT JOIN entries USING (repo) GROUP BY repo""")
 sql("preprocess_files", f"""WITH {CHUNKS}
 SELECT doc_id, rel_path, language, chunk_idx, chunk_size, token_estimate, sha256(text) AS digest FROM samples""")
 sql("build_dataset", f"""WITH {TEXT_SPLIT}
 SELECT id, language, chunk_idx, chunk_size, source_file, split, sha256(text) AS digest FROM split""")
 sql("incremental_build", f"""WITH {CHUNKS},
 merged AS (SELECT * FROM samples WHERE {OLD} UNION ALL
-           SELECT * FROM samples WHERE substring(text, 1, 100) NOT IN (SELECT substring(text, 1, 100) FROM samples WHERE {OLD})),
+           SELECT * FROM samples WHERE text NOT IN (SELECT text FROM samples WHERE {OLD})),
 {split_of('merged', SAMPLE_KEY)}
 SELECT id, language, chunk_idx, chunk_size, source_file, split, sha256(text) AS digest FROM split""")
-sql("training_input", f"""WITH {VOCAB}, {ID_SPLIT}, {ids_of('split', 'id', 'text', 2048)}
-SELECT id, CASE split WHEN 'train' THEN 'train' ELSE 'eval' END AS part, tokens, sha256(ids) AS digest,
-  (SELECT count(*) FROM split WHERE split = 'train') AS total_samples
-FROM split JOIN encoded USING (id) WHERE split IN ('train', 'validation')""")
+sql("training_input", f"""WITH {VOCAB}, {TEXT_SPLIT}, {ids_of('split', 'id', 'text', 2048)},
+parts AS (SELECT id, split AS part FROM split UNION ALL SELECT id, 'eval' FROM split WHERE split = 'validation')
+SELECT id, part, tokens, sha256(ids) AS digest, (SELECT count(*) FROM split WHERE split = 'train') AS total_samples
+FROM parts JOIN encoded USING (id)""")
 sql("finetune_input", f"""WITH {ID_SPLIT}
 SELECT id, language, sha256({HEADER} || text || {FOOTER}) AS digest FROM split WHERE split = 'train'""")
-sql("bulk_completion_frame", f"""WITH {cte('requests_in', 'generations_in')}
-SELECT q.conv_id, q.turn, 'python' AS language, max_new_tokens, 0.7::DOUBLE AS temperature,
-  sha256({HEADER.replace('|| language ||', "|| 'python' ||")} || prompt) AS prompt, sha256({cut_at('raw_text', '### End')}) AS generated_text,
-  tokens_generated::BIGINT AS tokens_generated, round_even(elapsed, 3) AS time_seconds,
-  round_even(tokens_generated / nullif(elapsed, 0), 2) AS tokens_per_second
-FROM requests_in q JOIN generations_in g ON g.conv_id = q.conv_id AND g.turn = q.turn + 1
-WHERE max_new_tokens BETWEEN 1 AND 2048 AND temperature BETWEEN 0 AND 2""")
+sql("bulk_completion_frame", f"""WITH {VOCAB}, {SPARSE},
+q AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'go' ELSE 'python' END AS language, coalesce(max_new_tokens, 256) AS max_new_tokens, prompt AS content
+      FROM sparse WHERE coalesce(max_new_tokens BETWEEN 1 AND 2048, true) AND coalesce(temperature BETWEEN 0 AND 2, true)),
+asked AS (SELECT conv_id, turn, max_new_tokens, language, {HEADER} || content AS prompt FROM q),
+{ids_of('asked', 'conv_id, turn', 'prompt', 1800)}
+SELECT conv_id, turn, language, max_new_tokens, 0.7::DOUBLE AS temperature, sha256(prompt) AS prompt, sha256(prompt || '|') AS generated_text,
+  sha256(ids) AS input_ids, least(max_new_tokens, tokens)::BIGINT AS tokens_generated, round_even(tokens / 64.0::DOUBLE, 3) AS time_seconds,
+  round_even(least(max_new_tokens, tokens) / nullif(tokens / 64.0::DOUBLE, 0), 2) AS tokens_per_second
+FROM asked JOIN encoded USING (conv_id, turn)""")
 
 # ---- streams ---------------------------------------------------------------------------------
 
-sql("stream_ingest", f"WITH {SCANNED} SELECT repo, rel_path, content_hash FROM kept")
+sql("stream_ingest", f"WITH {SCANNED} SELECT DISTINCT repo, content_hash FROM scanned")
 sql("stream_dedupe_state", f"WITH {SCANNED} SELECT DISTINCT repo, content_hash FROM scanned")
-sql("stream_dataset_build", f"""WITH {TEXT_SPLIT}
+sql("stream_dataset_build", f"""WITH {CHUNKS},
+arrived AS (SELECT * FROM samples QUALIFY doc_id % 4 = min(doc_id % 4) OVER (PARTITION BY text)),
+{split_of('arrived', SAMPLE_KEY)}
 SELECT id, language, split, sha256(text) AS digest FROM split""")

@@ -30,8 +30,7 @@ from millrace.sources import tree as TR
 from millrace.streaming import live as L
 
 Q = {}
-SCAN = ScanOptions(max_size_kb=8)  # the largest given text is 33 KB at the smallest scale
-VOCABULARY = 2000
+SCAN = ScanOptions()
 IDS = ("doc_id", "rel_path")
 
 
@@ -112,7 +111,7 @@ def write_raw_store(spark, sf):
 
 @query
 def scan_raw_store(spark, sf):
-    stored = ST.scan_raw_store(spark, raw_store(spark, sf)).filter("language = 'python'")
+    stored = ST.scan_raw_store(spark, raw_store(spark, sf))
     return stored.select("repo", "rel_path", "line_count", digest())
 
 
@@ -239,7 +238,7 @@ def filter_extension(spark, sf):
 
 @query
 def filter_size(spark, sf):
-    return FI.filter_size(with_bytes(docs(spark, sf)), SCAN.max_size_kb).select("doc_id", "rel_path", F.col("bytes").cast("bigint").alias("bytes"))
+    return FI.filter_size(with_bytes(docs(spark, sf)), 8).select("doc_id", "rel_path", F.col("bytes").cast("bigint").alias("bytes"))
 
 
 @query
@@ -282,16 +281,24 @@ def validate_requests(spark, sf):
     return checked.select("conv_id", "turn", "valid", F.array_join("violations", ",").alias("violations"), "complete_violations")
 
 
+def sparse_requests(spark, sf):
+    """Requests in which some fields are not given."""
+    requests = docs(spark, sf, "requests_in")
+    given = {"max_new_tokens": 5, "temperature": 7, "top_p": 4, "top_k": 3, "repetition_penalty": 6, "do_sample": 8}
+    return requests.withColumns({c: F.when((F.col("conv_id") + F.col("turn")) % n != 0, F.col(c)) for c, n in given.items()})
+
+
 @query
 def request_defaults(spark, sf):
-    return G.fill_request_defaults(docs(spark, sf, "requests_in")).select(
-        "conv_id", "turn", F.col("max_new_tokens").cast("bigint").alias("max_new_tokens"), "temperature"
+    return G.fill_request_defaults(sparse_requests(spark, sf)).select(
+        "conv_id", "turn", F.col("max_new_tokens").cast("bigint").alias("max_new_tokens"), "temperature",
+        "top_p", F.col("top_k").cast("bigint").alias("top_k"), "repetition_penalty", "do_sample",
     )
 
 
 @query
 def sampling_params(spark, sf):
-    return G.apply_sampling(docs(spark, sf, "requests_in")).select(
+    return G.apply_sampling(G.fill_request_defaults(sparse_requests(spark, sf))).select(
         "conv_id", "turn", "temperature", "top_p", F.col("top_k").cast("bigint").alias("top_k"), "do_sample"
     )
 
@@ -437,11 +444,10 @@ def checkpoint_retention(spark, sf):
 
 @query
 def list_repositories(spark, sf):
-    repos = docs(spark, sf, "repos_in").withColumn("name", X.repo_name(F.col("url")))
-    table_ = K.conform(repos, "repositories")
-    short = K.repositories_view(table_.withColumn("url", F.concat("url", F.repeat(F.lit("/x"), F.lit(20)))))
-    return K.list_repositories(table_).join(short.select("name", F.col("url").alias("short_url")), "name").select(
-        "id", "url", "short_url", "name", "branch", "status", F.col("files_count").cast("bigint").alias("files_count"), "created_at")
+    repos = docs(spark, sf, "repos_in").withColumns({
+        "name": X.repo_name(F.col("url")), "url": F.concat("url", F.repeat(F.lit("/x"), F.lit(20)))})
+    listed = K.list_repositories(K.conform(repos, "repositories"))
+    return listed.select("id", "url", K.short_url().alias("short_url"), "name", "branch", "status", "files_count", "created_at")
 
 
 @query
@@ -453,11 +459,10 @@ def list_datasets(spark, sf):
 
 @query
 def list_training_runs(spark, sf):
-    runs = K.conform(docs(spark, sf, "runs_in"), "training_runs")
-    console = K.training_runs_view(runs).select("name", F.col("base_model").alias("short_model"), F.col("output_path").alias("shown_path"))
-    return K.list_training_runs(runs).join(console, "name").select(
-        "id", "name", "status", "base_model", "short_model", "output_path", "shown_path",
-        F.col("total_samples").cast("bigint").alias("total_samples"), "created_at")
+    listed = K.list_training_runs(K.conform(docs(spark, sf, "runs_in"), "training_runs"))
+    return listed.select(
+        "id", "name", "status", "base_model", K.short_model().alias("short_model"), "output_path",
+        K.shown_path().alias("shown_path"), "total_samples", "created_at")
 
 
 @query
@@ -536,7 +541,9 @@ def extract_functions_js(spark, sf):
 @query
 def format_sample(spark, sf):
     code, language = F.col("content"), F.col("language")
-    fields = {"prefix": F.substring("content", 1, 20), "suffix": F.right("content", F.lit(20)), "docstring": F.col("rel_path")}
+    half = F.floor(F.length("content") / 2).cast("int")
+    fields = {"prefix": F.substring("content", F.lit(1), half), "suffix": F.substring("content", half + 1, F.length("content")),
+              "docstring": F.col("rel_path")}
     made = {
         "completion": P.format_sample(code, language, "completion"),
         "instruction": P.format_sample(code, language, "instruction"),
@@ -558,10 +565,11 @@ def token_estimate(spark, sf):
 
 @query
 def instruction_wrap(spark, sf):
-    rows = code_files(spark, sf)
-    full = S.instruction_rows(rows.select(*IDS, "language", F.col("content").alias("code")))
-    bare = S.instruction_rows(rows.select(*IDS, F.col("content").alias("text"))).select(*IDS, digest("text").alias("no_language"))
-    return full.select(*IDS, "language", digest("text")).join(bare.withColumnRenamed("digest", "no_language"), list(IDS))
+    """Some rows have no text and fall back to their code, some have no language."""
+    rows = code_files(spark, sf).select(
+        *IDS, "language", F.col("content").alias("code"), F.when(F.col("doc_id") % 3 != 0, F.reverse("content")).alias("text"))
+    wrapped = S.instruction_rows(rows.withColumn("language", F.when(F.col("doc_id") % 5 != 0, F.col("language"))))
+    return wrapped.select(*IDS, "language", digest("text"))
 
 
 @query
@@ -603,9 +611,7 @@ def run_metrics_json(spark, sf):
     events = table(spark, sf, "events").select(
         F.col("event_id").alias("id"),
         F.to_json(F.struct(F.col("value").alias("eval_loss"))).alias("metrics"), F.col("props").alias("config"))
-    metrics = K.metric_values(events, "eval_loss", "missing")
-    config = K.config_values(events, k="$.k", absent="$.a.b")
-    return metrics.join(config, "id")
+    return events.select("id", *K.metric_columns("eval_loss", "missing"), *K.config_columns(k="$.k", absent="$.a.b"))
 
 
 @query
@@ -623,12 +629,13 @@ def sample_ids(spark, sf):
 # ---- tokens ----------------------------------------------------------------------------------
 
 def vocabulary(spark, sf):
-    return T.build_vocabulary(documents(spark, sf), size=VOCABULARY)
+    """With gaps: the ids are the table's, not the places in it."""
+    return T.build_vocabulary(documents(spark, sf)).withColumn("token_id", F.col("token_id") * 3)
 
 
 @query
 def build_vocabulary(spark, sf):
-    return T.build_vocabulary(documents(spark, sf), size=VOCABULARY).withColumn("token_id", F.col("token_id").cast("bigint"))
+    return T.build_vocabulary(documents(spark, sf), size=2000).withColumn("token_id", F.col("token_id").cast("bigint"))
 
 
 @query
@@ -648,8 +655,8 @@ def truncate_prompt(spark, sf):
 
 @query
 def pad_batches(spark, sf):
-    made = T.tokenize(documents(spark, sf), vocabulary(spark, sf), ["doc_id"], max_length=64)
-    return T.pad_batches(stage(made, "tokenized"), "doc_id").select(
+    made = T.tokenize(documents(spark, sf), vocabulary(spark, sf), ["doc_id"])
+    return T.pad_batches(made, "doc_id").select(
         "doc_id", "batch_id", F.col("slot").cast("bigint").alias("slot"), joined("input_ids").alias("input_ids"),
         joined("attention_mask").alias("attention_mask"), joined("labels").alias("labels"))
 
@@ -658,11 +665,12 @@ def pad_batches(spark, sf):
 
 @query
 def map_batches(spark, sf):
-    def measure(frame):
-        frame["chars"] = frame["text"].str.len().astype("int64")
-        return frame[["doc_id", "chars"]]
+    """A tokenizer of the caller: one id for each byte."""
+    def encode(texts):
+        return [list(text.encode()) for text in texts]
 
-    return T.map_batches(documents(spark, sf), measure, "doc_id long, chars long", ["doc_id", "text"])
+    made = T.tokenize_with(documents(spark, sf), encode, ["doc_id"])
+    return made.select("doc_id", F.size("input_ids").cast("bigint").alias("tokens"), digest_of(joined("input_ids")).alias("digest"))
 
 
 @query
@@ -683,13 +691,15 @@ def ingest_inputs(spark, sf):
 
 @query
 def ingest_repositories(spark, sf):
+    """Two rounds into one store: what an earlier run saw, then everything, with each request twice."""
     requests, files = ingest_inputs(spark, sf)
-    done = I.ingest(requests, files, work_path(spark, "raw"), options=SCAN)
+    path = work_path(spark, "raw")
+    first = I.ingest(requests, earlier(spark, sf, files), path, options=SCAN)
+    done = I.ingest(requests.unionByName(requests), files, path, first.repositories, first.catalog, SCAN)
     catalogued = done.catalog.groupBy("repository_id").agg(F.count("*").alias("catalogued"))
     return done.repositories.join(catalogued, F.col("id") == F.col("repository_id"), "left").select(
-        "url", "name", "status", F.col("files_count").cast("bigint").alias("files"),
-        F.col("total_lines").cast("bigint").alias("lines"), F.round("size_kb", 3).alias("size_kb"),
-        F.coalesce("catalogued", F.lit(0)).alias("catalogued"))
+        "url", "name", "status", F.col("files_count").alias("files"), F.col("total_lines").alias("lines"),
+        F.round("size_kb", 3).alias("size_kb"), F.coalesce("catalogued", F.lit(0)).alias("catalogued"))
 
 
 @query
@@ -721,15 +731,22 @@ def incremental_build(spark, sf):
 
 @query
 def training_input(spark, sf):
-    splits = ST.load_split_dataset(spark, version_folder(spark, sf))
-    made = N.training_input(splits, vocabulary(spark, sf))
-    total = N.total_samples(splits).scalar()
+    """Every split of the newest version, and the evaluation part once more."""
+    output = work_path(spark, "dataset")
+    files = code_files(spark, sf).select("repo", "rel_path", "language", "content")
+    version = B.build_dataset(files, output, "v1").version
+    splits, metadata = N.newest_dataset(version, output)
+    made = N.training_input(splits, stage(vocabulary(spark, sf), "vocabulary"))
 
     def rows(name):
         return made[name].select("id", F.lit(name).alias("part"), F.size("input_ids").cast("bigint").alias("tokens"),
                                  digest_of(joined("input_ids")).alias("digest"))
 
-    return rows("train").unionByName(rows("eval")).withColumn("total_samples", total)
+    parts = [rows(name) for name in made]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("total_samples", F.lit(metadata.first().train_samples).cast("bigint"))
 
 
 @query
@@ -740,34 +757,43 @@ def finetune_input(spark, sf):
 
 @query
 def bulk_completion_frame(spark, sf):
-    """Requests through validation, defaults and prompts; the model is the given next turn."""
-    requests = docs(spark, sf, "requests_in").select(
-        "conv_id", "turn", F.col("prompt").alias("code_prefix"), F.lit("python").alias("language"),
+    """Every valid request through defaults, prompt, token cut, a model that repeats its prompt, and
+    the reported values."""
+    def repeat(frame):
+        frame["raw_text"] = frame["prompt"] + "|### End|" + frame["prompt"]
+        frame["tokens_generated"] = frame["max_new_tokens"].clip(upper=frame["input_ids"].str.len()).astype("int32")
+        frame["elapsed"] = frame["input_ids"].str.len() / 64.0
+        return frame
+
+    requests = sparse_requests(spark, sf).select(
+        "conv_id", "turn", F.col("prompt").alias("code_prefix"), F.when(F.col("conv_id") % 2 == 0, "go").alias("language"),
         F.col("max_new_tokens").cast("int").alias("max_new_tokens"), "temperature")
-    prepared = G.prepare_completion(requests)
-    answers = docs(spark, sf, "generations_in").withColumn("turn", F.col("turn") - 1)
-    done = G.finish_completion(prepared.join(answers, ["conv_id", "turn"]))
+    done = G.complete_all(requests, vocabulary(spark, sf), repeat)
     return done.select(
         "conv_id", "turn", "language", F.col("max_new_tokens").cast("bigint").alias("max_new_tokens"), "temperature",
         digest_of(F.col("prompt")).alias("prompt"), digest_of(F.col("generated_text")).alias("generated_text"),
+        digest_of(joined("input_ids")).alias("input_ids"),
         F.col("tokens_generated").cast("bigint").alias("tokens_generated"), "time_seconds", "tokens_per_second")
 
 
 # ---- streams ---------------------------------------------------------------------------------
 
 def file_stream(spark, sf):
-    """The code files as a stream over the given documents file."""
-    schema = table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    """All documents as a stream of four slices that arrive one after the other, file by file."""
+    path, given = work_path(spark, "slices"), table(spark, sf, "documents")
+    for arriving in range(4):
+        given.filter(F.col("doc_id") % 4 == arriving).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return spark.sql(CODE_DOCS, documents=stream)
 
 
 @query
 def stream_ingest(spark, sf):
+    """Which copy is kept depends on arrival, so keys are compared."""
     store = work_path(spark, "live")
     writer = L.stream_ingest(file_stream(spark, sf), store, work_path(spark, "live-log"), SCAN)
     writer.start().awaitTermination()
-    return spark.read.schema(L.STREAM_FILES).parquet(store).select("repo", "rel_path", "content_hash")
+    return spark.read.schema(L.STREAM_FILES).parquet(store).select("repo", "content_hash")
 
 
 @query

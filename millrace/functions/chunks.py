@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from millrace.functions.text import WORD, WS, strip
 from millrace.options import ChunkOptions
 
-PYTHON_DEF = rf"(?dm)(def[{WS}]+[{WORD}]+[^:]*:(?:\n(?>[ \t]+.+|[{WS}]*$))*+)"
+# What follows a | takes in text that can hold no further match, so that it is not searched again:
+# after a header without its colon or brace, or an arrow without a semicolon, nothing is closed.
+PYTHON_DEF = rf"(?dm)(def[{WS}]+[{WORD}]+[^:]*+:(?:\n(?>[ \t]+.+|[{WS}]*$))*+)|def[{WS}]+[{WORD}]+[^:]*+\z"
 JS_FUNCTION = (
-    rf"((?:async[{WS}]+)?function[{WS}]+[{WORD}]+[^{{]*\{{(?:[^{{}}]++|\{{[^{{}}]*+\}})*+\}})"
+    rf"((?:async[{WS}]+)?function[{WS}]+[{WORD}]+[^{{]*+\{{(?:[^{{}}]++|\{{[^{{}}]*+\}})*+\}})"
+    rf"|(?:async[{WS}]+)?function[{WS}]+[{WORD}]+[^{{]*+(?:\{{|\z)"
 )
 JS_ARROW = (
     rf"(const[{WS}]+[{WORD}]+[{WS}]*=[{WS}]*(?:async[{WS}]+)?"
-    rf"(?:\([^)]*\)|[{WORD}]+)[{WS}]*=>[^;]+;)"
+    rf"(?:\([^)]*\)|[{WORD}]+)[{WS}]*=>[^;]++;)"
+    rf"|const[{WS}]+[{WORD}]+[{WS}]*=[{WS}]*(?:async[{WS}]+)?(?:\([^)]*\)|[{WORD}]+)[{WS}]*=>[^;]*+\z"
 )
 
 
@@ -44,18 +48,19 @@ def is_blank(text: Column) -> Column:
 def extract_functions(text: Column, language: Column) -> Column:
     """Array of (name, code); empty for languages without a rule."""
     empty = F.expr("cast(array() as array<struct<name:string,code:string>>)")
+
+    def found(pattern):
+        return F.array_remove(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), "")
+
     python = F.transform(
-        F.regexp_extract_all(text, F.lit(PYTHON_DEF), F.lit(1)),
+        found(PYTHON_DEF),
         lambda code: F.struct(
             F.regexp_extract(code, rf"\Adef[{WS}]+([{WORD}]+)", 1).alias("name"),
             strip(code).alias("code"),
         ),
     )
     script = F.transform(
-        F.concat(
-            F.regexp_extract_all(text, F.lit(JS_FUNCTION), F.lit(1)),
-            F.regexp_extract_all(text, F.lit(JS_ARROW), F.lit(1)),
-        ),
+        F.concat(found(JS_FUNCTION), found(JS_ARROW)),
         lambda code: F.struct(F.lit("anonymous").alias("name"), strip(code).alias("code")),
     )
     return (

@@ -25,7 +25,8 @@ def or_default(value: Column, default) -> Column:
 
 
 def effective_sampling(do_sample: Column, defaults: GenerationDefaults = DEFAULTS) -> dict[str, Column]:
-    """Greedy requests run with neutral values."""
+    """Greedy requests run with neutral values; a request that does not say samples."""
+    do_sample = F.coalesce(do_sample, F.lit(defaults.do_sample))
     return {
         "temperature": F.when(do_sample, F.col("temperature")).otherwise(F.lit(1.0)),
         "top_p": F.when(do_sample, F.col("top_p")).otherwise(F.lit(1.0)),

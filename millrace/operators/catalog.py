@@ -86,10 +86,23 @@ def list_repositories(repositories: DataFrame) -> DataFrame:
     )
 
 
+def short_url() -> Column:
+    return F.substring("url", 1, 60)
+
+
+def short_model() -> Column:
+    return F.substring("base_model", 1, 40)
+
+
+def shown_path() -> Column:
+    """A dash for no output path."""
+    return F.coalesce(F.nullif(F.col("output_path"), F.lit("")), F.lit("-"))
+
+
 def repositories_view(repositories: DataFrame) -> DataFrame:
     """The console columns; the url is cut to 60 characters."""
     return repositories.select(
-        "name", F.substring("url", 1, 60).alias("url"), "status", "files_count", "total_lines"
+        "name", short_url().alias("url"), "status", "files_count", "total_lines"
     )
 
 
@@ -112,8 +125,7 @@ def list_training_runs(runs: DataFrame) -> DataFrame:
 def training_runs_view(runs: DataFrame) -> DataFrame:
     """The console columns: model name cut to 40 characters, a dash for no output path."""
     return runs.orderBy(F.desc("created_at"), "id").select(
-        "name", "status", F.substring("base_model", 1, 40).alias("base_model"), "total_samples",
-        F.coalesce(F.nullif(F.col("output_path"), F.lit("")), F.lit("-")).alias("output_path"),
+        "name", "status", short_model().alias("base_model"), "total_samples", shown_path().alias("output_path"),
     )
 
 
@@ -141,18 +153,26 @@ def latest_dataset(versions: DataFrame, directories: DataFrame | None = None) ->
     return found.orderBy("choice").limit(1).select("path")
 
 
-def metric_values(runs: DataFrame, *names: str) -> DataFrame:
+def metric_columns(*names: str) -> list[Column]:
     """Numbers out of the JSON ``metrics`` column, null where absent."""
     fields = F.from_json("metrics", "map<string,double>")
-    return runs.select("id", *[F.try_element_at(fields, F.lit(n)).alias(n) for n in names])
+    return [F.try_element_at(fields, F.lit(n)).alias(n) for n in names]
 
 
-def config_values(runs: DataFrame, **paths: str) -> DataFrame:
+def config_columns(**paths: str) -> list[Column]:
     """Values out of the JSON ``config`` column by JSON path."""
-    return runs.select("id", *[F.get_json_object("config", path).alias(name) for name, path in paths.items()])
+    return [F.get_json_object("config", path).alias(name) for name, path in paths.items()]
+
+
+def metric_values(runs: DataFrame, *names: str) -> DataFrame:
+    return runs.select("id", *metric_columns(*names))
+
+
+def config_values(runs: DataFrame, **paths: str) -> DataFrame:
+    return runs.select("id", *config_columns(**paths))
 
 
 def languages_map(versions: DataFrame) -> DataFrame:
     """(id, language, samples) rows out of the JSON ``languages`` column."""
-    parsed = F.from_json("languages", "map<string,int>")
+    parsed = F.from_json("languages", "map<string,bigint>")
     return versions.select("id", F.explode(parsed).alias("language", "samples"))

@@ -87,9 +87,9 @@ def extract_functions(files: DataFrame) -> DataFrame:
 
 
 def instruction_rows(samples: DataFrame) -> DataFrame:
-    """Wrap rows for fine-tuning. A missing ``text`` column falls back to ``code``, then to
-    nothing; a missing ``language`` to the word code. Already formatted text is wrapped again."""
+    """Wrap rows for fine-tuning. A row without ``text`` falls back to its ``code``, then to
+    nothing; one without a ``language`` to the word code. Already formatted text is wrapped again."""
     columns = samples.columns
-    body = next((F.col(c) for c in ("text", "code") if c in columns), F.lit(""))
-    language = F.col("language") if "language" in columns else F.lit("code")
+    body = F.coalesce(*[F.col(c) for c in ("text", "code") if c in columns], F.lit(""))
+    language = F.coalesce(*[F.col(c) for c in ("language",) if c in columns], F.lit("code"))
     return samples.withColumns({"text": instruction_wrap(body, language), "language": language})

@@ -20,6 +20,7 @@ END_ID = 1  # also pads
 FIRST_WORD_ID = 2
 PIECE = f"[{WORD}]++|[^{WORD}{WS}]"
 MAX_VOCABULARY = 1_000_000
+MAX_VOCABULARY_BYTES = 64 * 1024 * 1024
 
 
 def pieces(text: Column) -> Column:
@@ -69,37 +70,61 @@ def map_batches(
     return (df.select(*columns) if columns else df).mapInPandas(run, schema)
 
 
-def _lookup(vocabulary) -> Callable:
+def _lookup(vocabulary: Broadcast) -> Callable:
     def run(batches: Iterator):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        words = pa.array(vocabulary.value)
+        known = vocabulary.value
         for batch in batches:
             last = batch.num_columns - 1
             lists = batch.column(last)
-            found = pc.index_in(lists.flatten().cast(pa.string()), value_set=words)
-            ids = pc.fill_null(pc.add(found, pa.scalar(2, pa.int32())), pa.scalar(0, pa.int32()))
+            words = lists.flatten().cast(pa.string()).dictionary_encode()
+            ids = np.fromiter((known.get(w, 0) for w in words.dictionary.to_pylist()), np.int32, len(words.dictionary))
             counts = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int64())
             ends = pc.cumulative_sum(counts).cast(pa.int32())
             offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            out = pa.ListArray.from_arrays(offsets, ids)
+            out = pa.ListArray.from_arrays(offsets, pa.array(ids).take(words.indices))
             names = [*batch.schema.names[:last], "input_ids"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], out], names=names)
 
     return run
 
 
-def share_vocabulary(vocabulary: DataFrame) -> Broadcast:
-    """Hand the words (at most MAX_VOCABULARY) to every executor, in id order."""
-    top = vocabulary.orderBy("token_id").limit(MAX_VOCABULARY).select("token")
-    return vocabulary.sparkSession.sparkContext.broadcast([row.token for row in top.collect()])
+def fits(vocabulary: DataFrame) -> bool:
+    """Whether a vocabulary is small enough to be handed to every executor."""
+    size = vocabulary.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("b")).first()
+    return size.n <= MAX_VOCABULARY and size.b <= MAX_VOCABULARY_BYTES
+
+
+def share_vocabulary(vocabulary: DataFrame) -> Broadcast | DataFrame:
+    """Hand (token, token_id) to every executor; a vocabulary over the limits stays a table, which
+    token_ids joins."""
+    if not fits(vocabulary):
+        return vocabulary
+    rows = vocabulary.select("token", "token_id").collect()
+    return vocabulary.sparkSession.sparkContext.broadcast({row.token: row.token_id for row in rows})
+
+
+def _joined_ids(docs: DataFrame, vocabulary: DataFrame, keep: list[str], tokens: Column) -> DataFrame:
+    """Ids by a join, for vocabularies of any size."""
+    cut = docs.select(*keep, tokens.alias("_tokens")).withColumn("_row", F.monotonically_increasing_id())
+    rows = stage(cut, "tokens")
+    each = rows.select("_row", F.posexplode("_tokens").alias("_at", "token"))
+    found = each.join(vocabulary.select("token", "token_id"), "token", "left")
+    place = F.struct("_at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).cast("int").alias("id"))
+    ids = found.groupBy("_row").agg(F.sort_array(F.collect_list(place)).alias("_ids"))
+    none = F.array().cast("array<int>")
+    return rows.join(ids, "_row", "left").select(*keep, F.coalesce(F.col("_ids.id"), none).alias("input_ids"))
 
 
 def token_ids(docs: DataFrame, vocabulary: DataFrame | Broadcast, keep: list[str], tokens: Column) -> DataFrame:
-    """``keep`` columns and input_ids. Spark cuts the text, Arrow's hash lookup maps whole
-    batches: no row-wise Python."""
+    """``keep`` columns and input_ids, as the vocabulary's token_id says. Spark cuts the text; a
+    task looks each different token of a batch up once."""
     shared = share_vocabulary(vocabulary) if isinstance(vocabulary, DataFrame) else vocabulary
+    if isinstance(shared, DataFrame):
+        return _joined_ids(docs, shared, keep, tokens)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
     return docs.select(*keep, tokens.alias("tokens")).mapInArrow(_lookup(shared), schema)
 
@@ -138,7 +163,7 @@ def tokenize_with(
 def token_stats(
     docs: DataFrame, *order: str, text: str = "text", sample: int | None = TokenOptions.stats_sample
 ) -> DataFrame:
-    """Mean, longest, shortest and total tokens over the first rows (``sample=None``: over all)."""
+    """Mean, longest, shortest and total tokens over all rows, or over the first ``sample``."""
     head = docs.select(*order, text)
     if sample is not None:
         head = head.orderBy(*order).limit(sample)
@@ -162,16 +187,16 @@ def pad_batches(
 ) -> DataFrame:
     """Batches in the seeded order, padded to their longest row; padding is masked and ignored.
 
-    ``tokenized`` is read twice (bucket counts, then rows): give a stored table.
+    Ranks and the longest row of a batch are found on ids and sizes; the token arrays are written
+    once and moved once, to meet their places.
     """
-    ranked = global_rank(tokenized, *id_columns, seed=seed)
-    batched = ranked.withColumns({
-        "batch_id": F.floor(F.col("rank") / batch_size),
-        "slot": (F.col("rank") % batch_size).cast("int"),
-    }).drop("rank")
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
-    gap = longest - F.size("input_ids")
-    padded = batched.withColumn("_gap", gap)
+    rows = stage(tokenized.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    narrow = rows.select(*id_columns, "_row", F.size("input_ids").alias("_size"))
+    batched = global_rank(narrow, *id_columns, seed=seed).select(
+        "_row", F.floor(F.col("rank") / batch_size).alias("batch_id"), (F.col("rank") % batch_size).cast("int").alias("slot"), "_size")
+    longest = F.max("_size").over(Window.partitionBy("batch_id"))
+    places = batched.withColumn("_gap", longest - F.col("_size")).drop("_size")
+    padded = rows.join(places, "_row").drop("_row")
 
     def filled(column: str, value: int) -> Column:
         return F.concat(F.col(column), F.array_repeat(F.lit(value), F.col("_gap")))

@@ -43,13 +43,14 @@ class BuildOptions:
     chunks: ChunkOptions = field(default_factory=ChunkOptions)
     split: SplitOptions = field(default_factory=SplitOptions)
     template: str = "instruction"
+    merge_key: str = "hash"  # or "prefix"
 
 
 @dataclass(frozen=True)
 class TokenOptions:
     vocabulary_size: int = 32_768
     max_length: int = 2048
-    stats_sample: int | None = 1000
+    stats_sample: int | None = None
     batch_size: int = 4
 
 
@@ -61,6 +62,7 @@ class GenerationDefaults:
     top_k: int = 50
     repetition_penalty: float = 1.1
     do_sample: bool = True
+    language: str = "python"
     complete_max_new_tokens: int = 256
     explain_max_new_tokens: int = 300
     explain_temperature: float = 0.3

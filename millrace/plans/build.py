@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.operators.catalog import conform, latest_dataset, row_id
-from millrace.operators.merge import union_incremental
+from millrace.operators.merge import merge_key, without_known
 from millrace.operators.ordering import order_key, shuffle, split_bounds, split_label
 from millrace.operators.samples import build_samples, language_counts, languages_json
 from millrace.options import BuildOptions
@@ -45,14 +45,15 @@ def build_dataset(
     for an incremental build. It is an error when the files give no sample at all, even if
     there are existing ones.
 
-    Samples are written to the shared folder once; the counts and the search for the two split
+    The files are read once: their languages are observed while samples are made. Samples are
+    written to the shared folder once; the counts and the search for the two split
     bounds then read single columns of that table, and only the final write moves text again.
     The driver sees one row of bounds and one count per language. Rows are keyed on id and text:
     after an incremental build two of them may share an id, but never both.
     """
     spark = files.sparkSession
     path = f"{output_dir}/{version}"
-    staged = [work_path(spark, "samples"), work_path(spark, "merged")]
+    staged = [work_path(spark, label) for label in ("samples", "merged", "keys")]
     try:
         return _build(files, path, version, options, existing, *staged)
     finally:
@@ -60,19 +61,26 @@ def build_dataset(
             drop_path(spark, table)
 
 
-def _build(files, path, version, options, existing, fresh_path, merged_path) -> BuildResult:
+def _build(files, path, version, options, existing, fresh_path, merged_path, keys_path) -> BuildResult:
     spark = files.sparkSession
     keyed_by = order_key(options.split.seed, "id", "text")
-    fresh = stage(build_samples(files, options).withColumn(KEY, keyed_by), "samples", fresh_path)
-    languages = languages_json(language_counts(fresh.select("language"), files.select("language"))).first()
-    merged = fresh
+    seen = Observation("languages")
+    watched = files.observe(seen, F.collect_set("language").alias("languages"))
+    fresh = stage(build_samples(watched, options).withColumn(KEY, keyed_by), "samples", fresh_path)
+    named = spark.createDataFrame([(name,) for name in seen.get["languages"]], "language string")
+    languages = languages_json(language_counts(fresh.select("language"), named)).first()
+    merged, keys = fresh, fresh.select(KEY)
     if existing is not None:
         if fresh.isEmpty():
             raise ValueError("the files give no samples")
-        both = union_incremental(fresh, existing.withColumn(KEY, keyed_by))
-        merged = stage(both, "merged", merged_path)
-
-    bounds = split_bounds(merged.select(KEY), KEY, options.split).first()
+        # keys of earlier samples are found in one pass; their text is read again for the last write only
+        old = existing.select(merge_key(key=options.merge_key).alias("merge_key"), keyed_by.alias(KEY))
+        old = stage(old, "keys", keys_path)
+        added = stage(without_known(fresh, old.select("merge_key"), merge_key(key=options.merge_key)), "merged", merged_path)
+        merged = existing.withColumn(KEY, keyed_by).unionByName(added)
+        keys = old.select(KEY).unionByName(added.select(KEY))
+
+    bounds = split_bounds(keys, KEY, options.split).first()
     if not bounds.total_samples:
         raise ValueError("the files give no samples")
     labelled = merged.withColumn("split", split_label(F.col(KEY), bounds))

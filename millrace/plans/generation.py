@@ -28,10 +28,17 @@ def validate_requests(requests: DataFrame, limits=GENERATE_LIMITS) -> DataFrame:
     return checked.withColumn("valid", F.size("violations") == 0)
 
 
+def _or_default(requests: DataFrame, name: str, default):
+    """A missing column or a null value takes the default."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in requests.columns else F.lit(default)
+
+
 def fill_request_defaults(requests: DataFrame, defaults: GenerationDefaults = DEFAULTS) -> DataFrame:
+    """A zero temperature or length counts as missing too."""
     return requests.withColumns({
-        "max_new_tokens": R.or_default(F.col("max_new_tokens"), defaults.max_new_tokens),
-        "temperature": R.or_default(F.col("temperature"), defaults.temperature),
+        "max_new_tokens": R.or_default(_or_default(requests, "max_new_tokens", 0), defaults.max_new_tokens),
+        "temperature": R.or_default(_or_default(requests, "temperature", 0.0), defaults.temperature),
+        **{name: _or_default(requests, name, getattr(defaults, name)) for name in ("top_p", "top_k", "repetition_penalty", "do_sample")},
     })
 
 
@@ -41,18 +48,16 @@ def apply_sampling(requests: DataFrame, defaults: GenerationDefaults = DEFAULTS)
 
 def prepare_generate(requests: DataFrame, defaults: GenerationDefaults = DEFAULTS) -> DataFrame:
     """Valid requests with their effective values; invalid ones are turned away."""
-    valid = validate_requests(requests).filter("valid").drop("valid", "violations")
+    limits = [limit for limit in GENERATE_LIMITS if limit[0] in requests.columns]
+    valid = validate_requests(requests, limits).filter("valid").drop("valid", "violations") if limits else requests
     return apply_sampling(fill_request_defaults(valid, defaults), defaults)
 
 
-def prepare_completion(requests: DataFrame, defaults: GenerationDefaults = DEFAULTS) -> DataFrame:
-    """code_prefix, language, max_new_tokens, temperature: the temperature is checked, but
-    completion always runs with the default one."""
-    valid = validate_requests(requests, COMPLETE_LIMITS).filter("valid").drop("valid", "violations")
-    return valid.withColumns({
-        "prompt": P.completion_prompt(F.col("code_prefix"), F.col("language")),
-        "max_new_tokens": R.or_default(F.col("max_new_tokens"), defaults.max_new_tokens),
-        "temperature": F.lit(defaults.temperature),
+def _fixed(requests: DataFrame, max_new_tokens, temperature: float, defaults: GenerationDefaults) -> DataFrame:
+    return requests.withColumns({
+        "language": _or_default(requests, "language", defaults.language),
+        "max_new_tokens": max_new_tokens,
+        "temperature": F.lit(temperature),
         "top_p": F.lit(defaults.top_p),
         "top_k": F.lit(defaults.top_k),
         "repetition_penalty": F.lit(defaults.repetition_penalty),
@@ -60,17 +65,20 @@ def prepare_completion(requests: DataFrame, defaults: GenerationDefaults = DEFAU
     })
 
 
+def prepare_completion(requests: DataFrame, defaults: GenerationDefaults = DEFAULTS) -> DataFrame:
+    """code_prefix, language, max_new_tokens, temperature: the temperature is checked, but
+    completion always runs with the default one."""
+    limits = [limit for limit in COMPLETE_LIMITS if limit[0] in requests.columns]
+    valid = validate_requests(requests, limits).filter("valid").drop("valid", "violations") if limits else requests
+    length = _or_default(valid, "max_new_tokens", defaults.complete_max_new_tokens)
+    ready = _fixed(valid, length, defaults.temperature, defaults)
+    return ready.withColumn("prompt", P.completion_prompt(F.col("code_prefix"), F.col("language")))
+
+
 def prepare_explain(requests: DataFrame, defaults: GenerationDefaults = DEFAULTS) -> DataFrame:
     """code, language."""
-    return requests.withColumns({
-        "prompt": P.explain_prompt(F.col("code")),
-        "max_new_tokens": F.lit(defaults.explain_max_new_tokens),
-        "temperature": F.lit(defaults.explain_temperature),
-        "top_p": F.lit(defaults.top_p),
-        "top_k": F.lit(defaults.top_k),
-        "repetition_penalty": F.lit(defaults.repetition_penalty),
-        "do_sample": F.lit(defaults.do_sample),
-    })
+    ready = _fixed(requests, F.lit(defaults.explain_max_new_tokens), defaults.explain_temperature, defaults)
+    return ready.withColumn("prompt", P.explain_prompt(F.col("code")))
 
 
 def prompt_tokens(requests: DataFrame, vocabulary: DataFrame | Broadcast, keep: list[str],
@@ -103,6 +111,25 @@ def finish_explain(results: DataFrame) -> DataFrame:
     return finish(results).withColumn("generated_text", P.explain_postprocess(F.col("generated_text")))
 
 
+def answer(prepared: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable) -> DataFrame:
+    """Prepared requests with input_ids (the prompt's first 1,800) through the caller's model."""
+    return run_model(prompt_tokens(prepared, vocabulary, prepared.columns), generate)
+
+
+def generate_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable, stops: Sequence[str] = ()) -> DataFrame:
+    """Every valid generation request to its reported result."""
+    return finish(answer(prepare_generate(requests), vocabulary, generate), stops)
+
+
+def complete_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable) -> DataFrame:
+    """Every valid completion request to its reported result."""
+    return finish_completion(answer(prepare_completion(requests), vocabulary, generate))
+
+
+def explain_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable) -> DataFrame:
+    return finish_explain(answer(prepare_explain(requests), vocabulary, generate))
+
+
 def throughput_summary(results: DataFrame, *keys: str) -> DataFrame:
     """Roll-up of the per-row numbers; rate over the total time, null when there was none."""
     return results.groupBy(*keys).agg(

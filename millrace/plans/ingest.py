@@ -12,12 +12,12 @@ from millrace.operators.catalog import empty_table, new_catalog_rows, upsert_rep
 from millrace.operators.files import dedupe_content, repo_summary, scan_files
 from millrace.options import ScanOptions
 from millrace.session import stage
-from millrace.sources.stores import scan_raw_store, write_raw_store
+from millrace.sources.stores import folder_column, replace_repositories, scan_raw_store
 
 
 @dataclass
 class IngestResult:
-    files: DataFrame         # the stored files
+    files: DataFrame         # all stored files
     catalog: DataFrame       # code_file_catalog after the run
     repositories: DataFrame  # repositories after the run
     summary: DataFrame       # one row per requested url
@@ -42,15 +42,20 @@ def ingest(
     ``requests``: url, repo (the folder name in ``files``), branch, error (null, or why the
     repository could not be fetched). ``files``: repo, rel_path, content.
 
-    Text is read once and shuffled twice: for the dedupe and for the folder layout. Catalogue and
-    summary read narrow columns of the stored result.
+    Other repositories of the store stay; an asked one is replaced. A url asked for twice counts once,
+    and it is an error if the two requests differ. Text is read once and shuffled twice: for the dedupe
+    and for the folder layout. Catalogue and summary read narrow columns of the stored result.
     """
     spark = files.sparkSession
     repositories = empty_table(spark, "repositories") if repositories is None else repositories
     catalog = empty_table(spark, "code_file_catalog") if catalog is None else catalog
 
-    write_raw_store(dedupe_content(scan_files(files, options)), raw_path)
-    stored = scan_raw_store(spark, raw_path)
+    requests = requests.distinct()
+    if not requests.groupBy("url").count().filter("count > 1").isEmpty():
+        raise ValueError("requests for one url differ")
+    replace_repositories(dedupe_content(scan_files(files, options)), raw_path, requests)
+    everything = scan_raw_store(spark, raw_path)
+    stored = everything.join(requests.select("repo").distinct(), "repo", "left_semi")
 
     counts = repo_summary(stored)
     results = requests.join(counts, "repo", "left").select(
@@ -61,7 +66,7 @@ def ingest(
         F.coalesce("files", F.lit(0)).alias("files"),
         F.coalesce("lines", F.lit(0)).alias("lines"),
         F.coalesce("size_kb", F.lit(0.0)).alias("size_kb"),
-        F.concat_ws("/", F.lit(raw_path), F.concat(F.lit("repo="), "repo")).alias("local_path"),
+        F.concat_ws("/", F.lit(raw_path), F.concat(F.lit("repo="), folder_column(F.col("repo")))).alias("local_path"),
         "error",
     )
     summary = stage(results, "ingest-summary")  # one row per repository, read several times below
@@ -72,5 +77,6 @@ def ingest(
     described = stored.select(
         "repo", F.col("rel_path").alias("file_path"), "language", "content_hash", "size_kb", "line_count"
     ).join(owners, "repo").drop("repo")
-    added = new_catalog_rows(described, catalog)
-    return IngestResult(stored, catalog.unionByName(added), after, summary)
+    # written, so that the result does not change with the store and later ingests do not read it again
+    added = stage(new_catalog_rows(described, catalog), "catalog-rows")
+    return IngestResult(everything, catalog.unionByName(added), after, summary)

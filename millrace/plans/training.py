@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.operators.samples import instruction_rows
 from millrace.operators.tokens import share_vocabulary, tokenize
 from millrace.options import TokenOptions
+from millrace.plans.build import METADATA, dataset_path, newest_version
+from millrace.sources.stores import load_split_dataset
 
 
 def training_input(
@@ -25,6 +27,15 @@ def training_input(
     return tokenized if evaluation is None else tokenized | {"eval": evaluation}
 
 
+def newest_dataset(versions: DataFrame, output_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The splits and the one row of metadata of the newest version."""
+    spark = versions.sparkSession
+    path = newest_version(versions, output_dir)
+    if path is None:
+        raise ValueError("no dataset found: build one first")
+    return load_split_dataset(spark, dataset_path(path)), spark.read.schema(METADATA).json(f"{path}/metadata")
+
+
 def total_samples(splits: dict[str, DataFrame]) -> DataFrame:
     """What a training run records: the rows of the training split."""
     return splits["train"].agg(F.count("*").alias("total_samples"))

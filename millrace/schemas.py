@@ -29,8 +29,8 @@ REPOSITORIES = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("branch", T.StringType()),
     T.StructField("status", T.StringType()),
-    T.StructField("files_count", T.IntegerType()),
-    T.StructField("total_lines", T.IntegerType()),
+    T.StructField("files_count", T.LongType()),
+    T.StructField("total_lines", T.LongType()),
     T.StructField("size_kb", T.DoubleType()),
     T.StructField("local_path", T.StringType()),
     T.StructField("error_message", T.StringType()),
@@ -59,7 +59,7 @@ TRAINING_RUNS = T.StructType([
     T.StructField("output_path", T.StringType()),
     T.StructField("config", T.StringType()),
     T.StructField("metrics", T.StringType()),
-    T.StructField("total_samples", T.IntegerType()),
+    T.StructField("total_samples", T.LongType()),
     T.StructField("epochs_completed", T.IntegerType()),
     T.StructField("error_message", T.StringType()),
     T.StructField("started_at", T.TimestampType()),
@@ -71,10 +71,10 @@ DATASET_VERSIONS = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("version", T.StringType()),
     T.StructField("path", T.StringType()),
-    T.StructField("total_samples", T.IntegerType()),
-    T.StructField("train_samples", T.IntegerType()),
-    T.StructField("val_samples", T.IntegerType()),
-    T.StructField("test_samples", T.IntegerType()),
+    T.StructField("total_samples", T.LongType()),
+    T.StructField("train_samples", T.LongType()),
+    T.StructField("val_samples", T.LongType()),
+    T.StructField("test_samples", T.LongType()),
     T.StructField("languages", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
 ])

@@ -70,15 +70,3 @@ def list_directories(spark: SparkSession, path: str) -> list[tuple[str, float]]:
     found = files.listStatus(jvm_path)
     return [(s.getPath().toString(), s.getModificationTime() / 1000) for s in found if s.isDirectory()]
 
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a plain scan only when Spark had to shrink its splits to occupy the cores.
-
-    Splits smaller than a row group stay empty, so a few large row groups would feed expensive
-    per-row work through as few tasks. A scan with more splits than cores - any large table -
-    comes back untouched, so no shuffle is added at scale.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() > cores:
-        return scan
-    return scan.repartition(cores, *keys)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from millrace.functions.text import safe_name
 from millrace.operators.catalog import empty_table
 from millrace.schemas import CATALOG_TABLES, CODE_FILES, SAMPLES
-from millrace.session import list_directories, path_exists
+from millrace.session import drop_path, list_directories, path_exists, stage
 
 SPLITS = ("train", "validation", "test")
 RAW_STORE = T.StructType(
@@ -34,6 +34,40 @@ def write_raw_store(
     stored.sortWithinPartitions(*order).write.mode(mode).partitionBy(*folders).parquet(path)
 
 
+def replace_repositories(files: DataFrame, path: str, repos: DataFrame) -> None:
+    """Store the files of the given repositories; those of others stay where they are.
+
+    Folders that get rows are overwritten; what an asked repository had in other folders, or all of
+    it if it gave no files, is removed afterwards.
+    """
+    spark = files.sparkSession
+    if not path_exists(spark, path):
+        return write_raw_store(files, path)
+    folders = ["repo", "language"]
+    before = scan_raw_store(spark, path).select(*folders).distinct().join(repos.select("repo").distinct(), "repo", "left_semi")
+    before = stage(before, "folders")
+    stored = files.withColumn("safe_name", safe_name(F.col("rel_path"))).hint("rebalance", *folders)
+    new = stage(stored, "arrived")
+    new.sortWithinPartitions(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+    for row in before.join(new.select(*folders).distinct(), folders, "left_anti").toLocalIterator():
+        drop_path(spark, f"{path}/repo={folder_name(row.repo)}/language={folder_name(row.language)}")
+
+
+#: characters that a folder of a partition value shows as % and two hex digits
+_ESCAPED = "%\"#'*/:=?\\{}[]^"
+
+
+def folder_name(value: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED or ord(c) < 32 or ord(c) == 127 else c for c in value)
+
+
+def folder_column(name) -> F.Column:
+    """The same for a column."""
+    for c in _ESCAPED:
+        name = F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return name
+
+
 def scan_raw_store(spark: SparkSession, path: str) -> DataFrame:
     """The language is the folder's, never detected again; filters on folders prune them."""
     return spark.read.schema(RAW_STORE).parquet(path).select(*RAW_STORE.fieldNames())

@@ -16,7 +16,7 @@ CHECKPOINT_FOLDER = r"\Acheckpoint-[^/]*\z"
 
 def _folders(listing: DataFrame) -> DataFrame:
     folders = listing.filter("is_dir").filter(F.col("rel_path").rlike(CHECKPOINT_FOLDER))
-    step = F.substring_index("rel_path", "-", -1).cast("long")
+    step = F.substring_index("rel_path", "-", -1).try_cast("long")
     return folders.select(F.col("repo").alias("run_id"), "rel_path", "path", step.alias("step"))
 
 
@@ -41,7 +41,8 @@ def read_trainer_state(listing: DataFrame) -> DataFrame:
 
 
 def recorded_best(listing: DataFrame) -> DataFrame:
-    """(run_id, step) of the best checkpoint a run's own state file names, where it still exists."""
+    """(run_id, step) of the best checkpoint a run's own state file names, where it still exists.
+    The state may name it by a relative or moved path, so its last part decides."""
     states = _states(listing.filter(F.col("rel_path") == STATE_FILE))
-    named = states.select("run_id", F.col("state.best_model_checkpoint").alias("path"))
-    return named.join(_folders(listing), ["run_id", "path"]).select("run_id", "step")
+    step = F.regexp_extract("state.best_model_checkpoint", r"checkpoint-(\d+)/*$", 1).try_cast("long")
+    return states.select("run_id", step.alias("step")).join(_folders(listing), ["run_id", "step"]).select("run_id", "step")

@@ -19,7 +19,7 @@ from millrace.operators.ordering import order_key, split_bounds, split_label
 from millrace.operators.samples import build_samples, version_label
 from millrace.options import BuildOptions, ScanOptions
 from millrace.schemas import CODE_FILES, SAMPLES
-from millrace.session import path_exists, spread
+from millrace.session import path_exists
 
 BATCH = T.StructField("batch_id", T.LongType())
 REPO_BUCKETS = 256
@@ -63,7 +63,7 @@ def stream_ingest(
     """
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived = dedupe_content(scan_files(spread(batch), options)).withColumns({
+        arrived = dedupe_content(scan_files(batch, options)).withColumns({
             "safe_name": safe_name(F.col("rel_path")),
             "repo_bucket": F.pmod(F.xxhash64("repo"), F.lit(REPO_BUCKETS)).cast("int"),
         }).persist()
@@ -108,8 +108,8 @@ def stream_dataset_build(
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = build_samples(spread(batch), options).withColumns({
-            "merge_key": merge_key("text"),
+        fresh = build_samples(batch, options).withColumns({
+            "merge_key": merge_key("text", options.merge_key),
             "split_key": order_key(options.split.seed, "id", "text"),
         }).persist()
         try:

@@ -59,12 +59,15 @@ def test_language_without_samples_counts_zero(spark):
     assert json.loads(S.languages_json(S.language_counts_from_files(files)).first().languages) == by_files
 
 
-def test_merge_compares_the_first_hundred_characters(spark):
+@pytest.mark.parametrize("key,kept", [("hash", ["4", "5", "6", "7"]), ("prefix", ["5", "6", "7"])])
+def test_merge_compares_whole_texts_or_a_prefix(spark, key, kept):
     head = "h" * MERGE_KEY_CHARS
     existing = spark.createDataFrame([("1", head + "a"), ("2", head + "a"), ("3", "é")], "id string, text string")
     new = spark.createDataFrame([("4", head + "z"), ("5", "new"), ("6", "new"), ("7", head[:-1]), ("8", "é")], "id string, text string")
-    assert sorted(r.id for r in M.incremental_anti_join(new, existing).collect()) == ["5", "6", "7"]
-    assert sorted(r.id for r in M.union_incremental(new, existing).collect()) == ["1", "2", "3", "5", "6", "7"]
+    assert sorted(r.id for r in M.incremental_anti_join(new, existing, key).collect()) == kept
+    assert sorted(r.id for r in M.union_incremental(new, existing, key).collect()) == ["1", "2", "3", *kept]
+    with pytest.raises(ValueError):
+        M.merge_key(key="other")
 
 
 def build(spark, files, existing=None):
@@ -183,7 +186,7 @@ def test_staged_tables_are_removed_after_a_build(spark, monkeypatch):
     original = B.work_path
     monkeypatch.setattr(B, "work_path", lambda s, label: paths.append(original(s, label)) or paths[-1])
     build(spark, code(spark, [("r", "a.py", "python", text(1))]))
-    assert len(paths) == 2 and not any(path_exists(spark, p) for p in paths)
+    assert len(paths) == 3 and not any(path_exists(spark, p) for p in paths)
 
 
 def test_incremental_build_finds_the_newest_version(spark):
@@ -210,3 +213,55 @@ def test_catalogue_snapshots(spark):
     again = stores.read_table(spark, base, "repositories")
     stores.write_table(again.unionByName(again.withColumn("id", F.lit("2"))), base, "repositories")
     assert sorted(r.id for r in stores.read_table(spark, base, "repositories").collect()) == ["1", "2"]
+
+
+def test_ingest_into_a_living_store(spark):
+    """A second ingest keeps other repositories, replaces its own, and takes a repeated url once."""
+    raw = work_path(spark, "raw")
+
+    def ingest(rows, requests, before=None):
+        files = spark.createDataFrame(rows, "repo string, rel_path string, content string")
+        asked = spark.createDataFrame(requests, "url string, repo string, branch string, error string")
+        return I.ingest(asked, files, raw, *([before.repositories, before.catalog] if before else []))
+
+    body = "\n".join(f"x{n} = {n}" for n in range(9))
+    one = [("one", "a.py", body), ("one", "b.go", body)]
+    first = ingest(one, [("https://h/one", "one", "main", None)])
+    second = ingest([("t:wo", "c.py", body)], [("https://h/two", "t:wo", "main", None)] * 2, first)
+    stored = stores.scan_raw_store(spark, raw)
+    assert sorted((r.repo, r.rel_path) for r in stored.collect()) == [("one", "a.py"), ("t:wo", "c.py")]
+    assert [(r.url, r.status) for r in second.repositories.orderBy("url").collect()] == [("https://h/one", "completed"), ("https://h/two", "completed")]
+    assert second.catalog.count() == second.catalog.select("id").distinct().count() == 2
+    assert all(path_exists(spark, r.local_path) for r in second.repositories.collect())
+    ingest([("one", "d.go", body + "\n")], [("https://h/one", "one", "main", None)], second)
+    assert sorted((r.repo, r.rel_path) for r in stores.scan_raw_store(spark, raw).collect()) == [("one", "d.go"), ("t:wo", "c.py")]
+    with pytest.raises(ValueError, match="differ"):
+        ingest(one, [("https://h/one", "one", "main", None), ("https://h/one", "one", "dev", None)])
+
+
+def test_counts_beyond_four_bytes(spark):
+    row = spark.createDataFrame([("v", 3_000_000_000)], "version string, total_samples long")
+    assert K.conform(row, "dataset_versions").first().total_samples == 3_000_000_000
+
+
+def test_a_build_reads_its_files_once(spark):
+    files = code(spark, [("r", f"{i}.py", "python", text(i)) for i in range(5)] + [("r", "x.go", "go", "tiny")])
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    made = build(spark, files.mapInArrow(count, files.schema))
+    assert reads.value == 6 and json.loads(made.metadata.first().languages) == {"go": 0, "python": 5}
+
+
+def test_newest_dataset(spark):
+    output = work_path(spark, "versions")
+    files = code(spark, [("r", f"{i}.py", "python", text(i)) for i in range(30)])
+    version = B.build_dataset(files, output, "v1").version
+    splits, metadata = N.newest_dataset(version, output)
+    assert set(splits) == {"train", "validation", "test"} and metadata.first().train_samples == splits["train"].count()
+    with pytest.raises(ValueError, match="no dataset"):
+        N.newest_dataset(version.limit(0), work_path(spark, "nothing"))

@@ -109,3 +109,29 @@ def test_explain(spark):
     out = spark.createDataFrame([(" adds", 3, 1.5)], "raw_text string, tokens_generated int, elapsed double")
     done = G.finish_explain(out).first()
     assert (done.generated_text, done.tokens_per_second, done.time_seconds) == ("This code adds", 2.0, 1.5)
+
+
+def test_rows_fall_back_one_by_one(spark):
+    rows = [("t", "c", "go"), (None, "c", None), (None, None, "go")]
+    made = S.instruction_rows(spark.createDataFrame(rows, "text string, code string, language string")).collect()
+    assert [r.text.split("### Code:\n")[1] for r in made] == ["t\n### End", "c\n### End", "\n### End"]
+    assert [r.language for r in made] == ["go", "code", "go"]
+
+
+def test_requests_end_to_end(spark):
+    def model(frame):
+        frame["raw_text"] = [f"{len(ids)} {n} {t}### End more" for ids, n, t in zip(frame["input_ids"], frame["max_new_tokens"], frame["temperature"])]
+        frame["tokens_generated"] = frame["max_new_tokens"].astype("int32")
+        frame["elapsed"] = 2.0
+        return frame
+
+    words = spark.createDataFrame([("w", 2)], "token string, token_id int")
+    long = "w " * 3000
+    asked = spark.createDataFrame([(1, long, None, None), (2, "w", 9000, None), (3, "w", 7, 0.0)], "id long, prompt string, max_new_tokens int, temperature double")
+    made = {r.id: r for r in G.generate_all(asked, words, model, ["### End"]).collect()}
+    assert set(made) == {1, 3} and made[1].generated_text == "1800 512 0.7" and made[3].generated_text == "1 7 0.7"
+    assert made[1].do_sample and made[1].top_p == 0.95 and made[1].top_k == 50 and made[1].repetition_penalty == 1.1
+    completed = {r.id: r for r in G.complete_all(asked.withColumnRenamed("prompt", "code_prefix"), words, model).collect()}
+    assert set(completed) == {1, 3} and completed[1].max_new_tokens == 256 and completed[1].language == "python"
+    explained = G.explain_all(spark.createDataFrame([("w",)], "code string"), words, model).first()
+    assert explained.generated_text.startswith("This code") and explained.max_new_tokens == 300 and explained.language == "python"

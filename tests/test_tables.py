@@ -147,3 +147,25 @@ def test_padded_batches(spark):
 def test_map_batches_drops_columns(spark):
     done = T.map_batches(docs(spark), lambda f: f.assign(n=f["id"] * 2), "id int, n long", ["id"])
     assert {r.id: r.n for r in done.collect()} == {1: 2, 2: 4, 3: 6}
+
+
+def vocabulary_with_gaps(spark):
+    return spark.createDataFrame([("a", 5, 2), ("c", 3, 9)], "token string, n long, token_id int")
+
+
+def test_ids_are_the_vocabularys(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "c a x c"), (2, ""), (3, None), (1, "a")], "id long, text string")
+    ids = lambda: sorted((r.id, r.input_ids) for r in T.tokenize(rows, vocabulary_with_gaps(spark), ["id"]).collect())
+    want = [(1, [2]), (1, [9, 2, 0, 9]), (2, []), (3, [])]
+    assert ids() == want
+    monkeypatch.setattr(T, "MAX_VOCABULARY_BYTES", 1)
+    assert isinstance(T.share_vocabulary(vocabulary_with_gaps(spark)), type(rows))
+    assert ids() == want
+
+
+def test_listings_are_in_order(spark):
+    rows = [(str(i), f"u{i % 3}", dt.datetime(2024, 1, 1 + i % 5)) for i in range(12)]
+    frame = spark.createDataFrame(rows, "id string, url string, created_at timestamp").repartition(4)
+    order = [r[0] for r in sorted(sorted(rows), key=lambda r: r[2], reverse=True)]
+    for listing, name in ((K.list_repositories, "repositories"), (K.list_datasets, "dataset_versions"), (K.list_training_runs, "training_runs")):
+        assert [r.id for r in listing(K.conform(frame, name)).collect()] == order

@@ -3,6 +3,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import chunks as C
@@ -185,3 +187,36 @@ def test_large_unfriendly_texts_stay_linear(values):
                  F.size(C.char_windows(F.col("t"))))
     assert [g[0] for g in got] == [1, n, n, 0]
     assert got[1][1] == n and [g[2] for g in got] == [False, True, False, False]
+
+
+def test_extraction_is_linear_in_open_text(spark):
+    """Half a megabyte that never closes what it opens."""
+    import time
+
+    texts = [("python", "def a " * 85_000), ("javascript", "const f = x => y\n" * 30_000), ("javascript", "function f (\n" * 38_000),
+             ("javascript", "function f() {{ {\n" * 28_000)]
+    frame = spark.createDataFrame(texts, "language string, text string").coalesce(1)
+    frame.select(F.size(C.extract_functions(F.col("text"), F.col("language")))).collect()
+    begun = time.time()
+    counts = frame.select(F.size(C.extract_functions(F.col("text"), F.col("language"))).alias("n")).collect()
+    assert [r.n for r in counts] == [0, 0, 0, 0] and time.time() - begun < 4
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["def f", "def g(x)", ":", "\n", "  a\n", "function f", "async ", "(a)", "{", "}", "const k = ", "x ", "=> ", ";", " "]), max_size=25).map("".join))
+def test_extraction_as_plain_patterns(text):
+    import re
+
+    def java(pattern):
+        return re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].rjust(4, "0"), pattern))
+
+    ws, word = r"\s", r"\w"
+    plain = [
+        (C.PYTHON_DEF, rf"(?m)(def{ws}+{word}+[^:]*:(?:\n(?:[ \t]+.+|{ws}*$))*)"),
+        (C.JS_FUNCTION, rf"((?:async{ws}+)?function{ws}+{word}+[^{{]*\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})"),
+        (C.JS_ARROW, rf"(const{ws}+{word}+{ws}*={ws}*(?:async{ws}+)?(?:\([^)]*\)|{word}+){ws}*=>[^;]+;)"),
+    ]
+    for ours, theirs in plain:
+        pattern = re.sub(r"\[[^\]]*x1c[^\]]*\]", r"\\s", ours.replace("(?dm)", "(?m)"))
+        pattern = re.sub(r"\[\\p\{L\}[^\]]*\]", r"\\w", pattern).replace("\\z", "\\Z")
+        assert [m for m in re.findall(pattern, text) if m] == re.findall(theirs, text)

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 from checks.adapters import cte
-from millrace.constants import (
-    COMMENT_SYNTAX,
-    EXCLUDED_SUBSTRINGS,
-    LANGUAGE_BY_EXTENSION,
-)
 
 WS = r"\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 INLINE = r"\t\x0b-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
 BREAKS = r"\n\x0b\f\r\x1c-\x1e\x85\x{2028}\x{2029}"
 
+# --- fixed values, stated here once more so that the library's own are checked -----------------
+LANGUAGE_BY_EXTENSION = {
+    "." + suffix: language
+    for language, suffixes in {
+        "python": "py", "javascript": "js jsx", "typescript": "ts tsx", "java": "java", "cpp": "cpp hpp", "c": "c h",
+        "go": "go", "rust": "rs", "ruby": "rb", "php": "php", "swift": "swift", "kotlin": "kt", "scala": "scala",
+        "shell": "sh bash", "sql": "sql", "r": "r", "lua": "lua", "csharp": "cs", "fsharp": "fs", "haskell": "hs",
+        "elixir": "ex exs", "clojure": "clj", "terraform": "tf", "yaml": "yaml yml",
+    }.items() for suffix in suffixes.split()
+}
+EXCLUDED_SUBSTRINGS = "node_modules .git __pycache__ *.min.js dist build vendor .venv venv".split()
+_C_LIKE = ("//.*$", ("/*", "*/"))
+COMMENT_SYNTAX = {
+    "python": ("#.*$", ('"""', '"""'), ("'''", "'''")), **dict.fromkeys(("javascript", "typescript", "java", "cpp", "c", "go", "rust"), _C_LIKE),
+    **dict.fromkeys(("ruby", "shell"), ("#.*$",)), "sql": ("--.*$", ("/*", "*/")),
+}
+
 SQL: dict[str, str] = {}
 
 

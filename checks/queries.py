@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from checks import trees as TW
 from checks.adapters import CODE_DOCS, documents, table, view
 from millrace.constants import COMPLETE_LIMITS
 from millrace.functions import chunks as C
@@ -76,8 +77,8 @@ def joined(column):
 
 def tree(spark, sf):
     """The files written out by tasks; returns (repo, path) roots."""
-    root = TR.mounted(work_path(spark, "files"))
-    TR.write_tree(docs(spark, sf), root)
+    root = TW.mounted(work_path(spark, "files"))
+    TW.write_tree(docs(spark, sf), root)
     return docs(spark, sf).select("repo").distinct().withColumn("path", F.concat_ws("/", F.lit(root), "repo"))
 
 
@@ -194,12 +195,12 @@ def run_tree(spark, sf):
         state.alias("content"),
     )
     best = runs.filter("loss IS NOT NULL").groupBy("run_id").agg(F.min_by("step", F.struct("loss", "step")).alias("step"))
-    root = TR.mounted(work_path(spark, "runs"))
+    root = TW.mounted(work_path(spark, "runs"))
     top = best.select(
         F.col("run_id").cast("string").alias("repo"), F.lit("trainer_state.json").alias("rel_path"),
         F.concat(F.lit(f'{{"best_model_checkpoint": "{root}/'), "run_id", F.lit("/checkpoint-"), "step", F.lit('"}')).alias("content"),
     )
-    TR.write_tree(files.unionByName(top), root)
+    TW.write_tree(files.unionByName(top), root)
     roots = runs.select(F.col("run_id").cast("string").alias("repo")).distinct()
     return TR.list_tree(roots.withColumn("path", F.concat_ws("/", F.lit(root), "repo")))
 

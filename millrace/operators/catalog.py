@@ -37,6 +37,23 @@ def new_catalog_rows(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return conform(fresh.withColumn("id", row_id("repository_id", "file_path")), "code_file_catalog")
 
 
+def refreshed_catalog(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The catalogue with new files added and rows of changed content brought up to date, to be
+    processed again. ``new_catalog_rows`` leaves such rows as they are."""
+    keys, values = ["repository_id", "file_path"], ["language", "content_hash", "size_kb", "line_count"]
+    present = [c for c in values if c in files.columns]
+    fresh = files.select(*keys, *[F.col(c).alias(f"new_{c}") for c in present], F.lit(True).alias("seen"))
+    both = catalog.join(fresh, keys, "full_outer")
+    changed = F.col("seen") & ~F.col("new_content_hash").eqNullSafe(F.col("content_hash"))
+    rows = both.select(
+        F.coalesce("id", row_id(*keys)).alias("id"), *keys,
+        *[F.when(changed, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in present],
+        *[c for c in values if c not in present],
+        F.when(changed, F.lit(False)).otherwise(F.col("is_processed")).alias("is_processed"), "created_at",
+    )
+    return conform(rows, "code_file_catalog")
+
+
 def upsert_repositories(existing: DataFrame, results: DataFrame) -> DataFrame:
     """A new snapshot of the repositories table, matched by url.
 

@@ -13,14 +13,26 @@ from millrace.functions import text as X
 from millrace.options import ScanOptions
 
 
-def exclude_paths(files: DataFrame, patterns=ScanOptions.exclude) -> DataFrame:
-    """Drop a file when any pattern occurs anywhere in its relative path."""
+def exclude_paths(files: DataFrame, patterns=ScanOptions.exclude, mode: str = ScanOptions.exclude_mode) -> DataFrame:
+    """Drop a file when any pattern occurs anywhere in its relative path (``substring``, so that a
+    star stands for itself), or matches the path or a part of it (``glob``)."""
+    if mode not in ("substring", "glob"):
+        raise ValueError(f"unknown mode {mode!r}")
     if not patterns:
         return files
-    hit = reduce(or_, [F.contains("rel_path", F.lit(p)) for p in patterns])
+    if mode == "glob":
+        hit = reduce(or_, [F.col("rel_path").rlike(_glob(p)) for p in patterns])
+    else:
+        hit = reduce(or_, [F.contains("rel_path", F.lit(p)) for p in patterns])
     return files.filter(~hit)
 
 
+def _glob(pattern: str) -> str:
+    """Whole parts of a path; a star stays inside its part."""
+    wild = {"*": "[^/]*", "?": "[^/]"}
+    return r"(?:\A|/)" + "".join(wild.get(c, rf"\x{{{ord(c):x}}}") for c in pattern) + r"(?:/|\z)"
+
+
 def filter_extension(files: DataFrame, extensions=ScanOptions.extensions) -> DataFrame:
     return files.filter(X.file_extension(F.col("rel_path")).isin(*extensions))
 
@@ -36,7 +48,7 @@ def filter_min_lines(files: DataFrame, min_lines: int = ScanOptions.min_lines) -
 
 def admit(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """The tests that need only a path and a byte count."""
-    files = exclude_paths(files, options.exclude)
+    files = exclude_paths(files, options.exclude, options.exclude_mode)
     files = filter_extension(files, options.extensions)
     return filter_size(files, options.max_size_kb)
 

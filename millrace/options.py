@@ -11,6 +11,7 @@ from millrace.constants import EXCLUDED_SUBSTRINGS, LANGUAGE_BY_EXTENSION
 class ScanOptions:
     extensions: tuple[str, ...] = tuple(LANGUAGE_BY_EXTENSION)
     exclude: tuple[str, ...] = EXCLUDED_SUBSTRINGS
+    exclude_mode: str = "substring"  # or "glob": of the path or of one of its parts
     max_size_kb: float = 500
     min_lines: int = 5
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import repo_name
-from millrace.operators.catalog import empty_table, new_catalog_rows, upsert_repositories
+from millrace.operators.catalog import empty_table, new_catalog_rows, refreshed_catalog, upsert_repositories
 from millrace.operators.files import dedupe_content, repo_summary, scan_files
 from millrace.options import ScanOptions
 from millrace.session import stage
@@ -36,12 +36,14 @@ def ingest(
     repositories: DataFrame | None = None,
     catalog: DataFrame | None = None,
     options: ScanOptions = ScanOptions(),
+    refresh: bool = False,
 ) -> IngestResult:
     """Filter, describe, deduplicate and store files; then catalogue and summarise what is stored.
 
     ``requests``: url, repo (the folder name in ``files``), branch, error (null, or why the
     repository could not be fetched). ``files``: repo, rel_path, content.
 
+    ``refresh`` brings catalogue rows of changed files up to date; by default they stay as they are.
     Other repositories of the store stay; an asked one is replaced. A url asked for twice counts once,
     and it is an error if the two requests differ. Text is read once and shuffled twice: for the dedupe
     and for the folder layout. Catalogue and summary read narrow columns of the stored result.
@@ -78,5 +80,7 @@ def ingest(
         "repo", F.col("rel_path").alias("file_path"), "language", "content_hash", "size_kb", "line_count"
     ).join(owners, "repo").drop("repo")
     # written, so that the result does not change with the store and later ingests do not read it again
+    if refresh:
+        return IngestResult(everything, stage(refreshed_catalog(described, catalog), "catalog"), after, summary)
     added = stage(new_catalog_rows(described, catalog), "catalog-rows")
     return IngestResult(everything, catalog.unionByName(added), after, summary)

@@ -16,7 +16,12 @@ def build_session(master: str | None = None, app_name: str = "millrace", **conf)
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", **conf}
+    settings = {
+        "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true",
+        # state on executor disks instead of in their heap
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        **conf,
+    }
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

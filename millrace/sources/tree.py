@@ -2,8 +2,9 @@
 
 Spark's file sources skip names that start with ``_`` or ``.``, which would lose every
 ``__init__.py``. Directories are therefore listed by tasks, one level per round, and the files
-that pass the path and size tests are read by tasks. The tree must be mounted at the same path on
-every executor; a table of (repo, rel_path, content) needs none of this.
+that pass the path and size tests are read by tasks. A root is a path mounted on every executor or a
+URL that pyarrow opens there (s3, gs, hdfs, file); a table of (repo, rel_path, content) needs none of
+this. A name that is no text is shown with its bytes escaped, and what vanishes meanwhile is left out.
 """
 
 from __future__ import annotations
@@ -22,13 +23,66 @@ LISTING = "repo string, rel_path string, path string, is_dir boolean, bytes long
 CONTENT = "repo string, rel_path string, bytes long, content binary"
 READ_BATCH_BYTES = 32 * 1024 * 1024
 PARTITION_BYTES = 128 * 1024 * 1024
+LARGEST_TASKS = 20_000  # beyond, tasks read more than 128 MB each
+RAW_NAME = "raw-name:"  # a path whose bytes are no text, in base64
 
 
-def _lister() -> Callable:
-    """Made here so that tasks get it by value and need no copy of this package."""
-    def list_level(batches: Iterator):
+def _files() -> tuple[Callable, Callable]:
+    """(entries of a folder, content of a file), for mounted paths and for URLs of other stores. Made
+    here so that tasks get them by value and need no copy of this package."""
+    def remote(path):
+        from pyarrow import fs
+
+        store, inside = fs.FileSystem.from_uri(path)
+        return store, inside, path.removesuffix(inside)
+
+    def entries(path):
+        if "://" in path:
+            from pyarrow import fs
+
+            store, inside, lead = remote(path)
+            for info in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
+                if info.type in (fs.FileType.File, fs.FileType.Directory):
+                    yield info.base_name, lead + info.path, info.type == fs.FileType.Directory, info.size or 0
+            return
+        import base64
         import os
 
+        raw = path.startswith(RAW_NAME)
+        with os.scandir(base64.b64decode(path.removeprefix(RAW_NAME)) if raw else os.fsencode(path)) as found:
+            for entry in found:
+                try:
+                    folder = entry.is_dir(follow_symlinks=False)
+                    if not folder and not entry.is_file():
+                        continue
+                    size = 0 if folder else entry.stat().st_size
+                except OSError:  # gone meanwhile
+                    continue
+                try:
+                    shown = entry.path.decode("utf-8")
+                except UnicodeDecodeError:
+                    shown = RAW_NAME + base64.b64encode(entry.path).decode()
+                yield entry.name.decode("utf-8", "backslashreplace"), shown, folder, size
+
+    def content(path):
+        if "://" in path:
+            store, inside, _ = remote(path)
+            with store.open_input_stream(inside) as stream:
+                return stream.read()
+        if path.startswith(RAW_NAME):
+            import base64
+
+            path = base64.b64decode(path.removeprefix(RAW_NAME))
+        with open(path, "rb") as handle:
+            return handle.read()
+
+    return entries, content
+
+
+def _lister(exclude: tuple[str, ...]) -> Callable:
+    entries, _ = _files()
+
+    def list_level(batches: Iterator):
         import pandas as pd
 
         columns = ["repo", "rel_path", "path", "is_dir", "bytes"]
@@ -36,28 +90,25 @@ def _lister() -> Callable:
             for repo, rel_path, path in zip(batch["repo"], batch["rel_path"], batch["path"]):
                 rows = []
                 try:
-                    entries = os.scandir(path)
-                except OSError:
-                    continue
-                with entries:
-                    for entry in entries:
-                        folder = entry.is_dir(follow_symlinks=False)
-                        if not folder and not entry.is_file():
+                    for name, place, folder, size in entries(path):
+                        below = f"{rel_path}/{name}" if rel_path else name
+                        if folder and any(p in below for p in exclude):
                             continue
-                        below = f"{rel_path}/{entry.name}" if rel_path else entry.name
-                        size = 0 if folder else entry.stat().st_size
-                        rows.append((repo, below, entry.path, folder, size))
+                        rows.append((repo, below, place, folder, size))
                         if len(rows) == 10_000:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
+                except OSError:
+                    pass
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
     return list_level
 
 
-def list_tree(roots: DataFrame) -> DataFrame:
-    """All entries below ``roots`` (repo, path): repo, rel_path, path, is_dir, bytes.
+def list_tree(roots: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """All entries below ``roots`` (repo, path): repo, rel_path, path, is_dir, bytes. Folders whose
+    relative path has one of the ``exclude`` texts are not entered: it is in all paths below, too.
 
     Each level is listed in parallel and written to the shared folder before the next one, so a
     single huge repository spreads over all tasks and nothing is listed twice. Only the test for
@@ -68,7 +119,7 @@ def list_tree(roots: DataFrame) -> DataFrame:
     level = 0
     frontier = roots.select("repo", F.lit("").alias("rel_path"), "path")
     while True:
-        found = frontier.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_lister(), LISTING)
+        found = frontier.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_lister(exclude), LISTING)
         listed = stage(found, "level", f"{base}/level={level}")
         frontier = listed.filter("is_dir").select("repo", "rel_path", "path")
         level += 1
@@ -85,8 +136,9 @@ def read_contents(listing: DataFrame) -> DataFrame:
     """
     total = listing.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("total")).first().total
     floor = listing.sparkSession.sparkContext.defaultParallelism
-    tasks = max(floor, math.ceil(total / PARTITION_BYTES))
+    tasks = max(floor, min(LARGEST_TASKS, math.ceil(total / PARTITION_BYTES)))
     limit = READ_BATCH_BYTES
+    _, content_of = _files()
 
     def read(batches: Iterator):
         import pandas as pd
@@ -98,8 +150,7 @@ def read_contents(listing: DataFrame) -> DataFrame:
             rows, held = [], 0
             for repo, rel_path, path, size in zip(batch["repo"], batch["rel_path"], batch["path"], batch["bytes"]):
                 try:
-                    with open(path, "rb") as handle:
-                        content = handle.read()
+                    content = content_of(path)
                 except OSError:
                     continue
                 rows.append((repo, rel_path, size, content))
@@ -116,31 +167,6 @@ def read_contents(listing: DataFrame) -> DataFrame:
 
 def scan_code_tree(roots: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """schemas.CODE_FILES for every admitted file; path and size tests run before any read."""
-    files = admit(list_tree(roots).filter("NOT is_dir"), options)
+    prune = options.exclude if options.exclude_mode == "substring" else ()
+    files = admit(list_tree(roots, tuple(prune)).filter("NOT is_dir"), options)
     return describe(read_contents(files), options)
-
-
-def write_tree(files: DataFrame, root: str) -> int:
-    """Write (repo, rel_path, content) rows as plain files below ``root``; returns their number."""
-    def write(batches: Iterator):
-        import os
-
-        import pandas as pd
-
-        for batch in batches:
-            for repo, rel_path, content in zip(batch["repo"], batch["rel_path"], batch["content"]):
-                target = os.path.join(root, repo, rel_path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                data = content if isinstance(content, bytes) else content.encode("utf-8")
-                with open(f"{target}.part", "wb") as handle:
-                    handle.write(data)
-                os.replace(f"{target}.part", target)
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    written = files.select("repo", "rel_path", "content").mapInPandas(write, "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-
-
-def mounted(path: str) -> str:
-    """A ``file:`` location as the path tasks can open."""
-    return path.removeprefix("file://").removeprefix("file:")

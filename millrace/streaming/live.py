@@ -19,7 +19,7 @@ from millrace.operators.ordering import order_key, split_bounds, split_label
 from millrace.operators.samples import build_samples, version_label
 from millrace.options import BuildOptions, ScanOptions
 from millrace.schemas import CODE_FILES, SAMPLES
-from millrace.session import path_exists
+from millrace.session import drop_path, path_exists, stage, work_path
 
 BATCH = T.StructField("batch_id", T.LongType())
 REPO_BUCKETS = 256
@@ -66,7 +66,9 @@ def stream_ingest(
         arrived = dedupe_content(scan_files(batch, options)).withColumns({
             "safe_name": safe_name(F.col("rel_path")),
             "repo_bucket": F.pmod(F.xxhash64("repo"), F.lit(REPO_BUCKETS)).cast("int"),
-        }).persist()
+        })
+        staged = work_path(spark, "arrived")
+        arrived = stage(arrived, "arrived", staged)
         try:
             keys = ["repo", "content_hash"]
             touched = [row.repo_bucket for row in arrived.select("repo_bucket").distinct().collect()]
@@ -75,7 +77,7 @@ def stream_ingest(
             fresh = arrived.join(repeated, keys, "left_anti")
             _store(fresh.hint("rebalance", "repo_bucket"), store, batch_id, "repo_bucket")
         finally:
-            arrived.unpersist()
+            drop_path(spark, staged)
 
     return (
         files.writeStream.foreachBatch(add)
@@ -111,13 +113,15 @@ def stream_dataset_build(
         fresh = build_samples(batch, options).withColumns({
             "merge_key": merge_key("text", options.merge_key),
             "split_key": order_key(options.split.seed, "id", "text"),
-        }).persist()
+        })
+        staged = work_path(spark, "fresh")
+        fresh = stage(fresh, "fresh", staged)
         try:
             earlier = _earlier(spark, samples_path, STREAM_SAMPLES, batch_id).select("merge_key")
             known = earlier.join(fresh.select("merge_key").distinct(), "merge_key", "left_semi").distinct()
             _store(fresh.join(known, "merge_key", "left_anti"), samples_path, batch_id)
         finally:
-            fresh.unpersist()
+            drop_path(spark, staged)
 
         stored = spark.read.schema(STREAM_SAMPLES).parquet(samples_path).filter(F.col("batch_id") <= batch_id)
         counts = stored.agg(

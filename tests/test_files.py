@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import files as FI
@@ -94,3 +95,12 @@ def test_raw_store_with_repo_as_a_column(spark):
     stores.write_raw_store(files, path, folders=("language",))
     stored = stores.scan_raw_store(spark, path)
     assert sorted((r.repo, r.language, r.content) for r in stored.collect()) == [("r", "python", BODY), ("s", "go", BODY)]
+
+
+def test_exclusion_by_glob(spark):
+    names = ["a.min.js", "src/b.min.js", "src/min.js", "dist/c.py", "src/distance.py", "venv/x/y.py", "a+b/c.py"]
+    frame = spark.createDataFrame([(n,) for n in names], "rel_path string")
+    kept = {r.rel_path for r in FI.exclude_paths(frame, ("*.min.js", "dist", "v?nv", "a+b"), "glob").collect()}
+    assert kept == {"src/min.js", "src/distance.py"}
+    with pytest.raises(ValueError):
+        FI.exclude_paths(frame, ("x",), "other")

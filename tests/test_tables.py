@@ -169,3 +169,46 @@ def test_listings_are_in_order(spark):
     order = [r[0] for r in sorted(sorted(rows), key=lambda r: r[2], reverse=True)]
     for listing, name in ((K.list_repositories, "repositories"), (K.list_datasets, "dataset_versions"), (K.list_training_runs, "training_runs")):
         assert [r.id for r in listing(K.conform(frame, name)).collect()] == order
+
+
+@pytest.fixture(params=["path", "url"])
+def grove(request, tmp_path):
+    """A small tree; excluded folders hold what would break a reader."""
+    import os
+
+    for name, body in (("src/a.py", b"x = 1\n" * 9), ("src/_b.go", b"y\n" * 9), ("node_modules/deep/c.py", b"z\n" * 9), ("src/d.txt", b"no\n" * 9)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    if request.param == "path":
+        with open(os.fsencode(tmp_path) + b"/src/odd\xff.py", "wb") as f:
+            f.write(b"w = 1\n" * 9)
+        os.symlink("nowhere", tmp_path / "src/gone.py")
+    return request.param, str(tmp_path) if request.param == "path" else f"file://{tmp_path}"
+
+
+def test_trees_by_path_and_by_url(spark, grove):
+    kind, root = grove
+    roots = spark.createDataFrame([("r", root), ("none", root + "/missing")], "repo string, path string")
+    listed = {r.rel_path for r in tree.list_tree(roots, ("node_modules",)).collect()}
+    assert not any("node_modules" in p for p in listed)
+    got = {r.rel_path: r.line_count for r in tree.scan_code_tree(roots).collect()}
+    want = {"src/a.py": 9, "src/_b.go": 9} | ({"src/odd\\xff.py": 9} if kind == "path" else {})
+    assert got == want
+
+
+def test_recorded_best_by_relative_path(spark, tmp_path):
+    for name, body in (("checkpoint-1/trainer_state.json", "{}"), ("checkpoint-2/trainer_state.json", "{}"), ("checkpoint-best/x", ""),
+                       ("trainer_state.json", '{"best_model_checkpoint": "outputs/model/checkpoint-2"}')):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    listing = tree.list_tree(spark.createDataFrame([("run", str(tmp_path))], "repo string, path string"))
+    assert [tuple(r) for r in trainer_state.recorded_best(listing).collect()] == [("run", 2)]
+    assert {r.step for r in trainer_state.read_trainer_state(listing).collect()} == {1, 2, None}
+
+
+def test_catalogue_refresh(spark):
+    old = K.conform(spark.createDataFrame([("i", "r", "a.py", "h1", True), ("j", "r", "b.py", "h2", True)],
+                                          "id string, repository_id string, file_path string, content_hash string, is_processed boolean"), "code_file_catalog")
+    files = spark.createDataFrame([("r", "a.py", "h9"), ("r", "b.py", "h2"), ("r", "c.py", "h3")], "repository_id string, file_path string, content_hash string")
+    got = {r.file_path: (r.id if r.file_path != "c.py" else "new", r.content_hash, r.is_processed) for r in K.refreshed_catalog(files, old).collect()}
+    assert got == {"a.py": ("i", "h9", False), "b.py": ("j", "h2", True), "c.py": ("new", "h3", False)}

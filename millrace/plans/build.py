@@ -12,7 +12,7 @@ from millrace.operators.merge import merge_key, without_known
 from millrace.operators.ordering import order_key, shuffle, split_bounds, split_label
 from millrace.operators.samples import build_samples, language_counts, languages_json
 from millrace.options import BuildOptions
-from millrace.session import drop_path, path_exists, stage, work_path
+from millrace.session import drop_path, path_bytes, path_exists, stage, work_path
 from millrace.sources.stores import (
     read_samples_jsonl,
     version_directories,
@@ -21,6 +21,7 @@ from millrace.sources.stores import (
 )
 
 KEY = "split_key"
+SHUFFLED_BYTES = 64 * 1024 * 1024  # stored bytes for each task of the shuffle
 METADATA = ("version string, total_samples long, train_samples long, val_samples long, test_samples long, "
             "languages string, output_path string")
 
@@ -38,12 +39,13 @@ def build_dataset(
     version: str,
     options: BuildOptions = BuildOptions(),
     existing: DataFrame | None = None,
+    existing_bytes: int = 0,
 ) -> BuildResult:
     """Preprocess, merge, split, shuffle and write one version.
 
     ``files``: repo, rel_path, language, content. ``existing``: samples of an earlier version,
     for an incremental build. It is an error when the files give no sample at all, even if
-    there are existing ones.
+    there are existing ones. ``existing_bytes``, the stored size of these, helps to size the shuffle.
 
     The files are read once: their languages are observed while samples are made. Samples are
     written to the shared folder once; the counts and the search for the two split
@@ -55,13 +57,13 @@ def build_dataset(
     path = f"{output_dir}/{version}"
     staged = [work_path(spark, label) for label in ("samples", "merged", "keys")]
     try:
-        return _build(files, path, version, options, existing, *staged)
+        return _build(files, path, version, options, existing, existing_bytes, *staged)
     finally:
         for table in staged:
             drop_path(spark, table)
 
 
-def _build(files, path, version, options, existing, fresh_path, merged_path, keys_path) -> BuildResult:
+def _build(files, path, version, options, existing, existing_bytes, fresh_path, merged_path, keys_path) -> BuildResult:
     spark = files.sparkSession
     keyed_by = order_key(options.split.seed, "id", "text")
     seen = Observation("languages")
@@ -84,7 +86,9 @@ def _build(files, path, version, options, existing, fresh_path, merged_path, key
     if not bounds.total_samples:
         raise ValueError("the files give no samples")
     labelled = merged.withColumn("split", split_label(F.col(KEY), bounds))
-    write_split_jsonl(shuffle(labelled, key=KEY).drop(KEY), dataset_path(path))
+    size = path_bytes(spark, fresh_path if existing is None else merged_path) + existing_bytes
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // SHUFFLED_BYTES))
+    write_split_jsonl(shuffle(labelled, key=KEY, partitions=tasks).drop(KEY), dataset_path(path))
 
     metadata = spark.createDataFrame([(
         version, bounds.total_samples, bounds.train_samples, bounds.validation_samples, bounds.test_samples,
@@ -118,7 +122,8 @@ def incremental_build(
     """Build on top of the newest version, or from nothing when there is none."""
     latest = newest_version(versions, output_dir)
     existing = read_samples_jsonl(files.sparkSession, dataset_path(latest)) if latest else None
-    return build_dataset(files, output_dir, version, options, existing)
+    size = path_bytes(files.sparkSession, dataset_path(latest)) if latest else 0
+    return build_dataset(files, output_dir, version, options, existing, size)
 
 
 def dataset_path(version_path: str) -> str:

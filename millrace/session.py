@@ -66,6 +66,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Size of all files below a path."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path).getLength()
+
+
 def list_directories(spark: SparkSession, path: str) -> list[tuple[str, float]]:
     """(path, modification time in seconds) of the folders directly in ``path``."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -265,3 +265,14 @@ def test_newest_dataset(spark):
     assert set(splits) == {"train", "validation", "test"} and metadata.first().train_samples == splits["train"].count()
     with pytest.raises(ValueError, match="no dataset"):
         N.newest_dataset(version.limit(0), work_path(spark, "nothing"))
+
+
+def test_the_shuffle_grows_with_the_stored_bytes(spark, monkeypatch):
+    files = code(spark, [("r", f"{i}.py", "python", text(i)) for i in range(200)])
+    asked = []
+    original = B.shuffle
+    monkeypatch.setattr(B, "shuffle", lambda df, **options: asked.append(options["partitions"]) or original(df, **options))
+    build(spark, files)
+    monkeypatch.setattr(B, "SHUFFLED_BYTES", 1024)
+    build(spark, files)
+    assert asked[0] == spark.sparkContext.defaultParallelism < asked[1]

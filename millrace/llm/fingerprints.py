@@ -90,14 +90,14 @@ def range_of(doc_id: Column, bounds: list) -> Column:
 def with_next(docs: DataFrame, doc_id: str, text: str, ranges: int) -> DataFrame:
     """range, place, doc_id, text, next_text, extra: rows of a range in order; extra rows stand at its
     end as the next of its last row."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = range_bounds(rows, "doc_id", ranges)
     alone = -1 - F.pmod(F.xxhash64("text"), F.lit(ranges)).cast("int")
     dealt = rows.withColumn("range", F.when(F.col("doc_id").isNull(), alone).otherwise(range_of(F.col("doc_id"), bounds)))
-    firsts = sorted((r["range"], r["first"]) for r in dealt.filter("doc_id IS NOT NULL").groupBy("range").agg(F.min("doc_id").alias("first")).collect())
-    follow = [(r, firsts[(i + 1) % len(firsts)][1]) for i, (r, _) in enumerate(firsts)]
-    ends = spark.createDataFrame(follow, f"range int, doc_id {dict(rows.dtypes)['doc_id']}")  # one row for each range
+    known = rows.filter("doc_id IS NOT NULL").select(range_of(F.col("doc_id"), bounds).alias("r"), "doc_id")
+    firsts = known.groupBy("r").agg(F.min("doc_id").alias("first"))
+    following = F.coalesce(F.lead("first").over(Window.orderBy("r")), F.min("first").over(Window.partitionBy()))
+    ends = firsts.select(F.col("r").alias("range"), following.alias("doc_id"))  # one row for each range, so at most ``ranges``
     extra = rows.join(F.broadcast(ends), "doc_id").select("doc_id", "text", "range", F.lit(True).alias("extra"))
     both = dealt.select("doc_id", "text", F.col("range").cast("int"), F.lit(False).alias("extra")).unionByName(extra)
     order = Window.partitionBy("range").orderBy("extra", "doc_id", "text")

@@ -193,7 +193,12 @@ def classes(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, sha
 
     ``prints`` has an id column and ``fp``; it is read several times, so give a stored table."""
     distinct = stage(prints.groupBy("fp").agg(F.min(doc_id).alias("least_id")), "distinct")
-    roots = stage(components(near_links(distinct, radius, shard_size)), "roots")
+    return linked_classes(distinct, near_links(distinct, radius, shard_size))
+
+
+def linked_classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """fp, component_id, from a stored table of fp and least_id and links (a, b) between the fp."""
+    roots = stage(components(links), "roots")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "rooted")
     least = stage(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")

@@ -4,7 +4,9 @@ A run of ``gram + window - 1`` lines that also occurs at an earlier position, by
 number, is deleted where it occurs later. Grams of lines are hashed, and of each ``window``
 neighbouring grams the least is the fingerprint: a run has the same one wherever it is, so none can be
 missed. Positions are joined on the fingerprint, and the match is extended both ways to the run's
-first and last line by the hash of what lies there. Neighbouring matches make up longer runs.
+first and last line by the hash of what lies there. Neighbouring matches make up longer runs. With
+``passage``, a run of fewer lines counts too if it has more than that many words (divided by white
+space), so that long passages of one or two lines go and short common lines stay.
 
 Only hashes and positions travel, dealt by fingerprint. Each task first settles the copies in its
 share and sends one position for a run, so that a very common run is spread. The deletions of a
@@ -26,11 +28,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.frames import slices, text_bytes, without
-from millrace.llm.words import Words, covered, lines, mix, per_text, run_hash, window_minima
+from millrace.llm.words import NOT_SPACE, Words, covered, lines, mix, per_text, run_hash, window_minima
 
 
-def runs_of(text: Words, gram: int, window: int):
-    """(first line, text, fingerprint, key) of each run of gram + window - 1 lines."""
+def word_counts(text: Words) -> np.ndarray:
+    """How many words each line has."""
+    inside = NOT_SPACE[text.data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edge = text.starts[text.starts < text.ends]
+    begins[edge] = inside[edge]
+    total = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
+    return total[text.ends] - total[text.starts]
+
+
+def runs_of(text: Words, gram: int, window: int, passage: int | None = None):
+    """(first line, text, fingerprint, key, lines) of each run of gram + window - 1 lines, and of each
+    shorter run of more than ``passage`` words, in order of first lines."""
     size = gram + window - 1
     own, other = text.hashes(0), text.hashes(1)
     least = window_minima(text.grams(own, gram), window)
@@ -38,7 +52,18 @@ def runs_of(text: Words, gram: int, window: int):
     mark = text.grams(own, gram)[least[start]]
     # what lies before and after the fingerprint, as part of the whole run
     key = run_hash(other, start, start + size, 1)
-    return start, np.searchsorted(text.first, start, side="right") - 1, mark, key
+    made = [(start, mark, key, np.full(len(start), size))]
+    if passage is not None:
+        total, room = np.concatenate([[0], np.cumsum(word_counts(text))]), text.room()
+        for n in range(1, size):
+            start = np.flatnonzero(room >= n)
+            start = start[total[start + n] - total[start] > passage]
+            key = mix(run_hash(other, start, start + n, 1) + np.uint64(n))
+            made.append((start, run_hash(own, start, start + n, 0), key, np.full(len(start), n)))
+    start, mark, key, count = (np.concatenate(x) for x in zip(*made))
+    order = np.argsort(start, kind="stable")
+    start = start[order]
+    return start, np.searchsorted(text.first, start, side="right") - 1, mark[order], key[order], count[order]
 
 
 def _later(mark, key, doc, line):
@@ -58,7 +83,7 @@ def name_of(mark, key, line) -> np.ndarray:
     return mix(mix(mark ^ (key * np.uint64(0x9FB21C651E98DF25))) ^ line.astype(np.uint64)).view(np.int64)
 
 
-def later_runs(docs: DataFrame, doc_id: str, text: str, gram: int, window: int, gather: int = 1 << 19) -> DataFrame:
+def later_runs(docs: DataFrame, doc_id: str, text: str, gram: int, window: int, passage: int | None = None, gather: int = 1 << 19) -> DataFrame:
     """doc, line, name of each run that occurs earlier too."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["part", "mark", "key", "doc", "line"]
@@ -83,7 +108,7 @@ def later_runs(docs: DataFrame, doc_id: str, text: str, gram: int, window: int,
 
         for batch in slices(batches, text):
             cut = lines(*text_bytes(batch.column(text)))
-            start, owner, mark, key = runs_of(cut, gram, window)
+            start, owner, mark, key, _ = runs_of(cut, gram, window, passage)
             ids = batch.column(doc_id).to_numpy(zero_copy_only=False)
             held.append((mark, key, ids[owner].astype(np.int64), start - cut.first[owner]))
             n += len(start)
@@ -117,14 +142,15 @@ def later_runs(docs: DataFrame, doc_id: str, text: str, gram: int, window: int,
     return sent.repartitionById(parts, F.col("part")).mapInArrow(settle, "doc long, line long, name long")
 
 
-def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = 2, window: int = 2) -> DataFrame:
+def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = 2, window: int = 2,
+                 passage: int | None = None) -> DataFrame:
     """The documents with later repeated runs of lines deleted from the text, n_lines and n_removed."""
     if gram < 1 or window < 1:
         raise ValueError("gram and window must be positive")
     docs = without(docs, "n_lines", "n_removed", "_doc", "_names")
-    size, keep = gram + window - 1, docs.columns
+    keep = docs.columns
     ids = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    found = later_runs(ids, "id", "text", gram, window).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("name").alias("_names"))
+    found = later_runs(ids, "id", "text", gram, window, passage).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("name").alias("_names"))
     joined = docs.join(found, F.col(doc_id).cast("long") == F.col("_doc"), "left").drop("_doc")
     place = keep.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -136,14 +162,15 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gr
             gone = np.zeros(len(cut.starts), bool)
             texts, names = column.to_pylist(), batch.column("_names").to_pylist()
             if any(names):
-                start, owner, mark, key = runs_of(cut, gram, window)
+                start, owner, mark, key, size = runs_of(cut, gram, window, passage)
                 own = name_of(mark, key, start - cut.first[owner])
                 bounds, hits = np.searchsorted(owner, np.arange(len(texts) + 1)), []
                 for d, known in enumerate(names):
                     if known:
                         a, b = bounds[d], bounds[d + 1]
-                        hits.append(start[a:b][np.isin(own[a:b], np.array(known, np.int64))])
-                gone = covered(np.concatenate(hits), size, len(gone))
+                        hits.append(a + np.flatnonzero(np.isin(own[a:b], np.array(known, np.int64))))
+                hits = np.concatenate(hits)
+                gone = covered(start[hits], size[hits], len(gone))
             removed = per_text(gone, cut.first)
             for d in np.flatnonzero(removed).tolist():
                 kept = [x for x, g in zip(texts[d].split("\n"), gone[cut.first[d] : cut.first[d + 1]]) if not g]

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 24
+SAMPLES = 64
 RANGES_A_TASK = 4  # ranges for each shuffle partition
 WHITE = r"[\x20\x09-\x0D]+"
 _NONE = -1  # the draw of a text without terms

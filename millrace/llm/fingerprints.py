@@ -7,7 +7,8 @@ the least a. Two texts share a sample with the probability of their generalised
 sum of least weights by sum of greatest, so the share of equal samples estimates it.
 
 ln a, to 2**-23, and 32 bits of a hash of the sample make up one number, of which each draw takes the
-minimum; equal numbers are equal samples.
+minimum; equal numbers are equal samples. A term that a text and its edited one have equally often is drawn once
+for both.
 
 Each text is also compared with an edited one, whose last quarter is taken from the beginning of the
 next document by id. Documents are dealt to ranges of ids with equal numbers of rows; a range also
@@ -31,6 +32,8 @@ SAMPLES = 64
 RANGES_A_TASK = 4  # ranges for each shuffle partition
 WHITE = r"[\x20\x09-\x0D]+"
 _NONE = -1  # the draw of a text without terms
+_STEP = 0x5BD1E995  # odd, below 2**31
+OWN, EDITED, BOTH = 1, 2, 3
 
 
 def _uniform(bits: Column, width: int) -> Column:
@@ -48,23 +51,43 @@ def draw(term: Column, log_weight: Column, k: int) -> Column:
     t = F.floor(log_weight / r + b)
     log_a = F.ln(c) - r * (t - b + 1.0)
     rank = F.floor((log_a + 128.0) * float(1 << 23)).cast("long")
-    return F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(term, t).bitwiseAND(low32))
+    name = one.bitwiseXOR(t * F.lit(_STEP))  # an odd step: other t, other name
+    return F.shiftleft(rank, 32).bitwiseOR(name.bitwiseAND(low32))
 
 
-def with_terms(df: DataFrame, text: str) -> DataFrame:
-    """One row for each term of the text: term (hash) and log_weight; one with nulls if it has none."""
-    words = F.array_remove(F.split(F.lower(F.col(text)), WHITE), "")
-    kept = [c for c in df.columns if c != text]
-    hashed = df.select(*kept, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("_terms"))
+def with_terms(df: DataFrame, own: str, edited: str) -> DataFrame:
+    """One row for each term of the two texts and its weight: term (hash), log_weight and side, which says whose
+    it is. A term that both texts have equally often is one row of both; no terms at all: one row with nulls.
+
+    The lowest bit of a hash says which text it is from, so that in the sorted hashes the copies of a term in one
+    text lie together, beside those in the other."""
+    def hashes(name: str, bit: int) -> Column:
+        words = F.array_remove(F.split(F.lower(F.col(name)), WHITE), "")
+        return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)))
+
+    kept = [c for c in df.columns if c not in (own, edited)]
+    sorted_ = df.select(*kept, F.sort_array(F.concat(hashes(own, 0), hashes(edited, 1))).alias("_terms"))
     n = F.size("_terms")
     begins = F.filter(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
         lambda i: (i < n) & ((i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1))),
     )
-    cut = hashed.select(*kept, "_terms", begins.alias("_begins"))
+    cut = sorted_.select(*kept, "_terms", begins.alias("_begins"))
     rows = cut.select(*kept, "_terms", "_begins", F.posexplode_outer("_begins").alias("_i", "_begin"))
-    count = F.coalesce(F.get("_begins", F.col("_i") + 1), F.size("_terms")) - F.col("_begin")
-    return rows.select(*kept, F.get("_terms", F.col("_begin")).alias("term"), F.ln(count.cast("double")).alias("log_weight"))
+
+    def begin(step: int) -> Column:
+        return F.get("_begins", F.col("_i") + step)
+
+    def term(at: Column) -> Column:
+        return F.shiftright(F.get("_terms", at), 1)
+
+    here, count = F.col("_begin"), F.coalesce(begin(1), n) - F.col("_begin")
+    as_before = (term(begin(-1)) == term(here)) & (here - begin(-1) == count)
+    as_after = (term(begin(1)) == term(here)) & (F.coalesce(begin(2), n) - begin(1) == count)
+    side = F.when(F.coalesce(as_after, F.lit(False)), BOTH).when(F.get("_terms", here).bitwiseAND(F.lit(1)) == 0, OWN).otherwise(EDITED)
+    return rows.filter(~F.coalesce(as_before, F.lit(False))).select(
+        *kept, term(here).alias("term"), F.ln(count.cast("double")).alias("log_weight"), F.when(here.isNotNull(), side).alias("side")
+    )
 
 
 def range_bounds(docs: DataFrame, doc_id: str, ranges: int) -> list:
@@ -124,14 +147,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
         F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next_text", F.lit(1), quarter)).alias("edited"),
     )
     keys = ["range", "place", "doc_id", "extra", "n_chars", "edited_sha256"]
-    versions = F.array(F.struct(F.lit(False).alias("is_edited"), "text"), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))
-    both = paired.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys, F.inline(versions))
-    terms = with_terms(both, "text")
+    terms = with_terms(paired.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys, "text", "edited"), "text", "edited")
     own, edited = [f"s{k}" for k in range(samples)], [f"e{k}" for k in range(samples)]
-    draws = [draw(F.col("term"), F.col("log_weight"), k) for k in range(samples)]
-    drawn = terms.groupBy(*keys).agg(
-        *[F.coalesce(F.min(F.when(~F.col("is_edited"), d)), F.lit(_NONE)).alias(c) for c, d in zip(own, draws)],
-        *[F.coalesce(F.min(F.when(F.col("is_edited"), d)), F.lit(_NONE)).alias(c) for c, d in zip(edited, draws)],
+    # plain minima: Spark shares the parts of a draw, which it does not do inside a condition
+    each = terms.groupBy(*keys, "side").agg(*[F.min(draw(F.col("term"), F.col("log_weight"), k)).alias(f"d{k}") for k in range(samples)])
+    drawn = each.groupBy(*keys).agg(
+        *[F.coalesce(F.min(F.when(F.col("side") != EDITED, F.col(f"d{k}"))), F.lit(_NONE)).alias(c) for k, c in enumerate(own)],
+        *[F.coalesce(F.min(F.when(F.col("side") != OWN, F.col(f"d{k}"))), F.lit(_NONE)).alias(c) for k, c in enumerate(edited)],
     )
     following = F.lead(F.array(*own)).over(Window.partitionBy("range").orderBy("place"))
     made = drawn.withColumn("next", F.when(F.col("range") >= 0, following)).filter(~F.col("extra"))

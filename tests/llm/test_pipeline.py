@@ -3,8 +3,8 @@
 import corpus_pipeline
 from millrace.llm import language, pieces
 from tests.llm.test_decontaminate import plain as plain_hits
-from tests.llm.test_lines import plain as plain_lines
-from tests.llm.test_simhash import plain_components, plain_print
+from tests.llm.test_passages import plain as plain_lines
+from tests.llm.test_similar import plain_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,12 +29,11 @@ def test_stages(spark):
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in judged if r.lang_pred != "und" and r.score >= 0.35}
     assert one.count() >= 0.98 * docs.count()
     two = step("line_dedup", one)
-    kept = {i: t for i, t, n, gone in plain_lines([(r.doc_id, r.text) for r in one.collect()], 3) if not gone or t.strip(" ")}
+    kept = {i: t for i, t, gone in plain_lines([(r.doc_id, r.text) for r in one.collect()], 3, 50) if not gone or t.strip(" ")}
     assert {r.doc_id: r.text for r in two.collect()} == kept
     three = step("near_duplicates", two)
-    ids, texts = zip(*[(r.doc_id, r.text) for r in two.collect()])
-    groups = plain_components(ids, [plain_print(t) for t in texts])
-    assert {r.doc_id for r in three.collect()} == {i for i, g in zip(ids, groups) if i == g}
+    rows = [(r.doc_id, r.text) for r in two.collect()]
+    assert {r.doc_id for r in three.collect()} == {i for (i, _), g in zip(rows, plain_components(rows)) if i == g}
     four = step("decontamination", three)
     hits = plain_hits([(r.doc_id, r.text) for r in three.collect()], items)
     assert {r.doc_id for r in four.collect()} == {h[0] for h in hits if not h[4]}

@@ -71,3 +71,63 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len('<s>[INST][/INST]</s>')})::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+_TEXT_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+_WINDOW = "string_agg(word, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {} FOLLOWING)"
+
+SQL["op11_repeats"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_TEXT_WORDS} AS w FROM documents),
+each AS (SELECT r, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+strings AS (
+  SELECT r, p, n, {_WINDOW.format(3)} AS x4, {_WINDOW.format(7)} AS x8, {_WINDOW.format(50)} AS x51 FROM each),
+win AS (
+  SELECT r, p, 4 AS k, count(*) OVER (PARTITION BY r, x4) > 1 AS again FROM strings WHERE p + 3 <= n
+  UNION ALL SELECT r, p, 8, count(*) OVER (PARTITION BY r, x8) > 1 FROM strings WHERE p + 7 <= n
+  UNION ALL SELECT r, p, 51, count(*) OVER (PARTITION BY r, x51) > 1 FROM strings WHERE p + 50 <= n),
+inside AS (SELECT r, k, count(DISTINCT q) AS n FROM (SELECT r, k, unnest(range(p, p + k)) AS q FROM win WHERE again) GROUP BY r, k),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM d),
+dup AS (
+  SELECT r, count(*) AS n FROM (SELECT r, row_number() OVER (PARTITION BY r, line ORDER BY p) AS c FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) WHERE c > 1 GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(i8.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(i4.n, 0)::BIGINT AS n_covered,
+    coalesce(i51.n, 0) AS n_long
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN (SELECT r, n FROM inside WHERE k = 4) i4 USING (r) LEFT JOIN (SELECT r, n FROM inside WHERE k = 8) i8 USING (r) LEFT JOIN (SELECT r, n FROM inside WHERE k = 51) i51 USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_covered <= 40 * n_words AND n_long = 0 AS kept
+FROM m
+"""
+
+SQL["op12_audit"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_TEXT_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, max(quality = 1)::INT AS good, max(toxic = 1)::INT AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END) AS failed
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM a, a b, a c, a d, a e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+j AS (
+  SELECT *, contains(failed, x) AS fails, before <> '' AND regexp_matches(failed, '[' || before || 'x]') AS gone FROM s, c),
+r AS (
+  SELECT part, filter_order, step::INT AS step, x AS filter, sum(n) FILTER (NOT gone AND NOT fails) AS kept, sum(n) FILTER (NOT gone AND fails) AS removed,
+    sum(n) FILTER (gone AND fails) AS redundant, sum(n) FILTER (failed = x) AS unique_fails,
+    sum(good) FILTER (NOT gone AND fails) AS good_lost, sum(toxic) FILTER (NOT gone AND fails) AS toxic_lost
+  FROM j GROUP BY ALL)
+SELECT part, filter_order, step, filter, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM r
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, fingerprints, language, lines, pieces, shards, simhash, substrings, urls
+from millrace.llm import audit, chat, decontaminate, fingerprints, language, lines, pieces, repeats, shards, simhash, substrings, urls
 
 Q = {}
 
@@ -110,3 +110,14 @@ def op8_chat(spark, sf):
         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op11_repeats(spark, sf):
+    made = repeats.judge(table(spark, sf, "documents"), keep=["doc_id"])
+    return made.drop("longest_repeat", "spans")
+
+
+@query
+def op12_audit(spark, sf):
+    return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))

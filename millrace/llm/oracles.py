@@ -131,3 +131,57 @@ SELECT part, filter_order, step, filter, coalesce(kept, 0)::BIGINT AS kept, coal
   (sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter))::BIGINT AS shapley
 FROM r
 """
+
+SQL["op13_repair"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab
+  FROM (SELECT unnest(range(256)) AS n)),
+luck AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k
+  FROM conversations, tab),
+rows AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM luck WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p FROM rows),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) || role[1] AS pair
+  FROM placed),
+ins(p, m, c, e, t) AS (VALUES
+  (0, 0, 0, '', []), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']),
+  (1, 3, 4, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])),
+edit(m, q, need, c, e, name) AS (VALUES
+  (0, 1, 's', 0, 'K', ''), (0, 2, 'u', 0, 'K', ''), (1, 2, 'u', 0, 'K', ''), (3, 2, 'u', 0, 'K', ''), (2, 3, 'a', 0, 'K', ''),
+  (0, 2, '', 2, 'R', 'user'), (1, 2, '', 2, 'R', 'user'), (3, 2, '', 2, 'R', 'user'), (2, 3, '', 2, 'R', 'assistant'),
+  (0, 0, '', 3, 'D', ''), (1, 1, '', 3, 'D', ''), (2, 2, '', 3, 'D', ''), (3, 3, '', 3, 'D', '')),
+step AS (
+  SELECT ins.p AS s, edit.q, edit.need, edit.e AS edit, ins.c + edit.c AS c, ins.e || edit.e AS e, ins.t, edit.name FROM ins JOIN edit ON ins.m = edit.m),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS p, 0 AS s, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, any_value(p), q, min(best) FROM (
+    SELECT walk.conv_id, j.p, step.q, {
+      'c': (best.c + step.c + CASE WHEN j.fault = 'truncated' AND edit <> 'D' THEN 1 ELSE 0 END)::BIGINT, 'a': best.a || step.e,
+      't': list_concat(best.t, step.t, CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [j.role || ':' || j.text] ELSE [step.name || ':' || j.text] END)} AS best
+    FROM walk JOIN judged j ON walk.conv_id IS NOT DISTINCT FROM j.conv_id AND j.p = walk.p + 1
+    JOIN step ON step.s = walk.s AND (need = '' OR need = j.role[1]) AND (edit = 'D' OR j.fault NOT IN ('blank', 'duplicate')))
+  GROUP BY conv_id, q),
+counts AS (
+  SELECT c.conv_id, count(j.p) AS n, coalesce(max(j.turn) - min(j.turn) + 1 - count(DISTINCT j.turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank')::BIGINT AS blank, count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate,
+    count(*) FILTER (fault = 'truncated')::BIGINT AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+last AS (
+  SELECT walk.conv_id, min({
+    'c': (best.c + [0, 4, 2, 0][s + 1])::BIGINT, 'a': best.a || ['', 'II', 'I', ''][s + 1],
+    't': list_concat(best.t, CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END)}) AS best
+  FROM walk JOIN counts ON counts.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.p = counts.n GROUP BY walk.conv_id)
+SELECT counts.conv_id, gaps, blank, duplicate, truncated, illegal, best.c AS cost, best.a AS audit,
+  sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM counts JOIN last ON counts.conv_id IS NOT DISTINCT FROM last.conv_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audit, chat, decontaminate, fingerprints, language, lines, pieces, repeats, shards, simhash, substrings, urls
+from millrace.llm import audit, chat, decontaminate, fingerprints, language, lines, pieces, repair, repeats, shards, simhash, substrings, urls
 
 Q = {}
 
@@ -121,3 +121,8 @@ def op11_repeats(spark, sf):
 @query
 def op12_audit(spark, sf):
     return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op13_repair(spark, sf):
+    return repair.repair(repair.damaged(table(spark, sf, "conversations")))

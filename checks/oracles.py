@@ -432,6 +432,7 @@ FROM asked JOIN encoded USING (conv_id, turn)""")
 
 sql("stream_ingest", f"WITH {SCANNED} SELECT DISTINCT repo, content_hash FROM scanned")
 sql("stream_dedupe_state", f"WITH {SCANNED} SELECT DISTINCT repo, content_hash FROM scanned")
+sql("stream_first_copies", f"WITH {SCANNED} SELECT repo, min(rel_path) AS rel_path, content_hash FROM scanned GROUP BY repo, content_hash")
 sql("stream_dataset_build", f"""WITH {CHUNKS},
 arrived AS (SELECT * FROM samples QUALIFY doc_id % 4 = min(doc_id % 4) OVER (PARTITION BY text)),
 {split_of('arrived', SAMPLE_KEY)}

@@ -779,11 +779,13 @@ def bulk_completion_frame(spark, sf):
 
 # ---- streams ---------------------------------------------------------------------------------
 
-def file_stream(spark, sf):
-    """All documents as a stream of four slices that arrive one after the other, file by file."""
+def file_stream(spark, sf, *more):
+    """All documents as a stream of four slices, and ``more`` rows, that arrive one after the other, file by file."""
     path, given = work_path(spark, "slices"), table(spark, sf, "documents")
     for arriving in range(4):
-        given.filter(F.col("doc_id") % 4 == arriving).write.mode("append").parquet(path)
+        given.filter(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == arriving).write.mode("append").parquet(path)
+    if more:
+        spark.createDataFrame(more, given.schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return spark.sql(CODE_DOCS, documents=stream)
 
@@ -807,6 +809,19 @@ def stream_dedupe_state(spark, sf):
     return spark.read.schema("repo string, content_hash string").parquet(out)
 
 
+@query
+def stream_first_copies(spark, sf):
+    """Slices arrive a minute apart; a file ten days later lets the watermark pass and closes their sessions."""
+    late, out = 7 * 10**12 + 7, work_path(spark, "copies")
+    files = file_stream(spark, sf, (late, "A last file.\n" * 9, "en", "late", 117))
+    minute = F.when(F.col("doc_id") == late, 14_400).otherwise(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)))
+    timed = files.withColumn("arrived_at", F.timestamp_seconds(1_700_000_000 + 60 * minute)).drop("doc_id")
+    kept = L.stream_first_copies(timed, "arrived_at", "1 day", SCAN).select("repo", "rel_path", "content_hash")
+    kept.writeStream.format("parquet").option("checkpointLocation", work_path(spark, "copies-log")).trigger(
+        availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(kept.schema).parquet(out)
+
+
 @query
 def stream_dataset_build(spark, sf):
     output = work_path(spark, "grow")

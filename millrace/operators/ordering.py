@@ -7,6 +7,9 @@ aggregation; only these at most 65,536 counts ever meet in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +28,28 @@ def _bucket(key: str) -> Column:
     return F.substring(key, 1, BUCKET_DIGITS)
 
 
-def _bucket_offsets(keyed: DataFrame, key: str) -> DataFrame:
+def bucket_sizes(keyed: DataFrame, key: str) -> DataFrame:
+    """bucket, size: at most 65,536 rows. Sizes of several tables add up to those of their union."""
+    return keyed.groupBy(_bucket(key).alias("bucket")).agg(F.count("*").alias("size"))
+
+
+def add_sizes(*sizes: DataFrame) -> DataFrame:
+    both = reduce(DataFrame.unionByName, sizes)
+    return both.groupBy("bucket").agg(F.sum("size").alias("size"))
+
+
+def _offsets(sizes: DataFrame) -> DataFrame:
     """bucket, size, first (rows in earlier buckets), n (all rows): one row per bucket."""
-    sizes = keyed.groupBy(_bucket(key).alias("bucket")).agg(F.count("*").alias("size"))
     return sizes.withColumns({
         "first": F.sum("size").over(Window.orderBy("bucket")) - F.col("size"),
         "n": F.sum("size").over(Window.partitionBy()),
     })
 
 
+def _bucket_offsets(keyed: DataFrame, key: str) -> DataFrame:
+    return _offsets(bucket_sizes(keyed, key))
+
+
 def split_sizes(n: Column, options: SplitOptions = SplitOptions()) -> dict[str, Column]:
     """Whole-number sizes, cut in binary floating point."""
     n = n.cast("double")
@@ -42,36 +58,48 @@ def split_sizes(n: Column, options: SplitOptions = SplitOptions()) -> dict[str,
     return {"train": train, "validation": validation}
 
 
+def _inside(at: str, first: str, size: str) -> Column:
+    return (F.col(first) <= F.col(at)) & (F.col(at) < F.col(first) + F.col(size))
+
+
+def split_edges(sizes: DataFrame, options: SplitOptions = SplitOptions()) -> DataFrame:
+    """The buckets, three at most, in which a split may begin: bucket, first, n, validation_at, test_at."""
+    counts = split_sizes(F.col("n"), options)
+    offsets = _offsets(sizes).withColumns({
+        "validation_at": counts["train"],
+        "test_at": counts["train"] + counts["validation"],
+    })
+    # an empty split has its bound behind the last row; the last bucket then stands in for it
+    last = F.col("first") + F.col("size") == F.col("n")
+    edges = offsets.filter(_inside("validation_at", "first", "size") | _inside("test_at", "first", "size") | last)
+    return edges.drop("size")
+
+
+def in_buckets(key: str, buckets: list[str]) -> Column:
+    """Whether a key lies in one of the buckets, as ranges that reach a sorted scan."""
+    ranges = [(F.col(key) >= b) & (F.col(key) < b + ABOVE_ALL_KEYS) for b in buckets]
+    return reduce(or_, ranges, F.lit(False))
+
+
 def split_bounds(keyed: DataFrame, key: str, options: SplitOptions = SplitOptions()) -> DataFrame:
     """One row: validation_from and test_from, the keys at which those splits start, and the
-    rows each split gets.
+    rows each split gets."""
+    return bounds_at(keyed, key, split_edges(bucket_sizes(keyed, key), options))
 
-    Buckets that matter are at most three. Inside them equal keys are counted together before
-    the running sum, so copies of one id do not pile up in a task.
-    """
-    sizes = split_sizes(F.col("n"), options)
-    offsets = _bucket_offsets(keyed, key).withColumns({
-        "validation_at": sizes["train"],
-        "test_at": sizes["train"] + sizes["validation"],
-    })
 
-    def inside(at: str, first: str, size: str) -> Column:
-        return (F.col(first) <= F.col(at)) & (F.col(at) < F.col(first) + F.col(size))
+def bounds_at(keyed: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """The bounds, given the buckets that matter; ``keyed`` needs to hold the keys of these only.
 
-    # an empty split has its bound behind the last row; the last bucket then stands in for it
-    last = F.col("first") + F.col("size") == F.col("n")
-    edges = offsets.filter(
-        inside("validation_at", "first", "size") | inside("test_at", "first", "size") | last
-    )
-    near = keyed.select(F.col(key).alias("key"), _bucket(key).alias("bucket")).join(
-        F.broadcast(edges.drop("size")), "bucket"
-    )
-    counted = near.groupBy(*edges.drop("size").columns, "key").agg(F.count("*").alias("copies"))
+    Inside them equal keys are counted together before the running sum, so copies of one id do not pile
+    up in a task.
+    """
+    near = keyed.select(F.col(key).alias("key"), _bucket(key).alias("bucket")).join(F.broadcast(edges), "bucket")
+    counted = near.groupBy(*edges.columns, "key").agg(F.count("*").alias("copies"))
     running = F.sum("copies").over(Window.partitionBy("bucket").orderBy("key"))
     placed = counted.withColumn("at", F.col("first") + running - F.col("copies"))
 
     def start(at: str, value: str) -> Column:
-        return F.max(F.when(inside(at, "at", "copies"), F.col(value)))
+        return F.max(F.when(_inside(at, "at", "copies"), F.col(value)))
 
     total = F.coalesce(F.max("n"), F.lit(0))
     return placed.agg(
@@ -121,6 +149,11 @@ def split_counts(split: DataFrame) -> DataFrame:
     )
 
 
+def key_share(key: str, n: int) -> Column:
+    """Which of n equal ranges of keys a key lies in."""
+    return F.floor(F.conv(_bucket(key), 16, 10).cast("int") * F.lit(n) / F.lit(BUCKETS)).cast("int")
+
+
 def shuffle(df: DataFrame, *id_columns: str, seed: int = 42, partitions: int | None = None,
             key: str | None = None) -> DataFrame:
     """A seeded random order. The keys are uniform, so ranges of buckets are equal shares and
@@ -129,8 +162,7 @@ def shuffle(df: DataFrame, *id_columns: str, seed: int = 42, partitions: int | N
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df if key else df.withColumn("_key", order_key(seed, *id_columns))
     name = key or "_key"
-    share = F.floor(F.conv(_bucket(name), 16, 10).cast("int") * F.lit(n) / F.lit(BUCKETS)).cast("int")
-    ordered = keyed.repartitionById(n, share).sortWithinPartitions(name)
+    ordered = keyed.repartitionById(n, key_share(name, n)).sortWithinPartitions(name)
     return ordered if key else ordered.drop("_key")
 
 

@@ -6,7 +6,7 @@ ones, so a batch that is run again after a failure writes the same rows to the s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -15,20 +15,20 @@ from millrace.functions.text import safe_name
 from millrace.operators.catalog import row_id
 from millrace.operators.files import dedupe_content, scan_files
 from millrace.operators.merge import merge_key
-from millrace.operators.ordering import order_key, split_bounds, split_label
+from millrace.operators.ordering import add_sizes, bounds_at, bucket_sizes, in_buckets, order_key, split_edges, split_label
 from millrace.operators.samples import build_samples, version_label
 from millrace.options import BuildOptions, ScanOptions
 from millrace.schemas import CODE_FILES, SAMPLES
-from millrace.session import drop_path, path_exists, stage, work_path
+from millrace.session import drop_path, stage, work_path
+from millrace.streaming.levels import FAN, KeyLevels
 
 BATCH = T.StructField("batch_id", T.LongType())
-REPO_BUCKETS = 256
-STREAM_FILES = T.StructType([
-    *CODE_FILES.fields, T.StructField("safe_name", T.StringType()), BATCH, T.StructField("repo_bucket", T.IntegerType()),
-])
+STREAM_FILES = T.StructType([*CODE_FILES.fields, T.StructField("safe_name", T.StringType()), BATCH])
 STREAM_SAMPLES = T.StructType([
     *SAMPLES.fields, T.StructField("merge_key", T.StringType()), T.StructField("split_key", T.StringType()), BATCH,
 ])
+SIZES, EDGES = "bucket string, size long", "bucket string, first long, n long, validation_at long, test_at long"
+MERGE, SPLIT = "merge", "split"  # kinds of stored keys
 STREAM_VERSIONS = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("version", T.StringType()),
@@ -42,42 +42,48 @@ STREAM_VERSIONS = T.StructType([
 ])
 
 
-def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
+def _store(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def keys_path(store: str) -> str:
+    """Where the keys of a store lie: beside it, so that readers of the store do not see them."""
+    return f"{store}-keys"
 
 
-def _store(rows: DataFrame, path: str, batch_id: int, *folders: str) -> None:
-    rows.write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/batch_id={batch_id}")
+def content_key() -> Column:
+    """Uniform key of a content within its repo."""
+    return F.sha2(F.concat_ws(":", "content_hash", "repo"), 256)
 
 
 def stream_ingest(
-    files: DataFrame, store: str, checkpoint: str, options: ScanOptions = ScanOptions()
+    files: DataFrame, store: str, checkpoint: str, options: ScanOptions = ScanOptions(), fan: int = FAN
 ) -> DataStreamWriter:
     """Store arriving files; content already stored for the repo, or repeated in the batch, goes.
 
-    Repos are dealt into folders, and a batch looks only into those of its own repos. There the
-    stored keys are cut to the batch's keys first, so that the side joined against the store is
-    never larger than one micro-batch.
+    A batch looks its keys up in the levelled store of keys, so it opens a bounded number of files however
+    many batches there were, and none of the stored text. The stored keys are cut to the batch's keys
+    first, so that the side joined against the store is never larger than one micro-batch.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        levels = KeyLevels(spark, keys_path(store), fan)
+        levels.sweep(batch_id)
         arrived = dedupe_content(scan_files(batch, options)).withColumns({
             "safe_name": safe_name(F.col("rel_path")),
-            "repo_bucket": F.pmod(F.xxhash64("repo"), F.lit(REPO_BUCKETS)).cast("int"),
+            "_key": content_key(),
         })
         staged = work_path(spark, "arrived")
         arrived = stage(arrived, "arrived", staged)
         try:
-            keys = ["repo", "content_hash"]
-            touched = [row.repo_bucket for row in arrived.select("repo_bucket").distinct().collect()]
-            stored = _earlier(spark, store, STREAM_FILES, batch_id).filter(F.col("repo_bucket").isin(touched))
-            repeated = stored.join(arrived.select(*keys), keys, "left_semi").select(*keys).distinct()
-            fresh = arrived.join(repeated, keys, "left_anti")
-            _store(fresh.hint("rebalance", "repo_bucket"), store, batch_id, "repo_bucket")
+            keys = arrived.select("_key")
+            known = levels.read(batch_id, MERGE).join(keys, F.col("key") == F.col("_key"), "left_semi")
+            fresh = arrived.join(known, F.col("_key") == F.col("key"), "left_anti")
+            _store(fresh.drop("_key").hint("rebalance"), store, batch_id)
         finally:
             drop_path(spark, staged)
+        stored = spark.read.schema(STREAM_FILES).parquet(f"{store}/batch_id={batch_id}")
+        levels.add(batch_id, stored.select(F.lit(MERGE).alias("kind"), content_key().alias("key")), stored.count())
 
     return (
         files.writeStream.foreachBatch(add)
@@ -97,43 +103,65 @@ def stream_dedupe_state(
     return timed.dropDuplicatesWithinWatermark(keys)
 
 
+def stream_first_copies(
+    files: DataFrame, arrival: str, within: str = "1 day", options: ScanOptions = ScanOptions()
+) -> DataFrame:
+    """One file for each content of a repo, that of the smallest path, as the batch dedupe gives it.
+
+    Copies that arrive with gaps below ``within`` are one session of the content. When the watermark,
+    ``within`` behind the newest arrival, has passed its end, the file is given out and its state dropped, so
+    the state holds the content of the last sessions only. Content that returns later is given out again.
+    """
+    timed = scan_files(files.withWatermark(arrival, within), options, carry=(arrival,))
+    columns = [c for c in timed.columns if c != arrival]
+    session = F.session_window(arrival, within)
+    least = F.min_by(F.struct(*columns), F.col("rel_path")).alias("file")
+    return timed.groupBy("repo", "content_hash", session).agg(least).select("file.*")
+
+
 def stream_dataset_build(
-    files: DataFrame, output: str, checkpoint: str, options: BuildOptions = BuildOptions()
+    files: DataFrame, output: str, checkpoint: str, options: BuildOptions = BuildOptions(), fan: int = FAN
 ) -> DataStreamWriter:
     """Each micro-batch adds its new samples and one version row.
 
     A version is "all batches up to here" plus the two keys where validation and test start, so
-    earlier text is never rewritten: the merge reads stored merge keys and cuts them to those of
-    the batch, the bounds read stored split keys. read_version puts the two together.
+    earlier text is neither read nor rewritten; read_version puts the two together. A batch looks its merge
+    keys up in the levelled store of keys. The bounds come from a summary, rows in each of 65,536 ranges of split keys,
+    to which a batch adds its own counts, and from the stored keys of the three ranges at most that matter.
     """
-    samples_path, versions_path = f"{output}/samples", f"{output}/versions"
+    samples_path, versions_path, sizes_path = f"{output}/samples", f"{output}/versions", f"{output}/sizes"
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        levels = KeyLevels(spark, f"{output}/keys", fan)
+        levels.sweep(batch_id)
         fresh = build_samples(batch, options).withColumns({
-            "merge_key": merge_key("text", options.merge_key),
+            "merge_key": F.sha2(merge_key("text", options.merge_key), 256),  # uniform, whatever makes samples the same
             "split_key": order_key(options.split.seed, "id", "text"),
         })
         staged = work_path(spark, "fresh")
         fresh = stage(fresh, "fresh", staged)
         try:
-            earlier = _earlier(spark, samples_path, STREAM_SAMPLES, batch_id).select("merge_key")
-            known = earlier.join(fresh.select("merge_key").distinct(), "merge_key", "left_semi").distinct()
-            _store(fresh.join(known, "merge_key", "left_anti"), samples_path, batch_id)
+            keys = fresh.select("merge_key").distinct()
+            known = levels.read(batch_id, MERGE).join(keys, F.col("key") == F.col("merge_key"), "left_semi").distinct()
+            _store(fresh.join(known, F.col("merge_key") == F.col("key"), "left_anti"), samples_path, batch_id)
         finally:
             drop_path(spark, staged)
 
-        stored = spark.read.schema(STREAM_SAMPLES).parquet(samples_path).filter(F.col("batch_id") <= batch_id)
-        counts = stored.agg(
-            F.count_if(F.col("batch_id") == batch_id).alias("new_samples"), F.count("*").alias("total_samples")
-        )
-        bounds = split_bounds(stored.select("split_key"), "split_key", options.split)
-        cut = bounds.select(F.struct("validation_from", "test_from")).scalar()
+        stored = spark.read.schema(STREAM_SAMPLES).parquet(f"{samples_path}/batch_id={batch_id}")
+        n = stored.count()
+        both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_key").alias("key")) for k in (MERGE, SPLIT)])
+        levels.add(batch_id, stored.select(F.inline(both)), 2 * n)
+        before = [spark.read.schema(SIZES).parquet(f"{sizes_path}/batch_id={batch_id - 1}")] if batch_id else []
+        sizes = add_sizes(*before, bucket_sizes(stored, "split_key"))
+        sizes = stage(sizes.coalesce(1), "sizes", f"{sizes_path}/batch_id={batch_id}")
+        edges = split_edges(sizes, options.split).collect()
+        near = levels.read(batch_id + 1, SPLIT).filter(in_buckets("key", [e.bucket for e in edges]))
+        bounds = bounds_at(near, "key", spark.createDataFrame(edges, EDGES))
         label = version_label(F.lit(output), F.lit(str(batch_id)))
-        row = counts.withColumn("cut", cut).select(
-            row_id(label).alias("id"), label.alias("version"), F.lit(samples_path).alias("path"),
-            "new_samples", "total_samples", F.col("cut.validation_from"), F.col("cut.test_from"),
-            F.current_timestamp().alias("created_at"),
+        row = bounds.select(
+            row_id(label).alias("id"), label.alias("version"), F.lit(samples_path).alias("path"), F.lit(n).cast("long").alias("new_samples"),
+            "total_samples", "validation_from", "test_from", F.current_timestamp().alias("created_at"),
         )
         _store(row.coalesce(1), versions_path, batch_id)
 

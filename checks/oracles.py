@@ -232,6 +232,7 @@ SELECT url, coalesce({REPO_NAME.replace('url', 'e.url')}, n.repo) AS name, 'main
   CASE WHEN n.repo IS NOT NULL AND error IS NULL THEN n.size_kb ELSE 0 END AS size_kb,
   CASE WHEN n.repo IS NOT NULL AND error IS NULL THEN n.repo END AS local_path, error AS error_message
 FROM repos_in e FULL JOIN results n USING (url)""")
+sql("bucketed_repositories", SQL["upsert_repositories"])
 sql("language_lookup_join", f"""WITH {FILES} SELECT doc_id, rel_path, language FROM known""")
 
 # ---- aggregations ----------------------------------------------------------------------------
@@ -373,6 +374,9 @@ SELECT conv_id, turn, 'python' AS language, 'This code' || raw_text AS generated
 sql("languages_json", f"WITH {CHUNKS} SELECT {JSON} AS languages FROM ({COUNTS})")
 sql("run_metrics_json", """SELECT event_id AS id, value AS eval_loss, NULL::DOUBLE AS missing, props::JSON ->> '$.k' AS k,
   NULL::VARCHAR AS absent FROM events""")
+sql("run_metrics_variant", """SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN value END AS eval_loss, CASE WHEN event_id % 5 = 1 THEN value END AS nested_loss,
+  CASE WHEN event_id % 5 = 2 THEN value END AS note, CASE WHEN event_id % 5 = 1 THEN event_id::DOUBLE END AS first_step,
+  CASE WHEN event_id % 5 = 2 THEN event_type END AS shown FROM events""")
 sql("iso_timestamps", f"SELECT event_id, {iso('ts')} AS ts FROM events")
 sql("sample_ids", f"""WITH {CHUNKS}
 SELECT id, source_file, chunk_idx, left(sha256(concat_ws(':', id, source_file)), 8) AS version FROM samples""")
@@ -412,6 +416,7 @@ merged AS (SELECT * FROM samples WHERE {OLD} UNION ALL
            SELECT * FROM samples WHERE text NOT IN (SELECT text FROM samples WHERE {OLD})),
 {split_of('merged', SAMPLE_KEY)}
 SELECT id, language, chunk_idx, chunk_size, source_file, split, sha256(text) AS digest FROM split""")
+sql("grow_dataset", SQL["incremental_build"])
 sql("training_input", f"""WITH {VOCAB}, {TEXT_SPLIT}, {ids_of('split', 'id', 'text', 2048)},
 parts AS (SELECT id, split AS part FROM split UNION ALL SELECT id, 'eval' FROM split WHERE split = 'validation')
 SELECT id, part, tokens, sha256(ids) AS digest, (SELECT count(*) FROM split WHERE split = 'train') AS total_samples

@@ -22,10 +22,12 @@ from millrace.operators import tokens as T
 from millrace.options import BuildOptions, ChunkOptions, ScanOptions
 from millrace.plans import build as B
 from millrace.plans import generation as G
+from millrace.plans import growth as GR
 from millrace.plans import ingest as I
 from millrace.plans import training as N
 from millrace.session import stage, work_path
 from millrace.sources import stores as ST
+from millrace.sources.buckets import BucketedTable
 from millrace.sources import trainer_state as TS
 from millrace.sources import tree as TR
 from millrace.streaming import live as L
@@ -334,8 +336,7 @@ def incremental_anti_join(spark, sf):
     return M.incremental_anti_join(new, old).select(*IDS, "chunk_idx", digest("text"))
 
 
-@query
-def upsert_repositories(spark, sf):
+def repository_results(spark, sf):
     urls = docs(spark, sf, "repos_in")
     existing = K.conform(urls.select("id", "url", X.repo_name(F.col("url")).alias("name"), "status", "created_at"), "repositories")
     counts = FI.repo_summary(FI.scan_files(docs(spark, sf), SCAN))
@@ -346,13 +347,32 @@ def upsert_repositories(spark, sf):
         F.col("repo").alias("local_path"),
         F.when(F.col("id") % 5 == 3, "not reachable").alias("error"),
     )
-    return K.upsert_repositories(existing, results).select(
+    return existing, results
+
+
+def shown_repositories(rows):
+    return rows.select(
         "url", "name", "branch", "status", F.col("files_count").cast("bigint").alias("files_count"),
         F.col("total_lines").cast("bigint").alias("total_lines"), F.round("size_kb", 3).alias("size_kb"),
         "local_path", "error_message",
     )
 
 
+@query
+def upsert_repositories(spark, sf):
+    return shown_repositories(K.upsert_repositories(*repository_results(spark, sf)))
+
+
+@query
+def bucketed_repositories(spark, sf):
+    """The same upsert into a table of buckets, of which only those of the results are written anew."""
+    existing, results = repository_results(spark, sf)
+    table_ = BucketedTable(spark, work_path(spark, "catalogue"), "repositories", "url")
+    table_.merge(existing, lambda old, new: new)
+    table_.merge(results, K.upsert_repositories)
+    return shown_repositories(table_.read())
+
+
 @query
 def language_lookup_join(spark, sf):
     files = docs(spark, sf).withColumn("extension", X.file_extension(F.col("rel_path")))
@@ -615,6 +635,20 @@ def run_metrics_json(spark, sf):
     return events.select("id", *K.metric_columns("eval_loss", "missing"), *K.config_columns(k="$.k", absent="$.a.b"))
 
 
+@query
+def run_metrics_variant(spark, sf):
+    """Nested, listed and textual metrics; broken and missing JSON."""
+    value, kind = F.col("value"), F.col("event_id") % 5
+    flat, nested = F.struct(value.alias("eval_loss")), F.struct(F.struct(value.alias("loss"), F.array("event_id", F.lit(7)).alias("steps")).alias("eval"))
+    text = (F.when(kind == 0, F.to_json(flat)).when(kind == 1, F.to_json(nested))
+            .when(kind == 2, F.to_json(F.struct(F.col("event_type").alias("eval_loss"), value.cast("string").alias("note"))))
+            .when(kind == 3, F.rtrim(F.to_json(flat), F.lit("}"))))
+    events = table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("metrics"), "event_id")
+    return events.select(
+        "id", *K.metric_columns("eval_loss", "eval.loss", "note", "eval.steps[0]"), F.when(kind == 2, K.metric_texts("eval_loss")[0]).alias("shown"),
+    ).withColumnsRenamed({"eval.loss": "nested_loss", "eval.steps[0]": "first_step"})
+
+
 @query
 def iso_timestamps(spark, sf):
     return table(spark, sf, "events").select("event_id", K.iso_timestamp(F.col("ts")).alias("ts"))
@@ -730,6 +764,16 @@ def incremental_build(spark, sf):
     return dataset_rows(B.incremental_build(files.select(*inputs), output, "v2", first.version))
 
 
+@query
+def grow_dataset(spark, sf):
+    """The same growth by parts and manifests: no earlier text is read or written."""
+    files = code_files(spark, sf)
+    inputs = ["repo", "rel_path", "language", "content"]
+    output = work_path(spark, "grown")
+    GR.grow_dataset(earlier(spark, sf, files).select(*inputs), output)
+    return dataset_rows(GR.grow_dataset(files.select(*inputs), output))
+
+
 @query
 def training_input(spark, sf):
     """Every split of the newest version, and the evaluation part once more."""

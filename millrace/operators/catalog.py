@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -170,10 +172,28 @@ def latest_dataset(versions: DataFrame, directories: DataFrame | None = None) ->
     return found.orderBy("choice").limit(1).select("path")
 
 
+def variant_path(name: str) -> str:
+    """The path of a metric: dots lead into nested objects, ``[n]`` into lists."""
+    steps = [re.split(r"(?=\[\d+\])", step) for step in name.split(".")]
+    return "$" + "".join((f'["{key}"]' if "'" in key else f"['{key}']") + "".join(places) for key, *places in steps)
+
+
+def metric_texts(*names: str) -> list[Column]:
+    """Values out of the JSON ``metrics`` column as text, null where absent; broken JSON has none, and
+    what follows a complete value is not read."""
+    fields = F.try_parse_json("metrics")
+    return [F.try_variant_get(fields, variant_path(n), "string").alias(n) for n in names]
+
+
 def metric_columns(*names: str) -> list[Column]:
-    """Numbers out of the JSON ``metrics`` column, null where absent."""
-    fields = F.from_json("metrics", "map<string,double>")
-    return [F.try_element_at(fields, F.lit(n)).alias(n) for n in names]
+    """Numbers out of the JSON ``metrics`` column by name or path, also those written as text; null where absent
+    or something else."""
+    return [text.try_cast("double").alias(n) for n, text in zip(names, metric_texts(*names))]
+
+
+def metrics_schema(runs: DataFrame) -> DataFrame:
+    """One row: the type that all metrics together have."""
+    return runs.agg(F.schema_of_variant_agg(F.try_parse_json("metrics")).alias("schema"))
 
 
 def config_columns(**paths: str) -> list[Column]:

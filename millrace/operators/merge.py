@@ -38,3 +38,12 @@ def without_known(new: DataFrame, keys: DataFrame, own: Column) -> DataFrame:
 def union_incremental(new: DataFrame, existing: DataFrame, key: str = "hash") -> DataFrame:
     """Existing rows and the surviving new ones; repeats inside either side stay."""
     return existing.unionByName(incremental_anti_join(new, existing, key))
+
+
+def store_keys(existing: DataFrame, table: str, key: str = "hash", buckets: int = 64) -> DataFrame:
+    """Distinct merge keys of existing samples as a table in buckets of the key, sorted. ``without_known`` and joins
+    on ``_key`` read such a table as it lies: only the new side is shuffled, and into as many parts."""
+    keys = existing.select(merge_key(key=key).alias("_key")).distinct()
+    dealt = keys.repartition(buckets, "_key")  # as the buckets are, so that a task writes one file
+    dealt.write.mode("overwrite").bucketBy(buckets, "_key").sortBy("_key").saveAsTable(table)
+    return existing.sparkSession.table(table)

@@ -12,36 +12,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from millrace.functions.text import safe_name
-from millrace.operators.catalog import row_id
 from millrace.operators.files import dedupe_content, scan_files
-from millrace.operators.merge import merge_key
-from millrace.operators.ordering import add_sizes, bounds_at, bucket_sizes, in_buckets, order_key, split_edges, split_label
-from millrace.operators.samples import build_samples, version_label
 from millrace.options import BuildOptions, ScanOptions
-from millrace.schemas import CODE_FILES, SAMPLES
+from millrace.plans.growth import (  # noqa: F401  (names of a stream's dataset)
+    MERGE, SIZES, STREAM_SAMPLES, STREAM_VERSIONS, add_part, list_versions, read_version,
+)
+from millrace.schemas import CODE_FILES
 from millrace.session import drop_path, stage, work_path
-from millrace.streaming.levels import FAN, KeyLevels
+from millrace.sources.levels import FAN, KeyLevels
 
 BATCH = T.StructField("batch_id", T.LongType())
 STREAM_FILES = T.StructType([*CODE_FILES.fields, T.StructField("safe_name", T.StringType()), BATCH])
-STREAM_SAMPLES = T.StructType([
-    *SAMPLES.fields, T.StructField("merge_key", T.StringType()), T.StructField("split_key", T.StringType()), BATCH,
-])
-SIZES, EDGES = "bucket string, size long", "bucket string, first long, n long, validation_at long, test_at long"
-MERGE, SPLIT = "merge", "split"  # kinds of stored keys
-STREAM_VERSIONS = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("version", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("new_samples", T.LongType()),
-    T.StructField("total_samples", T.LongType()),
-    T.StructField("validation_from", T.StringType()),
-    T.StructField("test_from", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-    BATCH,
-])
-
-
 def _store(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -122,65 +103,11 @@ def stream_first_copies(
 def stream_dataset_build(
     files: DataFrame, output: str, checkpoint: str, options: BuildOptions = BuildOptions(), fan: int = FAN
 ) -> DataStreamWriter:
-    """Each micro-batch adds its new samples and one version row.
-
-    A version is "all batches up to here" plus the two keys where validation and test start, so
-    earlier text is neither read nor rewritten; read_version puts the two together. A batch looks its merge
-    keys up in the levelled store of keys. The bounds come from a summary, rows in each of 65,536 ranges of split keys,
-    to which a batch adds its own counts, and from the stored keys of the three ranges at most that matter.
-    """
-    samples_path, versions_path, sizes_path = f"{output}/samples", f"{output}/versions", f"{output}/sizes"
-
+    """Each micro-batch adds its new samples and one version row, as ``growth.add_part`` does for a batch."""
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        levels = KeyLevels(spark, f"{output}/keys", fan)
-        levels.sweep(batch_id)
-        fresh = build_samples(batch, options).withColumns({
-            "merge_key": F.sha2(merge_key("text", options.merge_key), 256),  # uniform, whatever makes samples the same
-            "split_key": order_key(options.split.seed, "id", "text"),
-        })
-        staged = work_path(spark, "fresh")
-        fresh = stage(fresh, "fresh", staged)
-        try:
-            keys = fresh.select("merge_key").distinct()
-            known = levels.read(batch_id, MERGE).join(keys, F.col("key") == F.col("merge_key"), "left_semi").distinct()
-            _store(fresh.join(known, F.col("merge_key") == F.col("key"), "left_anti"), samples_path, batch_id)
-        finally:
-            drop_path(spark, staged)
-
-        stored = spark.read.schema(STREAM_SAMPLES).parquet(f"{samples_path}/batch_id={batch_id}")
-        n = stored.count()
-        both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_key").alias("key")) for k in (MERGE, SPLIT)])
-        levels.add(batch_id, stored.select(F.inline(both)), 2 * n)
-        before = [spark.read.schema(SIZES).parquet(f"{sizes_path}/batch_id={batch_id - 1}")] if batch_id else []
-        sizes = add_sizes(*before, bucket_sizes(stored, "split_key"))
-        sizes = stage(sizes.coalesce(1), "sizes", f"{sizes_path}/batch_id={batch_id}")
-        edges = split_edges(sizes, options.split).collect()
-        near = levels.read(batch_id + 1, SPLIT).filter(in_buckets("key", [e.bucket for e in edges]))
-        bounds = bounds_at(near, "key", spark.createDataFrame(edges, EDGES))
-        label = version_label(F.lit(output), F.lit(str(batch_id)))
-        row = bounds.select(
-            row_id(label).alias("id"), label.alias("version"), F.lit(samples_path).alias("path"), F.lit(n).cast("long").alias("new_samples"),
-            "total_samples", "validation_from", "test_from", F.current_timestamp().alias("created_at"),
-        )
-        _store(row.coalesce(1), versions_path, batch_id)
+        add_part(batch, output, batch_id, options, fan)
 
     return (
         files.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
-
-
-def list_versions(spark: SparkSession, output: str) -> DataFrame:
-    return spark.read.schema(STREAM_VERSIONS).parquet(f"{output}/versions")
-
-
-def read_version(spark: SparkSession, output: str, batch_id: int | None = None) -> DataFrame:
-    """The samples of a version (default: the newest) with their split."""
-    versions = list_versions(spark, output)
-    chosen = versions if batch_id is None else versions.filter(F.col("batch_id") == batch_id)
-    newest = chosen.orderBy(F.desc("batch_id")).limit(1)
-    cut = newest.select(F.struct("batch_id", "validation_from", "test_from")).scalar()
-    samples = spark.read.schema(STREAM_SAMPLES).parquet(f"{output}/samples")
-    samples = samples.filter(F.col("batch_id") <= cut["batch_id"])
-    return samples.withColumn("split", split_label(F.col("split_key"), cut)).drop("merge_key", "split_key")

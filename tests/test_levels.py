@@ -9,7 +9,7 @@ from millrace.operators import files as FI
 from millrace.operators import ordering as O
 from millrace.session import list_directories, path_exists, work_path
 from millrace.streaming import live as L
-from millrace.streaming.levels import KeyLevels, covering
+from millrace.sources.levels import KeyLevels, covering
 from tests.test_streaming import BODY, SCHEMA, run
 
 

@@ -137,6 +137,7 @@ def sql(name: str, text: str) -> None:
 sql("scan_code_tree", f"""WITH {SCANNED}
 SELECT repo, rel_path, extension, language, size_kb, line_count::INTEGER AS line_count, content_hash FROM scanned""")
 
+sql("read_code_tree", SQL["scan_code_tree"])
 sql("decode_text", r"""SELECT doc_id, 'a' || chr(65533) || 'b' || chr(65533) || 'c'
   || regexp_replace(text, '\r\n?', chr(10), 'g') || chr(10) || chr(10) || 'z' AS text FROM documents""")
 

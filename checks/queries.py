@@ -26,6 +26,7 @@ from millrace.plans import growth as GR
 from millrace.plans import ingest as I
 from millrace.plans import training as N
 from millrace.session import stage, work_path
+from millrace.sources import code_tree as CT
 from millrace.sources import stores as ST
 from millrace.sources.buckets import BucketedTable
 from millrace.sources import trainer_state as TS
@@ -90,6 +91,15 @@ def scan_code_tree(spark, sf):
     return found.select("repo", "rel_path", "extension", "language", "size_kb", "line_count", "content_hash")
 
 
+@query
+def read_code_tree(spark, sf):
+    """The same files through the ``code_tree`` format."""
+    root = TW.mounted(work_path(spark, "files"))
+    TW.write_tree(docs(spark, sf), root)
+    found = CT.read_code_tree(spark, root, SCAN)
+    return found.select("repo", "rel_path", "extension", "language", "size_kb", "line_count", "content_hash")
+
+
 @query
 def decode_text(spark, sf):
     raw = documents(spark, sf).select(

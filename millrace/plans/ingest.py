@@ -41,7 +41,10 @@ def ingest(
     """Filter, describe, deduplicate and store files; then catalogue and summarise what is stored.
 
     ``requests``: url, repo (the folder name in ``files``), branch, error (null, or why the
-    repository could not be fetched). ``files``: repo, rel_path, content.
+    repository could not be fetched). ``files``: repo, rel_path, content. Files may name their url instead of
+    repo: each url then has a folder of its own (``repo_key``), so that repositories of one name and different
+    owners stay apart; ``requests`` need no repo. Without urls, requests of different urls for one folder are
+    an error, since each would count the other's files.
 
     ``refresh`` brings catalogue rows of changed files up to date; by default they stay as they are.
     Other repositories of the store stay; an asked one is replaced. A url asked for twice counts once,
@@ -52,9 +55,14 @@ def ingest(
     repositories = empty_table(spark, "repositories") if repositories is None else repositories
     catalog = empty_table(spark, "code_file_catalog") if catalog is None else catalog
 
+    if "url" in files.columns:
+        own = repo_key(F.col("url"))
+        requests, files = requests.withColumn("repo", own), files.withColumn("repo", own).drop("url")
     requests = requests.distinct()
     if not requests.groupBy("url").count().filter("count > 1").isEmpty():
         raise ValueError("requests for one url differ")
+    if not requests.filter("repo IS NOT NULL").groupBy("repo").count().filter("count > 1").isEmpty():
+        raise ValueError("requests of different urls share a folder: let files name their url")
     replace_repositories(dedupe_content(scan_files(files, options)), raw_path, requests)
     everything = scan_raw_store(spark, raw_path)
     stored = everything.join(requests.select("repo").distinct(), "repo", "left_semi")

@@ -276,3 +276,18 @@ def test_the_shuffle_grows_with_the_stored_bytes(spark, monkeypatch):
     monkeypatch.setattr(B, "SHUFFLED_BYTES", 1024)
     build(spark, files)
     assert asked[0] == spark.sparkContext.defaultParallelism < asked[1]
+
+
+def test_owners_of_one_name_stay_apart(spark):
+    body, raw = "\n".join(f"a_{n} = {n}" for n in range(9)), work_path(spark, "raw")
+    asked = spark.createDataFrame([("https://h/x/lib", "main", None), ("https://h/y/lib", "main", None)], "url string, branch string, error string")
+    files = spark.createDataFrame(
+        [("https://h/x/lib", "a.py", body), ("https://h/x/lib", "b.py", body + "\nb = 1"), ("https://h/y/lib", "a.py", body)],
+        "url string, rel_path string, content string")
+    made = I.ingest(asked, files, raw)
+    assert {(r.url, r.name, r.files_count) for r in made.repositories.collect()} == {("https://h/x/lib", "lib", 2), ("https://h/y/lib", "lib", 1)}
+    assert made.files.select("repo").distinct().count() == 2
+    assert made.catalog.groupBy("repository_id").count().count() == 2
+    shared = asked.withColumn("repo", F.lit("lib"))
+    with pytest.raises(ValueError):
+        I.ingest(shared, files.withColumn("repo", F.lit("lib")).drop("url"), work_path(spark, "raw"))

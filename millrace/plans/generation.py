@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -93,6 +94,53 @@ def run_model(prepared: DataFrame, generate: Callable) -> DataFrame:
     return map_batches(prepared, generate, T.StructType([*prepared.schema.fields, *MODEL_OUTPUT]))
 
 
+@dataclass(frozen=True)
+class Served:
+    """A model that is set up once in a task: ``setup()`` returns what ``run_model`` takes as ``generate``."""
+
+    setup: Callable
+    batch_rows: int = 16
+
+
+def run_served(prepared: DataFrame, model: Served, length: str = "input_ids") -> DataFrame:
+    """As ``run_model``, with one set-up for each task and an ``error`` column.
+
+    Of the rows of an Arrow batch those of similar length go through the model together, ``batch_rows`` at a
+    time. If the model fails on some rows they are tried one by one; a row that fails alone has nulls and
+    the message, and the others are not affected. A set-up that fails fails the task, which Spark tries again.
+    """
+    columns, made = prepared.columns, [f.name for f in MODEL_OUTPUT]
+    setup, step = model.setup, model.batch_rows
+
+    def run(batches):
+        import pandas as pd
+
+        generate = None
+
+        def answered(rows):
+            try:
+                out = generate(rows.copy())[[*columns, *made]]
+                if len(out) != len(rows):
+                    raise ValueError(f"{len(out)} results for {len(rows)} rows")
+                return [out.assign(error=None)]
+            except Exception as problem:  # of the caller's model: reported by row
+                if len(rows) == 1:
+                    return [rows.assign(**dict.fromkeys(made), error=f"{type(problem).__name__}: {problem}")]
+                return [x for i in range(len(rows)) for x in answered(rows.iloc[i : i + 1])]
+
+        for frame in batches:
+            if not len(frame):
+                continue
+            generate = generate or setup()
+            frame = frame.iloc[frame[length].str.len().fillna(0).argsort(kind="stable")] if length in columns else frame
+            for at in range(0, len(frame), step):
+                for out in answered(frame.iloc[at : at + step]):
+                    yield out.astype({"error": object})
+
+    schema = T.StructType([*prepared.schema.fields, *MODEL_OUTPUT, T.StructField("error", T.StringType())])
+    return prepared.mapInPandas(run, schema)
+
+
 def finish(results: DataFrame, stops: Sequence[str] = ()) -> DataFrame:
     """raw_text, tokens_generated, elapsed to the reported values. Cutting the text at a stop
     does not lower the token count."""
@@ -111,22 +159,23 @@ def finish_explain(results: DataFrame) -> DataFrame:
     return finish(results).withColumn("generated_text", P.explain_postprocess(F.col("generated_text")))
 
 
-def answer(prepared: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable) -> DataFrame:
+def answer(prepared: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable | Served) -> DataFrame:
     """Prepared requests with input_ids (the prompt's first 1,800) through the caller's model."""
-    return run_model(prompt_tokens(prepared, vocabulary, prepared.columns), generate)
+    asked = prompt_tokens(prepared, vocabulary, prepared.columns)
+    return run_served(asked, generate) if isinstance(generate, Served) else run_model(asked, generate)
 
 
-def generate_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable, stops: Sequence[str] = ()) -> DataFrame:
+def generate_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable | Served, stops: Sequence[str] = ()) -> DataFrame:
     """Every valid generation request to its reported result."""
     return finish(answer(prepare_generate(requests), vocabulary, generate), stops)
 
 
-def complete_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable) -> DataFrame:
+def complete_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable | Served) -> DataFrame:
     """Every valid completion request to its reported result."""
     return finish_completion(answer(prepare_completion(requests), vocabulary, generate))
 
 
-def explain_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable) -> DataFrame:
+def explain_all(requests: DataFrame, vocabulary: DataFrame | Broadcast, generate: Callable | Served) -> DataFrame:
     return finish_explain(answer(prepare_explain(requests), vocabulary, generate))
 
 

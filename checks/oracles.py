@@ -11,19 +11,25 @@ BREAKS = r"\n\x0b\f\r\x1c-\x1e\x85\x{2028}\x{2029}"
 
 # --- fixed values, stated here once more so that the library's own are checked -----------------
 LANGUAGE_BY_EXTENSION = {
-    "." + suffix: language
-    for language, suffixes in {
-        "python": "py", "javascript": "js jsx", "typescript": "ts tsx", "java": "java", "cpp": "cpp hpp", "c": "c h",
-        "go": "go", "rust": "rs", "ruby": "rb", "php": "php", "swift": "swift", "kotlin": "kt", "scala": "scala",
-        "shell": "sh bash", "sql": "sql", "r": "r", "lua": "lua", "csharp": "cs", "fsharp": "fs", "haskell": "hs",
-        "elixir": "ex exs", "clojure": "clj", "terraform": "tf", "yaml": "yaml yml",
-    }.items() for suffix in suffixes.split()
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".java": "java",
+    ".cpp": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php",
+    ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".sh": "shell", ".bash": "shell", ".sql": "sql", ".r": "r",
+    ".lua": "lua", ".cs": "csharp", ".fs": "fsharp", ".hs": "haskell", ".ex": "elixir", ".exs": "elixir", ".clj": "clojure",
+    ".tf": "terraform", ".yaml": "yaml", ".yml": "yaml",
 }
-EXCLUDED_SUBSTRINGS = "node_modules .git __pycache__ *.min.js dist build vendor .venv venv".split()
-_C_LIKE = ("//.*$", ("/*", "*/"))
+EXCLUDED_SUBSTRINGS = ("node_modules", ".git", "__pycache__", "*.min.js", "dist", "build", "vendor", ".venv", "venv")
 COMMENT_SYNTAX = {
-    "python": ("#.*$", ('"""', '"""'), ("'''", "'''")), **dict.fromkeys(("javascript", "typescript", "java", "cpp", "c", "go", "rust"), _C_LIKE),
-    **dict.fromkeys(("ruby", "shell"), ("#.*$",)), "sql": ("--.*$", ("/*", "*/")),
+    "python": ("#.*$", ('"""', '"""'), ("'''", "'''")),
+    "javascript": ("//.*$", ("/*", "*/")),
+    "typescript": ("//.*$", ("/*", "*/")),
+    "java": ("//.*$", ("/*", "*/")),
+    "cpp": ("//.*$", ("/*", "*/")),
+    "c": ("//.*$", ("/*", "*/")),
+    "go": ("//.*$", ("/*", "*/")),
+    "rust": ("//.*$", ("/*", "*/")),
+    "ruby": ("#.*$",),
+    "shell": ("#.*$",),
+    "sql": ("--.*$", ("/*", "*/")),
 }
 
 SQL: dict[str, str] = {}

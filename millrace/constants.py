@@ -67,3 +67,22 @@ CHUNK_MIN_WORDS = 10
 MERGE_KEY_CHARS = 100
 PROMPT_MAX_TOKENS = 1800
 IGNORED_LABEL = -100
+
+# --- fixed values: patterns -------------------------------------------------------------------
+# Java spells classes differently: WS is Python's white space, WORD its word characters; (?d) lets only \n end a line.
+WS = r"\p{IsWhite_Space}\x1c-\x1f"
+WORD = r"\p{L}\p{N}_"
+USE_STRICT = ('"use strict";?\\n?', "'use strict';?\\n?")
+MAIN_BLOCK = rf"(?d)if __name__ == ['\"]__main__['\"]:?\n(?:[{WS}]++.*+\n?+)*+"
+# What follows a | takes in text that can hold no further match, so that it is not searched again:
+# after a header without its colon or brace, or an arrow without a semicolon, nothing is closed.
+PYTHON_DEF = rf"(?dm)(def[{WS}]+[{WORD}]+[^:]*+:(?:\n(?>[ \t]+.+|[{WS}]*$))*+)|def[{WS}]+[{WORD}]+[^:]*+\z"
+JS_FUNCTION = (
+    rf"((?:async[{WS}]+)?function[{WS}]+[{WORD}]+[^{{]*+\{{(?:[^{{}}]++|\{{[^{{}}]*+\}})*+\}})"
+    rf"|(?:async[{WS}]+)?function[{WS}]+[{WORD}]+[^{{]*+(?:\{{|\z)"
+)
+JS_ARROW = (
+    rf"(const[{WS}]+[{WORD}]+[{WS}]*=[{WS}]*(?:async[{WS}]+)?"
+    rf"(?:\([^)]*\)|[{WORD}]+)[{WS}]*=>[^;]++;)"
+    rf"|const[{WS}]+[{WORD}]+[{WS}]*=[{WS}]*(?:async[{WS}]+)?(?:\([^)]*\)|[{WORD}]+)[{WS}]*=>[^;]*+\z"
+)

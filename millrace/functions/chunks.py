@@ -5,22 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import WORD, WS, strip
+from millrace.constants import JS_ARROW, JS_FUNCTION, PYTHON_DEF, WORD, WS
+from millrace.functions.text import strip
 from millrace.options import ChunkOptions
 
-# What follows a | takes in text that can hold no further match, so that it is not searched again:
-# after a header without its colon or brace, or an arrow without a semicolon, nothing is closed.
-PYTHON_DEF = rf"(?dm)(def[{WS}]+[{WORD}]+[^:]*+:(?:\n(?>[ \t]+.+|[{WS}]*$))*+)|def[{WS}]+[{WORD}]+[^:]*+\z"
-JS_FUNCTION = (
-    rf"((?:async[{WS}]+)?function[{WS}]+[{WORD}]+[^{{]*+\{{(?:[^{{}}]++|\{{[^{{}}]*+\}})*+\}})"
-    rf"|(?:async[{WS}]+)?function[{WS}]+[{WORD}]+[^{{]*+(?:\{{|\z)"
-)
-JS_ARROW = (
-    rf"(const[{WS}]+[{WORD}]+[{WS}]*=[{WS}]*(?:async[{WS}]+)?"
-    rf"(?:\([^)]*\)|[{WORD}]+)[{WS}]*=>[^;]++;)"
-    rf"|const[{WS}]+[{WORD}]+[{WS}]*=[{WS}]*(?:async[{WS}]+)?(?:\([^)]*\)|[{WORD}]+)[{WS}]*=>[^;]*+\z"
-)
-
 
 def char_windows(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
     """Array of windows, one starting every ``step`` code points.

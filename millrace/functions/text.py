@@ -17,17 +17,16 @@ from pyspark.sql import functions as F
 from millrace.constants import (
     COMMENT_SYNTAX,
     LANGUAGE_BY_EXTENSION,
+    MAIN_BLOCK,
     TOKENS_PER_WORD,
+    USE_STRICT,
+    WORD,
+    WS,
 )
 
-WS = r"\p{IsWhite_Space}\x1c-\x1f"
-WORD = r"\p{L}\p{N}_"
 WS_CHARACTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 LINE_BREAKS = r"\n\x0b\f\r\x1c-\x1e\x85\x{2028}\x{2029}"
 
-USE_STRICT = ('"use strict";?\\n?', "'use strict';?\\n?")
-MAIN_BLOCK = rf"(?d)if __name__ == ['\"]__main__['\"]:?\n(?:[{WS}]++.*+\n?+)*+"
-
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add or replace costly columns so that each is evaluated exactly once per row.

@@ -42,13 +42,15 @@ SELECT kept.doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(coalesc
 FROM kept LEFT JOIN left_over USING (doc_id)
 """
 
-SQL["op6_lines"] = """
+SQL["op6_lines"] = r"""
 WITH d AS (SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS w FROM documents),
+c AS (SELECT doc_id, w, list_transform(w, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS c FROM d),
+sized AS (SELECT doc_id, w, c, n, unnest(range(1, len(w) - n + 2)) AS p FROM c, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
 win AS (
-  SELECT doc_id, p, array_to_string(list_slice(w, p, p + 2), chr(10)) AS x
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
-ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS r FROM win),
-words AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS q FROM ranked WHERE r > 1),
+  SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), chr(10)) AS x FROM sized
+  WHERE n = 3 OR list_sum(list_slice(c, p, p + n - 1)) > 50),
+ranked AS (SELECT doc_id, p, n, row_number() OVER (PARTITION BY n, x ORDER BY doc_id, p) AS r FROM win),
+words AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM ranked WHERE r > 1),
 each AS (SELECT doc_id, unnest(w) AS line, unnest(range(1, len(w) + 1)) AS q FROM d),
 kept AS (
   SELECT each.doc_id, count(words.q) AS m, string_agg(line, chr(10) ORDER BY each.q) FILTER (words.q IS NULL) AS text

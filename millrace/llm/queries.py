@@ -57,7 +57,7 @@ def op5_substrings(spark, sf):
 
 @query
 def op6_lines(spark, sf):
-    made = lines.remove_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    made = lines.remove_lines(table(spark, sf, "documents").select("doc_id", "text"), passage=50)
     return made.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -2,15 +2,17 @@
 
 A fingerprint bit is set if it is set in over half of the XXH64 values of a text's shingles. Equal
 fingerprints are merged first. The distinct ones are dealt to shards by the upper levels of a
-vantage-point tree, whose points and median distances come from a bounded sample: a fingerprint
-lives in one shard and, as a query, also visits each shard that the triangle inequality cannot rule
+vantage-point tree, whose points and median distances come from a sample: a fingerprint
+lives in one shard and, as a query, visits it and each shard that the triangle inequality cannot rule
 out (its distance to the vantage point lies within the radius of the boundary). A shard goes on
 building the tree over what lives in it and sends all its queries down together. Links found in a
 shard leave it as a spanning forest, at most one link per fingerprint, so that no group of near
 copies is emitted as all its pairs; components of the whole are found from these.
 
 Only distinct fingerprints are compared: within three bits of one there are at most 43,745, which
-bounds a dense group. The sharding is exact whatever the sample is; the sample only balances it.
+bounds a dense group. The sharding is exact whatever the sample is; the sample keeps the shards small. It
+is one fingerprint in 512 (or 8,192 in all), 16 for each shard, and reaches the driver: 16 MB for a
+billion distinct fingerprints. Visitors of a shard are cut into blocks, so that a group stays bounded.
 
 A null or wordless text has fingerprint zero and is linked like any other. Rows with a null id or a
 repeated id are fingerprinted each for itself; a component of null ids alone has a null id. Empty
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.components import components, forest
 from millrace.llm.frames import map_slices, text_bytes
-from millrace.llm.words import NOT_SPACE, find, lower
+from millrace.llm.words import NOT_SPACE, find, lower, mix
 from millrace.session import stage
 
 SEED = 42
@@ -164,28 +166,48 @@ def links_within(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int
     return forest(*(np.concatenate(s) for s in zip(*found))) if found else (np.empty(0, points.dtype),) * 2
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = 8192, sample: int = 8192) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that connect all pairs within the radius."""
+def shard_tree(distinct: DataFrame, shard_size: int, per_shard: int = 16, least: int = 8192) -> tuple[Node | int, np.ndarray]:
+    """The upper levels for shards of about ``shard_size`` fingerprints, and the sample they come from:
+    ``per_shard`` fingerprints for each shard, which is one in ``shard_size / per_shard`` of all."""
     n = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_size))))
-    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    tree = top_tree(np.array([r["fp"] for r in rows], np.int64).view(np.uint64), depth)
+    share = min(1.0, max(least, per_shard << depth) / max(1, n))
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = distinct.select("fp").filter(chosen).orderBy(F.xxhash64("fp"), "fp").collect()
+    sample = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+    return top_tree(sample, depth), sample
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = 8192, visits: int = 32) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that connect all pairs within the radius. A group
+    holds the fingerprints of a shard and one block of its visitors, about ``visits`` times as many."""
+    tree, sample = shard_tree(distinct, shard_size)
+    some = sample[:2048]
+    blocks = max(1, -(-len(route(tree, some, radius)[0]) // max(1, visits * len(some))))
 
     def deal(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1 << 14):
                 fp = batch.column("fp").slice(i, 1 << 14)
-                at, shard, home = route(tree, fp.to_numpy(zero_copy_only=False).view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), fp.take(pa.array(at)), pa.array(home)], names=["shard", "fp", "home"])
+                values = fp.to_numpy(zero_copy_only=False).view(np.uint64)
+                at, shard, home = route(tree, values, radius)
+                block = (mix(values) % np.uint64(blocks)).astype(np.int32)[at]
+                # as a point in every block of its shard, as a query in one
+                point, lives, of = at[home], shard[home], np.arange(blocks, dtype=np.int32)
+                at = np.concatenate([at, np.tile(point, blocks)])
+                shard = np.concatenate([shard, np.tile(lives, blocks)])
+                block = np.concatenate([block, np.repeat(of, len(point))])
+                home = np.concatenate([np.zeros(len(home), bool), np.ones(len(point) * blocks, bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(block), fp.take(pa.array(at)), pa.array(home)], names=["shard", "block", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().view(np.uint64)
         home = group.column("home").to_numpy()
-        a, b = links_within(fp[home], fp, radius)
+        a, b = links_within(fp[home], fp[~home], radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(deal, "shard int, block int, fp long, home boolean")
+    return dealt.groupBy("shard", "block").applyInArrow(search, "a long, b long")
 
 
 def classes(prints: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS, shard_size: int = 8192) -> DataFrame:

@@ -88,3 +88,26 @@ def test_components_of_a_chain_and_a_star(spark):
     star = [(7, i) for i in range(1000, 1300)] + [(7, 1000), (1001, 1000), (50, 50)]
     got = dict(components(spark.createDataFrame(chain + star, "a long, b long")).collect())
     assert got == {**{i: 100 for i in range(100, 141)}, 7: 7, **{i: 7 for i in range(1000, 1300)}}
+
+
+def test_deep_trees_keep_shards_small():
+    rng = np.random.default_rng(1)
+    points, depth, size = rng.integers(0, 2**63, 1 << 18, dtype=np.uint64), 13, 32
+    tree = simhash.top_tree(points[: 16 << depth], depth)
+    at, shard, home = simhash.route(tree, points, 0)
+    assert len(at) == len(points) and home.all()
+    held = np.bincount(shard)
+    assert len(held) > 4000 and held.max() <= 6 * size
+
+
+def test_visitors_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**62, 400)
+    near = base ^ (1 << rng.integers(0, 62, 400)) ^ (1 << rng.integers(0, 62, 400))
+    points = np.unique(np.concatenate([base, near]))
+    distinct = spark.createDataFrame([(int(p), 0) for p in points], "fp long, least_id long")
+    got = simhash.near_links(distinct, shard_size=64, visits=2).collect()
+    a, b = (np.array([r[c] for r in got]).view(np.uint64) for c in "ab")
+    wide = points.view(np.uint64)
+    want = forest(*(wide[i] for i in np.nonzero(np.triu(simhash.distance(wide[:, None], wide[None, :]) <= 3, 1))))
+    assert dict(zip(*forest(a, b))) == dict(zip(*want)) and len(want[0]) >= 300

@@ -5,14 +5,18 @@ own; the longest fitting rule decides. Other URLs are judged by trees trained fr
 features are lengths, path depth, digit ratios, entropy of the characters, parameter counts, and of
 the host's last label how many labelled URLs it has and how many of these are blocked (smoothed).
 
+A host label that no labelled URL has says nothing: its two statistics are null, and each split has a side
+for nulls, learned with it. So that there are nulls to learn from, the statistics of one labelled URL in
+``hide`` are hidden in training, by hash.
+
 Training uses a sample of about ``max_rows`` labelled URLs, chosen by hash. Features are cut into at most
 ``bins`` bins at quantiles, and rows that agree in all bins and the label are counted once. Each level
 of a tree is one aggregation of gradients by leaf, feature and bin; only these sums reach the driver,
 which picks the splits. The finished trees are a CASE expression.
 
 A null URL, or one without ``://``, has an empty host and path; no rule fits, and the trees judge its
-features like any other's. Without labelled URLs, or with one label only, the smoothed share of blocked
-URLs decides. Repeated rows and null ids are judged row by row; empty tables give no rows.
+features like any other's, however long it is. Without labelled URLs, or with one label only, the smoothed
+share of blocked URLs decides. Repeated rows and null ids are judged row by row; empty tables give no rows.
 Columns named like a result are replaced.
 """
 
@@ -105,14 +109,13 @@ class Trees:
     start: float
     suffixes: DataFrame | None = None
     prior: float = 0.5
-    trees: list = field(default_factory=list)  #: ("leaf", value) or (feature, bound, low, high)
+    trees: list = field(default_factory=list)  #: ("leaf", value) or (feature, bound, nulls go low, low, high)
 
     def margin(self) -> Column:
         def value(node) -> Column:
             if node[0] == "leaf":
                 return F.lit(node[1])
-            name, bound, low, high = node
-            return F.when(F.col(name) <= bound, value(low)).otherwise(value(high))
+            return F.when(_goes_low(*node[:3]), value(node[3])).otherwise(value(node[4]))
 
         total = F.lit(self.start)
         for tree in self.trees:
@@ -122,30 +125,43 @@ class Trees:
     def score(self) -> Column:
         return 1.0 / (1.0 + F.exp(-self.margin()))
 
-    def with_suffixes(self, df: DataFrame) -> DataFrame:
-        found = df if self.suffixes is None else df.join(self.suffixes, "suffix", "left")
-        seen = F.lit(0.0) if self.suffixes is None else F.coalesce("n", F.lit(0.0))
-        blocked = F.lit(self.prior) if self.suffixes is None else F.coalesce("share", F.lit(self.prior))
-        return found.withColumns({"suffix_seen": F.log1p(seen), "suffix_blocked": blocked})
+    def with_suffixes(self, df: DataFrame, hidden: Column | None = None) -> DataFrame:
+        """Adds the statistics of the host's last label; null where it is unknown or ``hidden``."""
+        if self.suffixes is None:
+            return df.withColumns({"suffix_seen": F.lit(None).cast("double"), "suffix_blocked": F.lit(None).cast("double")})
+        shown = F.lit(True) if hidden is None else ~hidden
+        found = df.join(self.suffixes, "suffix", "left")
+        return found.withColumns({"suffix_seen": F.when(shown, F.log1p("n")), "suffix_blocked": F.when(shown, F.col("share"))})
+
 
+def _goes_low(name: str, bound, nulls_low: bool) -> Column:
+    return F.coalesce(F.col(name) <= bound, F.lit(nulls_low))
 
-def train(labelled: DataFrame, max_rows: int = 100_000, trees: int = 10, depth: int = 3, bins: int = 16, rate: float = 0.4,
-          smooth: float = 1.0, least_gain: float = 1e-3) -> Trees:
-    """``labelled``: lexical rows with ``url`` and ``blocked`` (0 or 1)."""
+
+def train(labelled: DataFrame, max_rows: int = 100_000, hide: int = 5, **options) -> Trees:
+    """``labelled``: lexical rows with ``url`` and ``blocked`` (0 or 1). The options are those of ``boost``."""
     n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     prior = (bad + 1.0) / (n + 2.0)
-    model = Trees(math.log(prior / (1 - prior)), None, prior)
+    model = Trees(math.log(prior / (1 - prior)))
     if not 0 < bad < n:
         return model
-    sample = labelled if n <= max_rows else labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    number = F.pmod(F.xxhash64("url"), F.lit(1 << 30))
+    sample = labelled if n <= max_rows else labelled.filter(number < int((1 << 30) * max_rows / n))
     share = (F.sum("blocked") + 10 * prior) / (F.count("*") + 10)
     model.suffixes = stage(labelled.groupBy("suffix").agg(F.count("*").cast("double").alias("n"), share.alias("share")), "suffixes")
     if model.suffixes.count() <= BROADCAST_SUFFIXES:
         model.suffixes = F.broadcast(model.suffixes)
-    rows = stage(model.with_suffixes(sample).select(*FEATURES, "blocked"), "features")
+    hidden = F.pmod(F.xxhash64("url", F.lit("hidden")), F.lit(hide)) == 0
+    model.trees = boost(stage(model.with_suffixes(sample, hidden).select(*FEATURES, "blocked"), "features"), model.start, **options)
+    return model
+
+
+def boost(rows: DataFrame, start: float, trees: int = 10, depth: int = 3, bins: int = 16, rate: float = 0.4, smooth: float = 1.0,
+          least_gain: float = 1e-3) -> list:
+    """The trees, from a stored table of features and ``blocked``."""
     at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     cuts = rows.agg(*[F.percentile_approx(f, at).alias(f) for f in FEATURES]).first()
-    bounds = {f: sorted(set(cuts[f])) for f in FEATURES}
+    bounds = {f: sorted(set(cuts[f] or ())) for f in FEATURES}
     binned = {f: sum(((F.col(f) > b).cast("int") for b in bounds[f]), F.lit(0)).alias(f) for f in FEATURES}
     # rows that no split can tell apart; a bin stands for its upper bound
     train_rows = stage(rows.select("blocked", *binned.values()).groupBy("blocked", *FEATURES).agg(F.count("*").alias("w")), "binned")
@@ -153,22 +169,21 @@ def train(labelled: DataFrame, max_rows: int = 100_000, trees: int = 10, depth:
     def leaf_of(node, path=""):
         if node is None:
             return F.lit(path)
-        name, b, low, high = node
-        return F.when(F.col(name) <= b, leaf_of(low, path + "l")).otherwise(leaf_of(high, path + "h"))
+        return F.when(_goes_low(*node[:3]), leaf_of(node[3], path + "l")).otherwise(leaf_of(node[4], path + "h"))
 
     def grown(node, path, splits):
         if node is None:
             return (*splits[path], None, None) if path in splits else None
-        return (node[0], node[1], grown(node[2], path + "l", splits), grown(node[3], path + "h", splits))
+        return (*node[:3], grown(node[3], path + "l", splits), grown(node[4], path + "h", splits))
 
     def leaves(node, path, values):
         if node is None:
             return ("leaf", values.get(path, 0.0))
-        return (node[0], node[1], leaves(node[2], path + "l", values), leaves(node[3], path + "h", values))
+        return (*node[:3], leaves(node[3], path + "l", values), leaves(node[4], path + "h", values))
 
     binned_trees: list = []
     for _ in range(trees):
-        p = 1.0 / (1.0 + F.exp(-Trees(model.start, trees=binned_trees).margin()))
+        p = 1.0 / (1.0 + F.exp(-Trees(start, trees=binned_trees).margin()))
         graded = train_rows.withColumns({"g": F.col("w") * (F.col("blocked") - p), "h": F.col("w") * p * (1 - p)})
         node = None
         for _ in range(depth):
@@ -184,13 +199,12 @@ def train(labelled: DataFrame, max_rows: int = 100_000, trees: int = 10, depth:
         totals = graded.groupBy(leaf_of(node).alias("leaf")).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
         values = {r["leaf"]: round(rate * r["g"] / (r["h"] + smooth), 6) for r in totals}
         binned_trees.append(leaves(node, "", values))
-    model.trees = [_unbinned(t, bounds) for t in binned_trees]
-    return model
+    return [_unbinned(t, bounds) for t in binned_trees]
 
 
-def best_splits(sums, smooth: float, least_gain: float) -> dict[str, tuple[str, int]]:
-    """For each leaf the feature and bin with the largest gain; rounded, so that the order in which
-    sums were added does not decide."""
+def best_splits(sums, smooth: float, least_gain: float) -> dict[str, tuple[str, int, bool]]:
+    """For each leaf the feature, bin and side of nulls with the largest gain; rounded, so that the order
+    in which sums were added does not decide. Without nulls in a leaf they join the larger side."""
     found: dict[str, dict[str, list]] = {}
     for r in sums:
         found.setdefault(r["leaf"], {}).setdefault(r["f"], []).append((r["b"], r["g"], r["h"]))
@@ -198,24 +212,32 @@ def best_splits(sums, smooth: float, least_gain: float) -> dict[str, tuple[str,
     for leaf, features in found.items():
         best = (least_gain, None)
         for f in FEATURES:
-            rows = sorted(features[f])
-            g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
+            known = sorted(r for r in features[f] if r[0] is not None)
+            nulls = [r for r in features[f] if r[0] is None]
+            null_g, null_h = (nulls[0][1], nulls[0][2]) if nulls else (0.0, 0.0)
+            g, h = sum(r[1] for r in features[f]), sum(r[2] for r in features[f])
             left_g = left_h = 0.0
-            for b, x, y in rows[:-1]:
+            for i, (b, x, y) in enumerate(known):
                 left_g, left_h = left_g + x, left_h + y
-                gain = left_g**2 / (left_h + smooth) + (g - left_g) ** 2 / (h - left_h + smooth) - g**2 / (h + smooth)
-                if round(gain, 6) > best[0]:
-                    best = (round(gain, 6), (f, b))
+                last = i == len(known) - 1  # then only the nulls can go high
+                sides = ([True] if not last else []) + [False] if nulls else [] if last else [round(2 * left_h - h, 9) >= 0]
+                for low in sides:
+                    a, c = (left_g + null_g, left_h + null_h) if low else (left_g, left_h)
+                    gain = a**2 / (c + smooth) + (g - a) ** 2 / (h - c + smooth) - g**2 / (h + smooth)
+                    if round(gain, 6) > best[0]:
+                        best = (round(gain, 6), (f, b, low))
         if best[1]:
             out[leaf] = best[1]
     return out
 
 
 def _unbinned(node, bounds):
-    """Bin b holds values up to its bound, so 'bin at most b' is 'value at most bounds[b]'."""
+    """Bin b holds values up to its bound, so 'bin at most b' is 'value at most bounds[b]'; the last has none."""
     if node[0] == "leaf":
         return node
-    return (node[0], float(bounds[node[0]][node[1]]), _unbinned(node[2], bounds), _unbinned(node[3], bounds))
+    cuts = bounds[node[0]]
+    bound = float(cuts[node[1]]) if node[1] < len(cuts) else math.inf
+    return (node[0], bound, node[2], _unbinned(node[3], bounds), _unbinned(node[4], bounds))
 
 
 def fit(labelled: DataFrame, url: str = "url", blocked: str = "blocked", **options) -> Trees:

@@ -12,7 +12,7 @@ from millrace.operators.catalog import empty_table, new_catalog_rows, refreshed_
 from millrace.operators.files import dedupe_content, repo_summary, scan_files
 from millrace.options import ScanOptions
 from millrace.session import stage
-from millrace.sources.stores import folder_column, replace_repositories, scan_raw_store
+from millrace.sources.stores import FOLDERS, folder_column, replace_repositories, scan_raw_store
 
 
 @dataclass
@@ -37,6 +37,7 @@ def ingest(
     catalog: DataFrame | None = None,
     options: ScanOptions = ScanOptions(),
     refresh: bool = False,
+    folders: tuple[str, ...] = FOLDERS,
 ) -> IngestResult:
     """Filter, describe, deduplicate and store files; then catalogue and summarise what is stored.
 
@@ -46,6 +47,9 @@ def ingest(
     owners stay apart; ``requests`` need no repo. Without urls, requests of different urls for one folder are
     an error, since each would count the other's files.
 
+    ``folders`` is the layout of the store, the same for every ingest; with very many repositories, ``BUCKETED``:
+    local paths then name the store.
+
     ``refresh`` brings catalogue rows of changed files up to date; by default they stay as they are.
     Other repositories of the store stay; an asked one is replaced. A url asked for twice counts once,
     and it is an error if the two requests differ. Text is read once and shuffled twice: for the dedupe
@@ -63,11 +67,13 @@ def ingest(
         raise ValueError("requests for one url differ")
     if not requests.filter("repo IS NOT NULL").groupBy("repo").count().filter("count > 1").isEmpty():
         raise ValueError("requests of different urls share a folder: let files name their url")
-    replace_repositories(dedupe_content(scan_files(files, options)), raw_path, requests)
+    replace_repositories(dedupe_content(scan_files(files, options)), raw_path, requests, folders)
     everything = scan_raw_store(spark, raw_path)
     stored = everything.join(requests.select("repo").distinct(), "repo", "left_semi")
 
     counts = repo_summary(stored)
+    own_folder = F.concat(F.lit("repo="), folder_column(F.col("repo")))
+    local = F.concat_ws("/", F.lit(raw_path), own_folder) if "repo" in folders else F.lit(raw_path)
     results = requests.join(counts, "repo", "left").select(
         "url",
         repo_name(F.col("url")).alias("name"),
@@ -76,7 +82,7 @@ def ingest(
         F.coalesce("files", F.lit(0)).alias("files"),
         F.coalesce("lines", F.lit(0)).alias("lines"),
         F.coalesce("size_kb", F.lit(0.0)).alias("size_kb"),
-        F.concat_ws("/", F.lit(raw_path), F.concat(F.lit("repo="), folder_column(F.col("repo")))).alias("local_path"),
+        local.alias("local_path"),
         "error",
     )
     summary = stage(results, "ingest-summary")  # one row per repository, read several times below

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from millrace.functions.text import safe_name
 from millrace.operators.catalog import empty_table
 from millrace.schemas import CATALOG_TABLES, CODE_FILES, SAMPLES
-from millrace.session import drop_path, list_directories, path_exists, stage
+from millrace.session import list_directories, path_exists, stage
 
 SPLITS = ("train", "validation", "test")
 RAW_STORE = T.StructType(
@@ -18,39 +18,65 @@ RAW_STORE = T.StructType(
        T.StructField("language", T.StringType())]
 )
 
+WITH_BUCKET = T.StructType([*RAW_STORE.fields, T.StructField("bucket", T.IntegerType())])
 
-def write_raw_store(
-    files: DataFrame, path: str, folders: tuple[str, ...] = ("repo", "language"), mode: str = "overwrite"
-) -> None:
+FOLDERS = ("repo", "language")
+BUCKETED = ("bucket", "language")  # for very many repositories
+BUCKETS = 4096
+
+
+def repo_bucket() -> F.Column:
+    return F.pmod(F.xxhash64("repo"), F.lit(BUCKETS)).cast("int")
+
+
+def _laid_out(files: DataFrame, folders: tuple[str, ...]) -> DataFrame:
+    stored = files.withColumn("safe_name", safe_name(F.col("rel_path")))
+    return stored.withColumn("bucket", repo_bucket()) if "bucket" in folders else stored
+
+
+def _write_folders(stored: DataFrame, path: str, folders: tuple[str, ...], mode: str, overwrite: str = "static") -> None:
+    order = dict.fromkeys([*folders, "repo"])
+    writer = stored.hint("rebalance", *folders).sortWithinPartitions(*order).write.mode(mode)
+    writer.option("partitionOverwriteMode", overwrite).partitionBy(*folders).parquet(path)
+
+
+def write_raw_store(files: DataFrame, path: str, folders: tuple[str, ...] = FOLDERS, mode: str = "overwrite") -> None:
     """Parquet in folders by repo and language.
 
     The rebalance hint gathers a folder's rows so tasks do not each write a file to every
     folder, and lets Spark divide the rows of an oversized repo and join small ones. With very
-    many repos give ``folders=("language",)``: repo is then a column, sorted so that row groups
+    many repos give ``folders=BUCKETED`` or ``("language",)``: repo is then a column, sorted so that row groups
     of other repos are skipped.
     """
-    stored = files.withColumn("safe_name", safe_name(F.col("rel_path"))).hint("rebalance", *folders)
-    order = dict.fromkeys([*folders, "repo"])
-    stored.sortWithinPartitions(*order).write.mode(mode).partitionBy(*folders).parquet(path)
+    _write_folders(_laid_out(files, folders), path, folders, mode)
 
 
-def replace_repositories(files: DataFrame, path: str, repos: DataFrame) -> None:
+def replace_repositories(files: DataFrame, path: str, repos: DataFrame, folders: tuple[str, ...] = FOLDERS) -> None:
     """Store the files of the given repositories; those of others stay where they are.
 
-    Folders that get rows are overwritten; what an asked repository had in other folders, or all of
-    it if it gave no files, is removed afterwards.
+    One write and one commit, so that text is not staged and no folder has to be deleted afterwards. Every folder
+    in which an asked repository had files is written anew; it gets a row without a path, which readers skip,
+    so that it is replaced even if no file is left for it. By ``BUCKETED`` folders other repositories of a
+    touched folder are written again beside the new ones. The layout of a store must not change.
     """
     spark = files.sparkSession
     if not path_exists(spark, path):
-        return write_raw_store(files, path)
-    folders = ["repo", "language"]
-    before = scan_raw_store(spark, path).select(*folders).distinct().join(repos.select("repo").distinct(), "repo", "left_semi")
-    before = stage(before, "folders")
-    stored = files.withColumn("safe_name", safe_name(F.col("rel_path"))).hint("rebalance", *folders)
-    new = stage(stored, "arrived")
-    new.sortWithinPartitions(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
-    for row in before.join(new.select(*folders).distinct(), folders, "left_anti").toLocalIterator():
-        drop_path(spark, f"{path}/repo={folder_name(row.repo)}/language={folder_name(row.language)}")
+        return write_raw_store(files, path, folders)
+    if folders not in (FOLDERS, BUCKETED):
+        raise ValueError(f"repositories cannot be replaced in folders by {folders}")
+    asked = repos.select("repo").distinct()
+    stored = spark.read.schema(RAW_STORE if folders == FOLDERS else WITH_BUCKET).parquet(path)
+    new = _laid_out(files, folders)
+    if folders == FOLDERS:
+        held = stored.select(*folders).distinct().join(asked, "repo", "left_semi")
+    else:
+        touched = F.broadcast(asked.select(repo_bucket().alias("bucket")).distinct())  # as many as there are buckets at most
+        held = stored.join(touched, "bucket", "left_semi")
+        # another language of a touched bucket is written again too: its folder may hold the repository
+        new = new.unionByName(held.filter(F.col("rel_path").isNotNull()).join(asked, "repo", "left_anti"), allowMissingColumns=True)
+        held = held.select(*folders).distinct()
+    marks = stage(held, "folders")
+    _write_folders(new.unionByName(marks, allowMissingColumns=True), path, folders, "overwrite", "dynamic")
 
 
 #: characters that a folder of a partition value shows as % and two hex digits
@@ -70,7 +96,8 @@ def folder_column(name) -> F.Column:
 
 def scan_raw_store(spark: SparkSession, path: str) -> DataFrame:
     """The language is the folder's, never detected again; filters on folders prune them."""
-    return spark.read.schema(RAW_STORE).parquet(path).select(*RAW_STORE.fieldNames())
+    stored = spark.read.schema(RAW_STORE).parquet(path).select(*RAW_STORE.fieldNames())
+    return stored.filter(F.col("rel_path").isNotNull())  # the others mark a replaced folder
 
 
 def write_split_jsonl(dataset: DataFrame, path: str) -> None:

@@ -5,11 +5,14 @@ and cut into consecutive shards so that the largest shard is as small as it can
 capacity is feasible is checked greedily: fill each shard with as many groups as fit. The least
 feasible capacity is found by binary search; the cuts of its greedy run are taken.
 
-The driver never holds all group sizes. It holds the sums of 65,536 ranges of the order. The search
-over whole ranges bounds the capacity from above, the mean and the largest group from below. In
-between, a greedy run needs the sizes inside the few ranges in which its cuts fall; those are
-fetched, each holding a 65,536th of the groups. Group sizes are combined before the shuffle, so a
-group with very many copies is one row by then.
+The driver never holds all group sizes. It holds cells: at first the sums of 65,536 ranges of the order.
+Taking cells as atomic gives a greedy run that reaches too little, taking those of several groups as
+divisible to any amount one that reaches too far; the least capacity lies between the least ones that are
+feasible either way. The cells in which a cut of these runs falls are divided into 256 each, all of a
+round in one job, until both runs have the same cuts. The groups are stored in ranges of their keys, so
+that such a job reads the files of its cells only. Group sizes are combined before the shuffle, so a
+group with very many copies is one row by then. However many groups there are, a round brings at most
+``2 * 2 * shards * NEAR`` cells of 256.
 
 A row's shard then follows from its key and the cuts. Its slot counts the rows of the shard: by cells
 (a hash of the id), then by id inside a cell; only the sizes of the cells, a fixed number, meet.
@@ -22,13 +25,17 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import in_buckets, shuffle
 from millrace.session import stage
 
 DIGITS = 4
+DEEPER = 2  # digits by which a cell is divided
+NEAR = 8
 RANGES = 16**DIGITS
 CELLS = 4096
 NO_TEXT = "-"  # sorts before all hex keys
@@ -107,20 +114,109 @@ class Sizes:
         return out
 
 
-def shard_bounds(groups: DataFrame, shards: int) -> list[str]:
-    """First keys of shards 1, 2 ... for stored groups (key, size)."""
-    sums = groups.groupBy(_range("key").alias("r")).agg(F.sum("size").alias("s"), F.max("size").alias("m")).collect()
-    sums.sort(key=lambda row: row["r"])
+@dataclass(frozen=True)
+class Cell:
+    """Consecutive groups: the beginning that only their keys have, bytes and number."""
+
+    prefix: str
+    size: int
+    groups: int
+
+
+class Cells(Sizes):
+    """Running sums over cells, each taken as one group, and how far a run could get inside them."""
+
+    def __init__(self, cells: list[Cell]):
+        self.cells = sorted(cells, key=lambda c: c.prefix)
+        super().__init__([(c.prefix, c.size) for c in self.cells], lambda prefix: [])
+
+    def within(self, r: int) -> tuple[list[str], list[int]]:
+        return [self.names[r]], [self.ends[r]]
+
+    def at(self, limit: int) -> tuple[int, bool]:
+        """The cell in which a limit falls, and whether its groups would have to be known."""
+        r = bisect_right(self.ends, limit)
+        below = self.ends[r - 1] if r else 0
+        return r, r < len(self.ends) and self.cells[r].groups > 1 and limit > below
+
+    def furthest_cuts(self, capacity: int, shards: int) -> list[int]:
+        """Bounds above the running sums at which the greedy shards end."""
+        at, out = 0, []
+        for _ in range(shards):
+            limit = at + capacity
+            r, unknown = self.at(limit)
+            at = limit if unknown else self.reach(limit, True)
+            out.append(at)
+        return out
 
-    def fetch(name):
-        rows = groups.filter(_range("key") == name).select("key", "size").collect()
-        return sorted((row["key"], row["size"]) for row in rows)
+    def nearest_cuts(self, capacity: int, shards: int) -> list[int]:
+        at, out = 0, []
+        for _ in range(shards):
+            at = self.reach(at + capacity, True)
+            out.append(at)
+        return out
+
+    def bounds(self, shards: int, largest: int) -> tuple[int, int]:
+        """Two capacities between which the least feasible one lies."""
+        high = self.least_capacity(shards, largest)
+        low, top = max(-(-self.total // shards), largest), high
+        while low < top:
+            middle = (low + top) // 2
+            if self.furthest_cuts(middle, shards)[-1] == self.total:
+                top = middle
+            else:
+                low = middle + 1
+        return low, high
+
+    def to_divide(self, low: int, high: int, shards: int) -> list[Cell]:
+        """Cells that keep the cuts unknown; none if the greedy cuts of ``low`` = ``high`` are known."""
+        wanted = set()
+        for capacity in {low, (low + high) // 2}:
+            near, far = self.nearest_cuts(capacity, shards), self.furthest_cuts(capacity, shards)
+            if near == far:
+                continue
+            for a, b in zip([0, *near[:-1]], [0, *far[:-1]]):
+                (r, unknown), (s, also) = self.at(a + capacity), self.at(b + capacity)
+                wanted.update([r] * unknown, [s] * also)
+                if s - r < NEAR:
+                    wanted.update(i for i in range(r + 1, min(s, len(self.cells))) if self.cells[i].groups > 1)
+        return [self.cells[i] for i in sorted(wanted)]
+
+    def divided(self, gone: list[Cell], found: list[Cell]) -> Cells:
+        dropped = set(gone)
+        return Cells([c for c in self.cells if c not in dropped] + found)
+
+
+def find_bounds(cells: Cells, shards: int, largest: int, divide: Callable[[list[Cell]], list[Cell]]) -> list[str]:
+    """Where shards 1, 2 ... begin, as prefixes; ``divide`` gives the cells inside some."""
+    while True:
+        low, high = cells.bounds(shards, largest)
+        wanted = cells.to_divide(low, high, shards)
+        if not wanted:
+            return cells.first_keys(cells.nearest_cuts(high, shards))
+        cells = cells.divided(wanted, divide(wanted))
+
+
+def _cells(groups: DataFrame, prefix: Column) -> list:
+    return groups.groupBy(prefix.alias("prefix")).agg(
+        F.sum("size").alias("size"), F.count("*").alias("groups"), F.max("size").alias("largest")).collect()
 
-    sizes = Sizes([(row["r"], row["s"]) for row in sums], fetch)
-    if not sums:
+
+def shard_bounds(groups: DataFrame, shards: int) -> list[str]:
+    """For stored groups (key, size), what the keys of shards 1, 2 ... and of later ones are not less than."""
+    def divide(wanted: list[Cell]) -> list[Cell]:
+        by_length: dict[int, list[str]] = {}
+        for cell in wanted:
+            by_length.setdefault(len(cell.prefix), []).append(cell.prefix)
+        deeper = [F.when(F.substring("key", 1, n).isin(names), F.substring("key", 1, n + DEEPER)) for n, names in by_length.items()]
+        inside = groups.filter(in_buckets("key", [cell.prefix for cell in wanted]))
+        return [Cell(r["prefix"], r["size"], r["groups"]) for r in _cells(inside, F.coalesce(*deeper))]
+
+    rows = _cells(groups, _range("key"))
+    if not rows:
         return []
-    capacity = sizes.least_capacity(shards, max(row["m"] for row in sums))
-    return sizes.first_keys(sizes.cuts(capacity, shards))
+    cells = Cells([Cell(r["prefix"], r["size"], r["groups"]) for r in rows])
+    return find_bounds(cells, shards, max(r["largest"] for r in rows), divide)
 
 
 def assign(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,7 +227,8 @@ def assign(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
         F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), group_key(F.col(text)).alias("key"),
     ), "rows")
-    groups = stage(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
+    summed = rows.groupBy("key").agg(F.sum("size").alias("size"))
+    groups = stage(shuffle(summed, key="key"), "groups")  # in ranges of the key
     bounds = shard_bounds(groups, shards)
     shard = F.lit(0)
     for i, key in enumerate(bounds, 1):

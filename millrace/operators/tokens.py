@@ -21,6 +21,7 @@ FIRST_WORD_ID = 2
 PIECE = f"[{WORD}]++|[^{WORD}{WS}]"
 MAX_VOCABULARY = 1_000_000
 MAX_VOCABULARY_BYTES = 64 * 1024 * 1024
+PART_SIZE = 1 << 20
 
 
 def pieces(text: Column) -> Column:
@@ -62,10 +63,29 @@ def map_batches(
     df: DataFrame, function: Callable, schema: T.StructType | str, columns: list[str] | None = None
 ) -> DataFrame:
     """Apply ``function(pandas frame) -> pandas frame`` to batches in parallel. Give ``columns``
-    to leave the others behind before they are sent to Python."""
+    to leave the others behind before they are sent to Python.
+
+    A batch goes in parts of about a million characters or list elements, or of one row, so that what a function makes of
+    each is bounded: ids as Python lists take eight times the bytes of their text or more."""
+    limit = PART_SIZE
+
+    def parts(batch):
+        import numpy as np
+
+        sizes = np.ones(len(batch), np.int64)
+        for name in batch.columns[batch.dtypes == object]:
+            sizes += np.fromiter((len(v) if hasattr(v, "__len__") else 0 for v in batch[name]), np.int64, len(batch))
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.iloc[at:end].reset_index(drop=True)
+            at = end
+
     def run(batches: Iterator):
         for batch in batches:
-            yield function(batch)
+            for part in parts(batch) if len(batch) else [batch]:
+                yield function(part)
 
     return (df.select(*columns) if columns else df).mapInPandas(run, schema)
 
